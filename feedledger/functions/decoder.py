@@ -17,9 +17,13 @@ import math
 import sys
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 from pyspark.sql import types as T
 
+# Ship the decoder itself to the executors, which need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # A parsed variant is limited in size; larger bodies take the decoder instead.
 NATIVE_BODY_LIMIT = 8 * 1024 * 1024
 MAX_NESTING = 100

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, functions as F
 
 from feedledger.functions.scalars import truncate_text
@@ -15,47 +13,38 @@ CLASS_NAMES = {
 }
 
 
-@dataclass(frozen=True)
-class JsonField:
-    """One path of a document: the variant found there and the token it was written with."""
-
-    variant: Column
-    token: Column
-    kind: Column
-
-    @property
-    def string(self) -> Column:
-        return F.when(self.kind == "string", F.try_variant_get(self.variant, "$", "string"))
+# Variant shapes whose kind needs no look at the token.
+PLAIN_SHAPES = ("STRING", "BIGINT", "VOID", "BOOLEAN")
 
-    @property
-    def long(self) -> Column:
-        return F.when(self.kind == "integer", F.try_variant_get(self.variant, "$", "bigint"))
 
-    @property
-    def boolean(self) -> Column:
-        return F.when(self.kind == "boolean", F.try_variant_get(self.variant, "$", "boolean"))
-
-
-def json_type(value: Column, token: Column) -> Column:
-    """Kind of a variant: object, array, string, integer, float, boolean, null or absent.
+def kind_sql(shape: str, token: str) -> str:
+    """SQL for the kind of a value from the shape of its variant: object, array, string,
+    integer, float, boolean, null or absent.
 
     A number the variant stores as a 64-bit integer was written as one. Any other number
     is an integer only if its token is all digits.
     """
-    shape = F.schema_of_variant(value)
+    return (f"CASE WHEN {shape} IS NULL THEN 'absent' WHEN {shape} = 'STRING' THEN 'string' "
+            f"WHEN {shape} = 'BIGINT' THEN 'integer' WHEN {shape} = 'VOID' THEN 'null' "
+            f"WHEN {shape} = 'BOOLEAN' THEN 'boolean' WHEN {shape} LIKE 'OBJECT%' THEN 'object' "
+            f"WHEN {shape} LIKE 'ARRAY%' THEN 'array' WHEN {token} RLIKE '^-?[0-9]+$' THEN 'integer' "
+            "ELSE 'float' END")
+
+
+def kind_of_shape(shape: Column, token: Column) -> Column:
+    """``kind_sql`` over columns."""
     return (
-        F.when(value.isNull() | shape.isNull(), F.lit("absent"))
-        .when(shape == "STRING", F.lit("string"))
-        .when(shape == "BIGINT", F.lit("integer"))
-        .when(shape == "VOID", F.lit("null"))
-        .when(shape == "BOOLEAN", F.lit("boolean"))
-        .when(shape.startswith("OBJECT"), F.lit("object"))
-        .when(shape.startswith("ARRAY"), F.lit("array"))
-        .when(token.rlike(r"^-?\d+$"), F.lit("integer"))
-        .otherwise(F.lit("float"))
+        F.when(shape.isNull(), "absent").when(shape == "STRING", "string").when(shape == "BIGINT", "integer")
+        .when(shape == "VOID", "null").when(shape == "BOOLEAN", "boolean")
+        .when(shape.startswith("OBJECT"), "object").when(shape.startswith("ARRAY"), "array")
+        .when(token.rlike("^-?[0-9]+$"), "integer").otherwise("float")
     )
 
 
+def json_type(value: Column, token: Column) -> Column:
+    return kind_of_shape(F.schema_of_variant(value), token)
+
+
 def nothing_there(kind: Column) -> Column:
     return kind.isin("absent", "null")
 

@@ -38,41 +38,37 @@ def iso8601_micros(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
 
+def _rolled_over(text: Column) -> Column:
+    """A date-time whose day, hour or second runs past its unit, carried into the next one."""
+    parts = F.split(F.regexp_replace(text, _ISO, "$1,$2,$3,$4,$5,$6,$7,$8"), ",")
+
+    def instant(p: Column) -> Column:
+        year, month, day, hour, minute, second = (p[i].try_cast("int") for i in range(6))
+        legal = (
+            year.between(0, 9999) & month.between(1, 12) & day.between(1, 31)
+            & minute.between(0, 59) & second.between(0, 60)
+            & (hour.between(0, 23) | ((hour == 24) & (minute == 0) & (second == 0))))
+        digits = F.regexp_replace(p[7], r"\D", "")
+        ahead = F.substring(digits, 1, 2).try_cast("int") * 3600 + F.coalesce(
+            F.substring(digits, 3, 2).try_cast("int"), F.lit(0)) * 60
+        offset = F.coalesce(F.when(p[7].startswith("-"), -ahead).otherwise(ahead), F.lit(0))
+        micros = F.coalesce(F.rpad(F.substring(p[6], 2, 6), 6, "0").try_cast("long"), F.lit(0))
+        start = F.unix_micros(F.date_add(F.make_date(year, month, F.lit(1)), day - 1).cast("timestamp"))
+        seconds = (hour * 3600 + minute * 60 + second - offset).cast("long")
+        return F.when(legal, F.timestamp_micros(start + seconds * 1_000_000 + micros))
+
+    # The one-element transform binds the parts once instead of spelling them out in every use.
+    return F.transform(F.array(parts), instant)[0]
+
+
 def parse_iso8601(text: Column) -> Column:
     """Strict date-time text to an instant, null when it is not one.
 
     A calendar overflow the plain parser refuses (30 February, hour 24, second 60)
     rolls over into the next unit.
     """
-
-    def part(n: int) -> Column:
-        return F.regexp_extract(text, _ISO, n)
-
-    def number(n: int) -> Column:
-        return part(n).try_cast("int")
-
-    zone = part(8)
-    digits = F.regexp_replace(zone, r"[^0-9]", "")
-    offset = F.when(zone.rlike(r"^[+-]"), (
-        F.substring(digits, 1, 2).try_cast("int") * 3600
-        + F.coalesce(F.substring(digits, 3, 2).try_cast("int"), F.lit(0)) * 60
-    ) * F.when(zone.startswith("-"), -1).otherwise(1)).otherwise(F.lit(0))
-    legal = (
-        number(2).between(1, 12) & number(3).between(1, 31)
-        & number(5).between(0, 59) & number(6).between(0, 60)
-        & (number(4).between(0, 23)
-           | ((number(4) == 24) & (number(5) == 0) & (number(6) == 0)))
-    )
-    day = F.date_add(F.make_date(number(1), number(2), F.lit(1)), number(3) - 1)
-    seconds = (number(4) * 3600 + number(5) * 60 + number(6) - offset).cast("long")
-    micros = F.coalesce((F.rpad(F.substring(part(7), 2, 6), 6, "0")).try_cast("long"), F.lit(0))
-    rolled = F.timestamp_micros(
-        F.unix_micros(day.cast("timestamp")) + seconds * 1_000_000 + micros)
-    shape = text.rlike(_ISO)
-    return F.when(shape, F.coalesce(
-        F.try_to_timestamp(F.upper(F.trim(text))),
-        F.when(legal & number(1).between(0, 9999), rolled),
-    ))
+    return F.when(text.rlike(_ISO), F.coalesce(
+        F.try_to_timestamp(F.upper(F.trim(text))), _rolled_over(text)))
 
 
 def pct(numerator: Column, denominator: Column) -> Column:

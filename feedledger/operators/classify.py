@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from feedledger.functions.json_values import class_name, describe, json_type, nothing_there
-from feedledger.functions.scalars import parse_iso8601, present
+from feedledger.functions.json_values import (
+    PLAIN_SHAPES, class_name, describe, kind_sql, nothing_there,
+)
+from feedledger.functions.scalars import parse_iso8601
 
 PUSH_EVENT = "PushEvent"
 HANDLED_TYPES = (PUSH_EVENT,)
@@ -47,6 +50,10 @@ PATHS = {
     "payload_head": "$.payload.head", "payload_before": "$.payload.before",
 }
 _CONTAINERS = ("actor", "repo", "payload")
+_IDENTIFIERS = ("actor_id", "repo_id", "payload_repository_id", "payload_push_id")
+_STRINGS = ("actor_login", "actor_display_login", "actor_url", "actor_avatar_url", "repo_name", "repo_url",
+            "payload_ref")
+_SHAS = ("payload_head", "payload_before")
 
 ARRIVAL_COLUMNS = ("run_id", "page_no", "received_at", "pos")
 
@@ -100,154 +107,152 @@ def _text(name: str) -> Column:
 def read_fields(envelopes: DataFrame) -> DataFrame:
     """Pulls every path the rules look at out of the variant, once, with its JSON kind.
 
-    ``k_`` columns hold kinds, ``s_`` the value as text; both feed plain expressions.
+    ``k_`` columns hold kinds, ``s_`` the value as text; both feed plain expressions. The
+    projections are written as SQL text: there are some hundred small expressions, and
+    building them one call at a time takes longer than running them on a small page.
     """
-    found = envelopes.select(
-        "*", *[F.try_variant_get("value", path, "variant").alias(f"v_{name}")
-               for name, path in PATHS.items()])
-    typed = found.select(
-        *envelopes.columns,
-        json_type(F.col("value"), F.col("text")).alias("k_envelope"),
-        F.coalesce(F.col("text"), F.to_json("value")).alias("canonical_text"),
-        *[json_type(F.col(f"v_{name}"), F.get_json_object("text", path)).alias(f"k_{name}")
-          for name, path in PATHS.items()],
-        *[F.coalesce(F.when(F.schema_of_variant(f"v_{name}").rlike("^D(?:ECIMAL|OUBLE)"),
-                            F.get_json_object("text", path)),
-                     F.try_variant_get(f"v_{name}", "$", "string")).alias(f"s_{name}")
-          for name, path in PATHS.items() if name not in _CONTAINERS],
-        F.coalesce(F.col("actor_text"), F.to_json("v_actor")).alias("actor_fragment"),
-        F.coalesce(F.col("repo_text"), F.to_json("v_repo")).alias("repo_fragment"),
-    )
-    return typed
+    found = envelopes.selectExpr(
+        "*", *[f"try_variant_get(value, '{path}', 'variant') AS v_{name}" for name, path in PATHS.items()])
+    shaped = found.selectExpr(
+        "*", "schema_of_variant(value) AS t_envelope",
+        *[f"schema_of_variant(v_{name}) AS t_{name}" for name in PATHS])
+    printed = [name for name in PATHS if name not in _CONTAINERS]
+    plain = ", ".join(f"'{shape}'" for shape in PLAIN_SHAPES)
 
+    def token(name: str) -> str:
+        return f"get_json_object(text, '{PATHS[name]}')"
 
-def _described(name: str) -> Column:
-    text = F.lit(None).cast("string") if name in _CONTAINERS else _text(name)
-    return describe(_kind(name), text, text)
+    return shaped.selectExpr(
+        *envelopes.columns, f"{kind_sql('t_envelope', 'text')} AS k_envelope",
+        "coalesce(text, to_json(value)) AS canonical_text",
+        *[f"{kind_sql(f't_{name}', token(name))} AS k_{name}" for name in PATHS],
+        *[f"coalesce(CASE WHEN text IS NOT NULL AND t_{name} NOT IN ({plain}) THEN {token(name)} END, "
+          f"try_variant_get(v_{name}, '$', 'string')) AS s_{name}" for name in printed],
+        "coalesce(actor_text, to_json(v_actor)) AS actor_fragment",
+        "coalesce(repo_text, to_json(v_repo)) AS repo_fragment")
 
 
-def envelope_id() -> Column:
-    kind = _kind("id")
-    usable = (kind == "integer") | ((kind == "string") & present(_text("id")))
-    return F.when(usable, _text("id"))
+_FILLED = "(k_{0} = 'string' AND s_{0} RLIKE '(?U)\\\\S')"
 
 
-def envelope_type() -> Column:
-    return F.when((_kind("type") == "string") & present(_text("type")), _text("type"))
+def _filled(name: str) -> str:
+    return _FILLED.format(name)
 
 
-def _identifier(name: str) -> Column:
-    return F.when(_kind(name) == "integer", _text(name).try_cast("long"))
+def normalize(fields: DataFrame) -> DataFrame:
+    """Usable values per field, as ``n_`` columns; null where the field cannot be used.
 
+    An id may be an integer or a filled string; identifiers must fit 64 bits.
+    """
+    return fields.select(
+        "*",
+        F.expr(f"CASE WHEN k_id = 'integer' OR {_filled('id')} THEN s_id END AS n_event_id"),
+        F.expr(f"CASE WHEN {_filled('type')} THEN s_type END AS n_type"),
+        *[F.expr(f"CASE WHEN k_{n} = 'integer' THEN try_cast(s_{n} AS BIGINT) END AS n_{n}") for n in _IDENTIFIERS],
+        *[F.expr(f"CASE WHEN {_filled(n)} THEN s_{n} END AS n_{n}") for n in _STRINGS],
+        *[F.when((_kind(n) == "string") & sha_ok(_text(n)), _text(n)).alias(f"n_{n}") for n in _SHAS],
+        F.when(_kind("created_at") == "string", parse_iso8601(_text("created_at"))).alias("n_occurred_at"),
+    )
 
-def _required(name: str) -> Column:
-    return F.when((_kind(name) == "string") & present(_text(name)), _text(name))
 
+@dataclass(frozen=True)
+class Rule:
+    """One check of a push, in SQL text: when it is broken, its code and its message.
 
-def _range_message(name: str, field: str) -> Column:
-    out = (_kind(name) == "integer") & _text(name).try_cast("long").isNull()
-    return F.when(out, F.concat(F.lit(f"{field} "), _text(name), F.lit(" exceeds a 64-bit identifier")))
+    The message is ``prefix``, then ``text`` (shown as a value of its JSON kind, or as it
+    stands where ``kind`` is null), then ``suffix``.
+    """
 
+    code: str
+    broken: str
+    prefix: str
+    kind: str
+    text: str
+    suffix: str = ""
 
-def _is(field: str, name: str, suffix: str = "") -> Column:
-    return F.concat(F.lit(f"{field} is "), _described(name), F.lit(suffix))
+    def parts(self) -> str:
+        return (f"named_struct('broken', coalesce({self.broken}, false), 'rank', {PRECEDENCE.index(self.code)}, "
+                f"'code', '{self.code}', 'prefix', '{self.prefix}', 'kind', {self.kind}, "
+                f"'text', {self.text}, 'suffix', '{self.suffix}')")
 
 
-def normalize(fields: DataFrame) -> DataFrame:
-    """Usable values per field; null where the field cannot be used."""
-    return fields.select(
-        "*",
-        envelope_id().alias("n_event_id"), envelope_type().alias("n_type"),
-        _identifier("actor_id").alias("n_actor_id"), _required("actor_login").alias("n_login"),
-        _required("actor_display_login").alias("n_display_login"),
-        _required("actor_url").alias("n_actor_url"), _required("actor_avatar_url").alias("n_avatar_url"),
-        _identifier("repo_id").alias("n_repo_id"), _required("repo_name").alias("n_full_name"),
-        _required("repo_url").alias("n_repo_url"),
-        F.when((_kind("created_at") == "string"), parse_iso8601(_text("created_at"))).alias("n_occurred_at"),
-        _identifier("payload_repository_id").alias("n_payload_repository_id"),
-        _identifier("payload_push_id").alias("n_push_id"), _required("payload_ref").alias("n_ref"),
-        F.when((_kind("payload_head") == "string") & sha_ok(_text("payload_head")),
-               _text("payload_head")).alias("n_head"),
-        F.when((_kind("payload_before") == "string") & sha_ok(_text("payload_before")),
-               _text("payload_before")).alias("n_before"),
-    )
+_NOTHING = "CAST(NULL AS STRING)"
 
 
-def _rules() -> list[tuple[str, str, Column]]:
-    """Every check of a push, in check order: column name, code, message (null when it holds)."""
-    actor_ok, repo_ok = _kind("actor") == "object", _kind("repo") == "object"
-    payload_ok = _kind("payload") == "object"
-    gone = {field: nothing_there(_kind(f"payload_{field}")) for field in REQUIRED_PAYLOAD_FIELDS}
-    absent_names = F.concat_ws(", ", *[F.when(flag, F.lit(field)) for field, flag in gone.items()])
-    repo_usable = F.col("n_repo_id").isNotNull() & F.col("n_full_name").isNotNull()
-    differs = (payload_ok & repo_usable & F.col("n_payload_repository_id").isNotNull()
-               & (F.col("n_payload_repository_id") != F.col("n_repo_id")))
+def push_rules() -> list[Rule]:
+    """Every check of a push, in check order."""
+    actor, repo, payload = ("k_actor = 'object'", "k_repo = 'object'", "k_payload = 'object'")
+    gone = {field: f"k_payload_{field} IN ('absent', 'null')" for field in REQUIRED_PAYLOAD_FIELDS}
+    not_hex = ", not 40 or 64 hexadecimal characters"
 
-    def wrong_identifier(field: str) -> Column:
-        name = f"payload_{field}"
-        return F.when(payload_ok & ~gone[field] & (_kind(name) != "integer"),
-                      _is(f"payload.{field}", name))
+    def shown(name: str, code: str, broken: str, label: str, suffix: str = "") -> Rule:
+        text = _NOTHING if name in _CONTAINERS else f"s_{name}"
+        return Rule(code, broken, f"{label} is ", f"k_{name}", text, suffix)
 
-    def wrong_sha(field: str) -> Column:
-        return F.when(payload_ok & ~gone[field] & F.col(f"n_{field}").isNull(),
-                      _is(f"payload.{field}", f"payload_{field}", ", not 40 or 64 hexadecimal characters"))
+    def out_of_range(name: str, owner: str, label: str) -> Rule:
+        return Rule("identifier_out_of_range", f"{owner} AND k_{name} = 'integer' AND n_{name} IS NULL",
+                    f"{label} ", _NOTHING, f"s_{name}", " exceeds a 64-bit identifier")
 
-    def not_integer(owner_ok: Column, name: str, field: str) -> Column:
-        return F.when(owner_ok & (_kind(name) != "integer"), _is(field, name))
+    def payload_field(field: str, suffix: str = "") -> Rule:
+        name = f"payload_{field}"
+        unusable = f"k_{name} <> 'integer'" if field.endswith("_id") else f"n_{name} IS NULL"
+        return shown(name, "invalid_field_format", f"{payload} AND NOT {gone[field]} AND {unusable}",
+                     f"payload.{field}", suffix)
 
+    absent = ", ".join(f"CASE WHEN {flag} THEN '{field}' END" for field, flag in gone.items())
+    bad_actor, bad_repo = "invalid_actor_reference", "invalid_repository_reference"
     return [
-        ("m_id", "missing_event_id", F.when(F.col("n_event_id").isNull(), _is("id", "id"))),
-        ("m_actor", "invalid_actor_reference", F.when(~actor_ok, _is("actor", "actor"))),
-        ("m_actor_id", "invalid_actor_reference", not_integer(actor_ok, "actor_id", "actor.id")),
-        ("m_actor_range", "identifier_out_of_range",
-         F.when(actor_ok, _range_message("actor_id", "actor.id"))),
-        ("m_login", "invalid_actor_reference",
-         F.when(actor_ok & F.col("n_login").isNull(), _is("actor.login", "actor_login"))),
-        ("m_repo", "invalid_repository_reference", F.when(~repo_ok, _is("repo", "repo"))),
-        ("m_repo_id", "invalid_repository_reference", not_integer(repo_ok, "repo_id", "repo.id")),
-        ("m_repo_range", "identifier_out_of_range", F.when(repo_ok, _range_message("repo_id", "repo.id"))),
-        ("m_repo_name", "invalid_repository_reference",
-         F.when(repo_ok & F.col("n_full_name").isNull(), _is("repo.name", "repo_name"))),
-        ("m_created_at", "invalid_occurred_at",
-         F.when(F.col("n_occurred_at").isNull(), _is("created_at", "created_at"))),
-        ("m_payload", "missing_required_field", F.when(~payload_ok, _is("payload", "payload"))),
-        ("m_missing", "missing_required_field",
-         F.when(payload_ok & (absent_names != ""), F.concat(F.lit("payload is missing "), absent_names))),
-        ("m_payload_repository_id", "invalid_field_format", wrong_identifier("repository_id")),
-        ("m_payload_repository_range", "identifier_out_of_range",
-         F.when(payload_ok, _range_message("payload_repository_id", "payload.repository_id"))),
-        ("m_push_id", "invalid_field_format", wrong_identifier("push_id")),
-        ("m_push_range", "identifier_out_of_range",
-         F.when(payload_ok, _range_message("payload_push_id", "payload.push_id"))),
-        ("m_ref", "invalid_field_format",
-         F.when(payload_ok & ~gone["ref"] & F.col("n_ref").isNull(), _is("payload.ref", "payload_ref"))),
-        ("m_head", "invalid_field_format", wrong_sha("head")),
-        ("m_before", "invalid_field_format", wrong_sha("before")),
-        ("m_mismatch", "repository_id_mismatch",
-         F.when(differs, F.concat(
-             F.lit("payload.repository_id "), F.col("n_payload_repository_id").cast("string"),
-             F.lit(" does not match repo.id "), F.col("n_repo_id").cast("string")))),
+        shown("id", "missing_event_id", "n_event_id IS NULL", "id"),
+        shown("actor", bad_actor, f"NOT {actor}", "actor"),
+        shown("actor_id", bad_actor, f"{actor} AND k_actor_id <> 'integer'", "actor.id"),
+        out_of_range("actor_id", actor, "actor.id"),
+        shown("actor_login", bad_actor, f"{actor} AND n_actor_login IS NULL", "actor.login"),
+        shown("repo", bad_repo, f"NOT {repo}", "repo"),
+        shown("repo_id", bad_repo, f"{repo} AND k_repo_id <> 'integer'", "repo.id"),
+        out_of_range("repo_id", repo, "repo.id"),
+        shown("repo_name", bad_repo, f"{repo} AND n_repo_name IS NULL", "repo.name"),
+        shown("created_at", "invalid_occurred_at", "n_occurred_at IS NULL", "created_at"),
+        shown("payload", "missing_required_field", f"NOT {payload}", "payload"),
+        Rule("missing_required_field", f"{payload} AND ({' OR '.join(gone.values())})", "payload is missing ",
+             _NOTHING, f"concat_ws(', ', {absent})"),
+        payload_field("repository_id"),
+        out_of_range("payload_repository_id", payload, "payload.repository_id"),
+        payload_field("push_id"),
+        out_of_range("payload_push_id", payload, "payload.push_id"),
+        payload_field("ref"), payload_field("head", not_hex), payload_field("before", not_hex),
+        # Compared only when both sides are usable; a repository without a name is not.
+        Rule("repository_id_mismatch",
+             f"{payload} AND n_repo_name IS NOT NULL AND n_payload_repository_id <> n_repo_id",
+             "payload.repository_id ", _NOTHING,
+             "concat(n_payload_repository_id, ' does not match repo.id ', n_repo_id)"),
     ]
 
 
 def check(normalized: DataFrame) -> DataFrame:
-    """Adds one nullable message per rule, the route, and the winning code of a push."""
-    rules = _rules()
-    checked = normalized.select("*", *[message.alias(name) for name, _, message in rules])
-    by_code = {code: [name for name, owner, _ in rules if owner == code] for code in PRECEDENCE}
-    winner = F.coalesce(*[
-        F.when(F.coalesce(*[F.col(name) for name in names]).isNotNull(), F.lit(code))
-        for code, names in by_code.items() if names])
-    return checked.select(
-        "*", winner.alias("push_code"),
-        F.concat_ws("; ", *[F.col(name) for name, _, _ in rules]).alias("push_message"))
+    """Adds ``broken``, the rules a push breaks in check order, with the parts of their messages.
+
+    Message text is put together later, for the few rules that are broken, by one lambda.
+    """
+    tested = ", ".join(rule.parts() for rule in push_rules())
+    return normalized.withColumn("broken", F.expr(
+        f"CASE WHEN route = 'process' THEN filter(array({tested}), rule -> rule.broken) END"))
+
+
+def push_code() -> Column:
+    """The broken rule's code that comes first in precedence; null when none is broken."""
+    return F.array_min(F.transform("broken", lambda rule: F.struct(rule["rank"], rule["code"])))["code"]
 
 
 def violations() -> Column:
     """All broken rules of a checked push as (code, message), in check order."""
-    return F.array_compact(F.array(*[
-        F.when(F.col(name).isNotNull(), F.struct(F.lit(code).alias("code"), F.col(name).alias("message")))
-        for name, code, _ in _rules()]))
+    return F.transform("broken", lambda rule: F.struct(
+        rule["code"].alias("code"),
+        F.concat(rule["prefix"], F.when(rule["kind"].isNull(), rule["text"]).otherwise(
+            describe(rule["kind"], rule["text"], rule["text"])), rule["suffix"]).alias("message")))
+
+
+def push_message() -> Column:
+    return F.array_join(F.transform(violations(), lambda v: v["message"]), "; ")
 
 
 def route(types: Iterable[str]) -> Column:
@@ -261,8 +266,9 @@ def route(types: Iterable[str]) -> Column:
 
 
 def checked_envelopes(envelopes: DataFrame, types: str | Iterable[str] = HANDLED_TYPES) -> DataFrame:
-    """Fields, usable values, messages and route of every envelope; ``classify`` before its verdict."""
-    return check(normalize(read_fields(envelopes))).withColumn("route", route(handled_types(types)))
+    """Fields, usable values, route and broken rules of every envelope: ``classify`` before its verdict."""
+    routed = normalize(read_fields(envelopes)).withColumn("route", route(handled_types(types)))
+    return check(routed)
 
 
 def classify(envelopes: DataFrame, types: str | Iterable[str] = HANDLED_TYPES) -> DataFrame:
@@ -273,7 +279,7 @@ def classify(envelopes: DataFrame, types: str | Iterable[str] = HANDLED_TYPES) -
     ``fragment_undefined`` marks a push that cannot be evidenced and so cannot be created.
     """
     routed = checked_envelopes(envelopes, types)
-    refused = F.when(F.col("route") == "process", F.col("push_code")) \
+    refused = F.when(F.col("route") == "process", push_code()) \
         .when(F.col("route") != "ignored", F.col("route"))
     judged = routed.withColumn("error_code", refused)
     stored = F.col("route") != "ignored"
@@ -284,7 +290,7 @@ def classify(envelopes: DataFrame, types: str | Iterable[str] = HANDLED_TYPES) -
     is_push, quarantined = F.col("outcome") == "push_event", F.col("outcome") == "quarantined"
     no_type = F.col("route").isin("invalid_envelope", "missing_event_type")
     message = (
-        F.when(F.col("route") == "process", F.col("push_message"))
+        F.when(F.col("route") == "process", push_message())
         .when(F.col("route") == "invalid_envelope", F.concat(
             F.lit("event is "), class_name(_kind("envelope"), F.col("canonical_text")),
             F.lit(", not a JSON object")))
@@ -299,17 +305,17 @@ def classify(envelopes: DataFrame, types: str | Iterable[str] = HANDLED_TYPES) -
         F.when(~no_type, F.col("n_type")).alias("event_type"),
         F.when(_kind("envelope") == "object", F.col("n_event_id")).alias("github_event_id"),
         F.when(is_push, F.struct(
-            F.col("n_push_id").alias("github_push_id"), F.col("n_repo_id").alias("github_repository_id"),
-            F.col("n_actor_id").alias("github_actor_id"), F.col("n_ref").alias("ref"),
-            F.col("n_head").alias("head_sha"), F.col("n_before").alias("before_sha"),
+            F.col("n_payload_push_id").alias("github_push_id"), F.col("n_repo_id").alias("github_repository_id"),
+            F.col("n_actor_id").alias("github_actor_id"), F.col("n_payload_ref").alias("ref"),
+            F.col("n_payload_head").alias("head_sha"), F.col("n_payload_before").alias("before_sha"),
             F.col("n_occurred_at").alias("occurred_at"))).alias("push"),
         F.when(is_push, F.struct(
-            F.col("n_actor_id").alias("github_id"), F.col("n_login").alias("login"),
-            F.col("n_display_login").alias("display_login"), F.col("n_actor_url").alias("api_url"),
-            F.col("n_avatar_url").alias("avatar_url"))).alias("actor"),
+            F.col("n_actor_id").alias("github_id"), F.col("n_actor_login").alias("login"),
+            F.col("n_actor_display_login").alias("display_login"), F.col("n_actor_url").alias("api_url"),
+            F.col("n_actor_avatar_url").alias("avatar_url"))).alias("actor"),
         F.when(is_push, F.struct(
-            F.col("n_repo_id").alias("github_id"), F.col("n_full_name").alias("full_name"),
-            short_name(F.col("n_full_name")).alias("name"), owner_of(F.col("n_full_name")).alias("owner_login"),
+            F.col("n_repo_id").alias("github_id"), F.col("n_repo_name").alias("full_name"),
+            short_name(F.col("n_repo_name")).alias("name"), owner_of(F.col("n_repo_name")).alias("owner_login"),
             F.col("n_repo_url").alias("api_url"))).alias("repository"),
         F.when(quarantined, F.col("error_code")).alias("error_code"),
         F.when(quarantined, message).alias("error_message"),

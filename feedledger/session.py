@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Semantics, not tuning: UTC instants, and JSON objects whose last repeated key wins.
+# UTC instants, and JSON objects whose last repeated key wins; the rest is execution.
 REQUIRED_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.variant.allowDuplicateKeys": "true",
@@ -15,6 +15,9 @@ REQUIRED_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Methods past 8,000 bytes are never compiled to machine code by the JVM; a stage that
+    # needs one runs operator by operator instead, with its code split into small methods.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

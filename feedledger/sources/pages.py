@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from feedledger.functions.http import header, next_link, request_key
+from feedledger.functions.json_values import class_name, kind_of_shape
 from feedledger.schemas import FETCH_LOG
 from feedledger.sources.json_bodies import elements_once, parse_whole, with_elements
 
@@ -118,13 +119,14 @@ def explode_envelopes(pages: DataFrame) -> DataFrame:
 
 def page_errors(pages: DataFrame) -> DataFrame:
     """Pages whose body is not a JSON array, with what it is instead."""
-    from feedledger.functions.json_values import class_name, json_type
-
     read = with_elements(pages).where("parsed.elements IS NULL")
-    head = F.col("parsed.head")
-    kind = json_type(head["value"], head["text"])
-    shown = class_name(kind, F.coalesce(head["text"], F.to_json(head["value"])))
-    return read.select(
+    shaped = read.select(
+        "run_id", "page_no", F.col("parsed.head").isNull().alias("_unreadable"),
+        F.schema_of_variant("parsed.head.value").alias("_shape"),
+        F.coalesce("parsed.head.text", F.to_json("parsed.head.value")).alias("_text"))
+    kind = kind_of_shape(F.col("_shape"), F.col("_text"))
+    return shaped.select(
         "run_id", "page_no",
-        F.when(head.isNull(), F.lit("response body is not valid JSON"))
-        .otherwise(F.concat(F.lit("expected a JSON array of events, got "), shown)).alias("page_error"))
+        F.when(F.col("_unreadable"), F.lit("response body is not valid JSON"))
+        .otherwise(F.concat(F.lit("expected a JSON array of events, got "), class_name(kind, F.col("_text"))))
+        .alias("page_error"))
