@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from feedledger.functions.scalars import truncate_text
 
@@ -31,6 +31,38 @@ def kind_sql(shape: str, token: str) -> str:
             "ELSE 'float' END")
 
 
+def filled_sql(name: str) -> str:
+    """SQL test for a field read by ``with_fields``: a string with something in it."""
+    return f"(k_{name} = 'string' AND s_{name} RLIKE '(?U)\\\\S')"
+
+
+def with_fields(df: DataFrame, paths: dict[str, str], containers: tuple[str, ...] = (), value: str = "value",
+                text: str = "text", keep: list[str] | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``k_`` (JSON kind) and ``s_`` (value as text) columns for every path of a variant.
+
+    ``text`` names the exact text of documents the variant alone would not print exactly,
+    null for all others. Every path is looked up once and every shape is taken once, in
+    layers, so later rules are comparisons of short strings. The layers are SQL text:
+    building a hundred small expressions one call at a time takes longer than running them.
+    """
+    keep = df.columns if keep is None else keep
+    found = df.selectExpr("*", *[f"try_variant_get({value}, '{path}', 'variant') AS v_{name}"
+                                 for name, path in paths.items()])
+    shaped = found.selectExpr("*", f"schema_of_variant({value}) AS t_document",
+                              *[f"schema_of_variant(v_{name}) AS t_{name}" for name in paths])
+    plain = ", ".join(f"'{shape}'" for shape in PLAIN_SHAPES)
+
+    def token(name: str) -> str:
+        return f"get_json_object({text}, '{paths[name]}')"
+
+    return shaped.selectExpr(
+        *keep, f"{kind_sql('t_document', text)} AS k_document",
+        *[f"{kind_sql(f't_{name}', token(name))} AS k_{name}" for name in paths],
+        *[f"coalesce(CASE WHEN {text} IS NOT NULL AND t_{name} NOT IN ({plain}) THEN {token(name)} END, "
+          f"try_variant_get(v_{name}, '$', 'string')) AS s_{name}" for name in paths if name not in containers],
+        *extra)
+
+
 def kind_of_shape(shape: Column, token: Column) -> Column:
     """``kind_sql`` over columns."""
     return (

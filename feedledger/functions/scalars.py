@@ -94,7 +94,7 @@ def seconds_before(now: Column, seconds: int | Column) -> Column:
 def shift_seconds(ts: Column, seconds: int | Column) -> Column:
     """``ts`` moved by a number of seconds, fractions kept to the microsecond."""
     amount = F.lit(seconds) if isinstance(seconds, (int, float)) else seconds
-    return F.timestamp_micros(F.unix_micros(ts) + F.round(amount * F.lit(1_000_000)).cast("long"))
+    return F.timestamp_micros(F.unix_micros(ts) + F.round(amount.cast("double") * F.lit(1_000_000)).cast("long"))
 
 
 def backoff(attempts: Column, base: int = BACKOFF_BASE_SECONDS, ceiling: int = BACKOFF_MAX_SECONDS,

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from feedledger.functions.json_values import (
-    PLAIN_SHAPES, class_name, describe, kind_sql, nothing_there,
+    class_name, describe, filled_sql, nothing_there, with_fields,
 )
 from feedledger.functions.scalars import parse_iso8601
 
@@ -105,38 +105,11 @@ def _text(name: str) -> Column:
 
 
 def read_fields(envelopes: DataFrame) -> DataFrame:
-    """Pulls every path the rules look at out of the variant, once, with its JSON kind.
-
-    ``k_`` columns hold kinds, ``s_`` the value as text; both feed plain expressions. The
-    projections are written as SQL text: there are some hundred small expressions, and
-    building them one call at a time takes longer than running them on a small page.
-    """
-    found = envelopes.selectExpr(
-        "*", *[f"try_variant_get(value, '{path}', 'variant') AS v_{name}" for name, path in PATHS.items()])
-    shaped = found.selectExpr(
-        "*", "schema_of_variant(value) AS t_envelope",
-        *[f"schema_of_variant(v_{name}) AS t_{name}" for name in PATHS])
-    printed = [name for name in PATHS if name not in _CONTAINERS]
-    plain = ", ".join(f"'{shape}'" for shape in PLAIN_SHAPES)
-
-    def token(name: str) -> str:
-        return f"get_json_object(text, '{PATHS[name]}')"
-
-    return shaped.selectExpr(
-        *envelopes.columns, f"{kind_sql('t_envelope', 'text')} AS k_envelope",
+    """Every path the rules look at, with the canonical texts of the envelope and its fragments."""
+    return with_fields(envelopes, PATHS, _CONTAINERS, extra=(
         "coalesce(text, to_json(value)) AS canonical_text",
-        *[f"{kind_sql(f't_{name}', token(name))} AS k_{name}" for name in PATHS],
-        *[f"coalesce(CASE WHEN text IS NOT NULL AND t_{name} NOT IN ({plain}) THEN {token(name)} END, "
-          f"try_variant_get(v_{name}, '$', 'string')) AS s_{name}" for name in printed],
         "coalesce(actor_text, to_json(v_actor)) AS actor_fragment",
-        "coalesce(repo_text, to_json(v_repo)) AS repo_fragment")
-
-
-_FILLED = "(k_{0} = 'string' AND s_{0} RLIKE '(?U)\\\\S')"
-
-
-def _filled(name: str) -> str:
-    return _FILLED.format(name)
+        "coalesce(repo_text, to_json(v_repo)) AS repo_fragment"))
 
 
 def normalize(fields: DataFrame) -> DataFrame:
@@ -146,10 +119,10 @@ def normalize(fields: DataFrame) -> DataFrame:
     """
     return fields.select(
         "*",
-        F.expr(f"CASE WHEN k_id = 'integer' OR {_filled('id')} THEN s_id END AS n_event_id"),
-        F.expr(f"CASE WHEN {_filled('type')} THEN s_type END AS n_type"),
+        F.expr(f"CASE WHEN k_id = 'integer' OR {filled_sql('id')} THEN s_id END AS n_event_id"),
+        F.expr(f"CASE WHEN {filled_sql('type')} THEN s_type END AS n_type"),
         *[F.expr(f"CASE WHEN k_{n} = 'integer' THEN try_cast(s_{n} AS BIGINT) END AS n_{n}") for n in _IDENTIFIERS],
-        *[F.expr(f"CASE WHEN {_filled(n)} THEN s_{n} END AS n_{n}") for n in _STRINGS],
+        *[F.expr(f"CASE WHEN {filled_sql(n)} THEN s_{n} END AS n_{n}") for n in _STRINGS],
         *[F.when((_kind(n) == "string") & sha_ok(_text(n)), _text(n)).alias(f"n_{n}") for n in _SHAS],
         F.when(_kind("created_at") == "string", parse_iso8601(_text("created_at"))).alias("n_occurred_at"),
     )
@@ -258,7 +231,7 @@ def push_message() -> Column:
 def route(types: Iterable[str]) -> Column:
     """Where an envelope goes before any push rule is looked at."""
     return (
-        F.when(_kind("envelope") != "object", F.lit("invalid_envelope"))
+        F.when(_kind("document") != "object", F.lit("invalid_envelope"))
         .when(F.col("n_type").isNull(), F.lit("missing_event_type"))
         .when(~F.col("n_type").isin(*types), F.lit("ignored"))
         .otherwise(F.lit("process"))
@@ -277,6 +250,8 @@ def classify(envelopes: DataFrame, types: str | Iterable[str] = HANDLED_TYPES) -
     ``outcome`` is push_event, ignored, quarantined or failed; a push carries ``push``,
     ``actor`` and ``repository`` structs, a quarantined one its code, message and digest.
     ``fragment_undefined`` marks a push that cannot be evidenced and so cannot be created.
+    Stage the result before filtering it: a filter on ``outcome`` would be pushed below the
+    rules and evaluate all of them a second time.
     """
     routed = checked_envelopes(envelopes, types)
     refused = F.when(F.col("route") == "process", push_code()) \
@@ -292,7 +267,7 @@ def classify(envelopes: DataFrame, types: str | Iterable[str] = HANDLED_TYPES) -
     message = (
         F.when(F.col("route") == "process", push_message())
         .when(F.col("route") == "invalid_envelope", F.concat(
-            F.lit("event is "), class_name(_kind("envelope"), F.col("canonical_text")),
+            F.lit("event is "), class_name(_kind("document"), F.col("canonical_text")),
             F.lit(", not a JSON object")))
         .when(F.col("route") == "missing_event_type", F.concat(F.lit("type is "), F.when(
             nothing_there(_kind("type")), F.lit("absent")).otherwise(
@@ -303,7 +278,7 @@ def classify(envelopes: DataFrame, types: str | Iterable[str] = HANDLED_TYPES) -
         "outcome",
         F.coalesce(F.col("n_type") == PUSH_EVENT, F.lit(False)).alias("push_typed"),
         F.when(~no_type, F.col("n_type")).alias("event_type"),
-        F.when(_kind("envelope") == "object", F.col("n_event_id")).alias("github_event_id"),
+        F.when(_kind("document") == "object", F.col("n_event_id")).alias("github_event_id"),
         F.when(is_push, F.struct(
             F.col("n_payload_push_id").alias("github_push_id"), F.col("n_repo_id").alias("github_repository_id"),
             F.col("n_actor_id").alias("github_actor_id"), F.col("n_payload_ref").alias("ref"),
@@ -321,7 +296,7 @@ def classify(envelopes: DataFrame, types: str | Iterable[str] = HANDLED_TYPES) -
         F.when(quarantined, message).alias("error_message"),
         F.when(quarantined, payload_fingerprint(F.col("canonical_text"), F.col("undefined")))
         .alias("payload_fingerprint"),
-        F.when(is_push | (quarantined & (_kind("envelope") != "null")), F.col("canonical_text")).alias("raw_payload"),
+        F.when(is_push | (quarantined & (_kind("document") != "null")), F.col("canonical_text")).alias("raw_payload"),
         F.when(is_push, F.col("actor_fragment")).alias("actor_fragment"),
         F.when(is_push, F.col("repo_fragment")).alias("repo_fragment"),
         (is_push & (F.col("actor_undefined") | F.col("repo_undefined"))).alias("fragment_undefined"),

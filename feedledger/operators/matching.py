@@ -4,46 +4,53 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from feedledger.functions.json_values import json_type
-from feedledger.functions.scalars import casefold_ascii, parse_iso8601, present
+from feedledger.functions.json_values import filled_sql, with_fields
+from feedledger.functions.scalars import casefold_ascii, parse_iso8601
 from feedledger.operators.evidence import observation_id
-from feedledger.schemas import IDENTIFIER, OBSERVATIONS
+from feedledger.schemas import OBSERVATIONS
 
 # Outcomes of judging one returned document.
 APPLIED = "applied"
 INVALID_FIELD = "invalid_contract_field"
 
 
+# Paths of a document each class is judged by.
+DOCUMENT_PATHS = {
+    "actor": {"id": "$.id", "name": "$.login", "type": "$.type"},
+    "repository": {
+        "id": "$.id", "name": "$.full_name", "owner": "$.owner", "owner_id": "$.owner.id",
+        "owner_login": "$.owner.login", "fork": "$.fork", "archived": "$.archived",
+        "default_branch": "$.default_branch", "description": "$.description", "language": "$.language",
+        "created_at": "$.created_at"},
+}
+
+
 def exploded_items(documents: DataFrame) -> DataFrame:
-    """One row per returned item of a well-formed search document."""
+    """One row per returned item of a well-formed search document, as text."""
     usable = documents.where("document_error IS NULL")
     items = F.slice("items", 1, 2**31 - 1)
     return (usable.select("request_batch_id", "received_at", F.posexplode(items).alias("pos", "_item"))
-            .select("request_batch_id", "received_at", "pos", "_item.value",
-                    F.coalesce("_item.text", F.to_json("_item.value")).alias("text"),
-                    F.col("_item.text").alias("exact_text")))
+            .select("request_batch_id", "received_at", "pos", "_item.text", "_item.exact"))
 
 
-def _field(value: Column, text: Column, path: str) -> tuple[Column, Column]:
-    """The variant at a path and its JSON kind."""
-    found = F.try_variant_get(value, path, "variant")
-    return found, json_type(found, F.get_json_object(text, path))
+def _parsed(df: DataFrame, text: str) -> DataFrame:
+    return df.withColumns({"_value": F.try_parse_json(F.col(text)),
+                           "_exact_text": F.when(F.col("exact"), F.col(text))})
 
 
-def _read(value: Column, text: Column, path: str, kind: str, cast: str) -> Column:
-    found, seen = _field(value, text, path)
-    return F.when(seen == kind, F.try_variant_get(found, "$", cast))
+def read_documents(kind: str, df: DataFrame, text: str) -> DataFrame:
+    """Adds the kinds and values of the judged paths of the document in column ``text``."""
+    return with_fields(_parsed(df, text), DOCUMENT_PATHS[kind], ("owner",), "_value", "_exact_text", keep=df.columns)
 
 
 def item_keys(kind: str, items: DataFrame) -> DataFrame:
-    """Items with what they can be matched by."""
-    value, text = F.col("value"), F.col("exact_text")
-    is_object = json_type(value, text) == "object"
-    name = F.try_variant_get(value, f"$.{IDENTIFIER[kind]}", "string")
-    return items.withColumns({
-        "item_id": F.when(is_object, _read(value, text, "$.id", "integer", "bigint")),
-        "item_key": F.when(is_object, casefold_ascii(name)),
-    })
+    """Items with what they can be matched by: ``item_id`` and ``item_key``."""
+    paths = {name: DOCUMENT_PATHS[kind][name] for name in ("id", "name")}
+    read = with_fields(_parsed(items, "text"), paths, (), "_value", "_exact_text", keep=items.columns)
+    return read.select(
+        *items.columns,
+        F.expr("CASE WHEN k_id = 'integer' THEN try_cast(s_id AS BIGINT) END AS item_id"),
+        casefold_ascii(F.col("s_name")).alias("item_key"))
 
 
 def match_items(kind: str, leases: DataFrame, items: DataFrame) -> DataFrame:
@@ -64,7 +71,7 @@ def match_items(kind: str, leases: DataFrame, items: DataFrame) -> DataFrame:
              .withColumn("matched_by", F.when(F.col("_by_id").isNotNull(), "id")
                          .when(F.col("_by_name").isNotNull(), "identifier").otherwise("missing"))
              .drop("_key", "_by_id", "_by_name"))
-    fetched = items.select("request_batch_id", "pos", "value", "text", "exact_text")
+    fetched = items.select("request_batch_id", "pos", "text", "exact")
     return found.join(fetched, ["request_batch_id", "pos"], "left")
 
 
@@ -73,92 +80,85 @@ def unrequested_items(items: DataFrame, matched: DataFrame) -> DataFrame:
     return items.join(used, ["request_batch_id", "pos"], "left_anti")
 
 
-def actor_contract(value: Column, text: Column) -> tuple[Column, Column]:
-    """(error message or null, contract columns) of an actor document."""
-    kind_name = _read(value, text, "$.type", "string", "string")
-    error = F.when(~present(kind_name), "type is not a non-empty string")
-    return error, F.struct(kind_name.alias("account_type"))
-
-
-def _string_or_null(value: Column, text: Column, path: str) -> Column:
-    return _field(value, text, path)[1].isin("string", "null", "absent")
-
-
-def repository_contract(value: Column, text: Column) -> tuple[Column, Column]:
-    """(first broken rule or null, contract columns) of a repository document."""
-    def string(path: str) -> Column:
-        return _read(value, text, path, "string", "string")
-
-    def filled(path: str) -> Column:
-        return F.when(present(string(path)), string(path))
-
-    owner_id = _read(value, text, "$.owner.id", "integer", "bigint")
-    owner_ok = (_field(value, text, "$.owner")[1] == "object") & (_field(value, text, "$.owner.id")[1] == "integer")
-    fork, archived = (_read(value, text, p, "boolean", "boolean") for p in ("$.fork", "$.archived"))
-    branch, born = string("$.default_branch"), parse_iso8601(string("$.created_at"))
-    error = (
-        F.when(~owner_ok, "owner.id must be an integer")
-        .when(fork.isNull(), "fork must be boolean")
-        .when(archived.isNull(), "archived must be boolean")
-        .when(~present(branch), "default_branch is not a non-empty string")
-        .when(~_string_or_null(value, text, "$.description"), "description must be a string or null")
-        .when(~_string_or_null(value, text, "$.language"), "language must be a string or null")
-        .when(born.isNull(), "created_at must be ISO-8601")
-    )
-    columns = F.struct(
-        filled("$.description").alias("description"), filled("$.language").alias("language"),
-        owner_id.alias("owner_github_id"), filled("$.owner.login").alias("owner_login"),
-        fork.alias("fork"), archived.alias("archived"), branch.alias("default_branch"),
-        born.alias("github_created_at"))
-    return error, columns
-
-
-def contract(kind: str, value: Column, text: Column) -> tuple[Column, Column]:
-    return (actor_contract if kind == "actor" else repository_contract)(value, text)
-
-
-def document_identity(value: Column, text: Column, github_id: Column) -> Column:
-    """Null when an object document names the asked entity, else the error code."""
-    kind = _field(value, text, "$.id")[1]
-    same = F.coalesce(F.try_variant_get(value, "$.id", "bigint") == github_id, F.lit(False))
-    return F.when(kind != "integer", "missing_identity").when(~same, "identity_mismatch")
+def contract_error(kind: str) -> Column:
+    """The first contract rule a read document breaks, as its message; null when it holds."""
+    if kind == "actor":
+        return F.expr(f"CASE WHEN NOT {filled_sql('type')} THEN 'type is not a non-empty string' END")
+    rules = {
+        "owner.id must be an integer": "k_owner <> 'object' OR k_owner_id <> 'integer'",
+        "fork must be boolean": "k_fork <> 'boolean'",
+        "archived must be boolean": "k_archived <> 'boolean'",
+        "default_branch is not a non-empty string": f"NOT {filled_sql('default_branch')}",
+        "description must be a string or null": "k_description NOT IN ('string', 'null', 'absent')",
+        "language must be a string or null": "k_language NOT IN ('string', 'null', 'absent')",
+        "created_at must be ISO-8601": "k_created_at <> 'string' OR n_created_at IS NULL",
+    }
+    return F.expr("CASE " + " ".join(f"WHEN {test} THEN '{message}'" for message, test in rules.items()) + " END")
+
+
+def contract_columns(kind: str) -> Column:
+    """The columns a read document gives its entity."""
+    if kind == "actor":
+        return F.struct(F.col("s_type").alias("account_type"))
+    filled = {n: F.expr(f"CASE WHEN {filled_sql(n)} THEN s_{n} END") for n in ("description", "language", "owner_login")}
+    return F.struct(
+        filled["description"].alias("description"), filled["language"].alias("language"),
+        F.col("s_owner_id").try_cast("long").alias("owner_github_id"), filled["owner_login"].alias("owner_login"),
+        F.col("s_fork").try_cast("boolean").alias("fork"), F.col("s_archived").try_cast("boolean").alias("archived"),
+        F.col("s_default_branch").alias("default_branch"), F.col("n_created_at").alias("github_created_at"))
+
+
+def judge_documents(kind: str, df: DataFrame, text: str) -> DataFrame:
+    """Documents in column ``text`` judged for ``github_id``: adds ``identity_error``,
+    ``contract_error``, ``returned_id``, ``returned_name`` and ``attributes``."""
+    read = read_documents(kind, df, text)
+    if kind == "repository":
+        read = read.withColumn("n_created_at", F.when(
+            F.col("k_created_at") == "string", parse_iso8601(F.col("s_created_at"))))
+    identity = (F.when(F.col("k_id") != "integer", "missing_identity")
+                .when(F.coalesce(F.col("s_id").try_cast("long") != F.col("github_id"), F.lit(True)), "identity_mismatch"))
+    judged = read.select(
+        *df.columns, identity.alias("identity_error"), contract_error(kind).alias("contract_error"),
+        F.col("s_id").alias("returned_id"), F.col("k_id").alias("returned_id_kind"),
+        F.col("s_name").alias("returned_name"), contract_columns(kind).alias("attributes"))
+    sound = F.col("identity_error").isNull() & F.col("contract_error").isNull()
+    return judged.withColumn("attributes", F.when(sound, F.col("attributes")))
 
 
 def validate_items(kind: str, matched: DataFrame) -> DataFrame:
     """Adds ``validation_outcome`` (null when nothing was returned) and ``attributes``."""
-    value, text = F.col("value"), F.col("exact_text")
-    id_kind = _field(value, text, "$.id")[1]
-    same = id_kind.isin("integer", "float") & F.coalesce(
-        F.try_variant_get(value, "$.id", "decimal(38,4)") == F.col("github_id"), F.lit(False))
-    error, columns = contract(kind, value, text)
+    judged = judge_documents(kind, matched, "text")
+    same = F.col("returned_id_kind").isin("integer", "float") & F.coalesce(
+        F.col("returned_id").try_cast("decimal(38,4)") == F.col("github_id"), F.lit(False))
     outcome = F.when(~same, "identity_mismatch")
     if kind == "repository":
-        named = F.coalesce(F.try_variant_get(value, "$.full_name", "string"), F.lit(""))
-        renamed = casefold_ascii(named) != casefold_ascii(F.coalesce("identifier", F.lit("")))
+        renamed = casefold_ascii(F.coalesce("returned_name", F.lit(""))) != casefold_ascii(
+            F.coalesce("identifier", F.lit("")))
         outcome = outcome.when(renamed, "renamed_repository")
-    outcome = (outcome.when(id_kind != "integer", "missing_identity")
-               .when(error.isNotNull(), INVALID_FIELD).otherwise(APPLIED))
-    judged = matched.withColumn("validation_outcome", F.when(F.col("pos").isNotNull(), outcome))
-    return judged.withColumn("attributes", F.when(F.col("validation_outcome") == APPLIED, columns)) \
-        .withColumn("item_text", F.col("text")).drop("value", "text", "exact_text")
+    outcome = (outcome.when(F.col("identity_error").isNotNull(), F.col("identity_error"))
+               .when(F.col("contract_error").isNotNull(), INVALID_FIELD).otherwise(APPLIED))
+    return (judged.withColumn("validation_outcome", F.when(F.col("pos").isNotNull(), outcome))
+            .withColumn("attributes", F.when(F.col("validation_outcome") == APPLIED, F.col("attributes")))
+            .withColumnRenamed("text", "item_text")
+            .drop("exact", "identity_error", "contract_error", "returned_id", "returned_id_kind", "returned_name"))
 
 
 def validate_details(kind: str, documents: DataFrame) -> DataFrame:
     """Detail documents joined to their lease: adds ``validation_outcome``, ``document_message``
     and ``attributes``."""
-    value, text = F.col("document.value"), F.col("document.text")
-    identity = document_identity(value, text, F.col("github_id"))
-    error, columns = contract(kind, value, text)
-    outcome = F.coalesce(F.col("error_code"), identity, F.when(error.isNotNull(), INVALID_FIELD), F.lit(APPLIED))
-    actual = F.coalesce(F.get_json_object(text, "$.id"), F.try_variant_get(value, "$.id", "string"))
-    message = F.coalesce(
-        F.when(F.col("error_code").isNotNull(), F.col("error_message")),
-        F.when(identity == "missing_identity", F.lit("document carries no integer id")),
-        F.when(identity == "identity_mismatch", F.concat(
-            F.lit("document identifies "), actual, F.lit(", expected "), F.col("github_id").cast("string"))),
-        error)
-    return documents.withColumn("validation_outcome", outcome).withColumn("document_message", message) \
-        .withColumn("attributes", F.when(F.col("validation_outcome") == APPLIED, columns))
+    judged = judge_documents(kind, documents, "kept_payload")
+    outcome = F.coalesce("error_code", "identity_error", F.when(F.col("contract_error").isNotNull(), INVALID_FIELD),
+                         F.lit(APPLIED))
+    message = (
+        F.when(F.col("error_code").isNotNull(), F.col("error_message"))
+        .when(F.col("identity_error") == "missing_identity", "document carries no integer id")
+        .when(F.col("identity_error") == "identity_mismatch", F.concat(
+            F.lit("document identifies "), F.col("returned_id"), F.lit(", expected "),
+            F.col("github_id").cast("string")))
+        .otherwise(F.col("contract_error")))
+    return (judged.withColumn("validation_outcome", outcome).withColumn("document_message", message)
+            .withColumn("attributes", F.when(F.col("validation_outcome") == APPLIED, F.col("attributes")))
+            .drop("identity_error", "contract_error", "returned_id", "returned_id_kind", "returned_name", "exact"))
 
 
 def _observation_rows(df: DataFrame, kind: str, source: str, key: list[Column], entity: Column,

@@ -15,6 +15,9 @@ REQUIRED_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Inferring filters from the classifier's many aliased CASE expressions multiplies without
+    # bound; join keys that must not be null are filtered explicitly instead.
+    "spark.sql.constraintPropagation.enabled": "false",
     # Methods past 8,000 bytes are never compiled to machine code by the JVM; a stage that
     # needs one runs operator by operator instead, with its code split into small methods.
     "spark.sql.codegen.hugeMethodLimit": "8000",
@@ -36,6 +39,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
         .appName("feedledger")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .getOrCreate()
     )

@@ -42,6 +42,11 @@ def search_documents(answers: DataFrame) -> DataFrame:
         head["text"].alias("_text"), F.schema_of_variant(head["value"]).alias("_shape"),
         F.try_variant_get(head["value"], "$.total_count", "variant").alias("_total"),
         F.try_variant_get(head["value"], "$.incomplete_results", "variant").alias("_incomplete"))
+    # Items are kept as text: what is stored and sent round stays plain, and an item is
+    # parsed again only where it is judged.
+    read = read.withColumn("items", F.transform("items", lambda e: F.struct(
+        F.coalesce(e["text"], F.to_json(e["value"])).alias("text"), e["text"].isNotNull().alias("exact"),
+        e["undefined"].alias("undefined"), e["unstorable"].alias("unstorable"))))
     shaped = read.withColumns({
         "_total_kind": json_type(F.col("_total"), F.get_json_object("_text", "$.total_count")),
         "_incomplete_kind": json_type(F.col("_incomplete"), F.lit(None).cast("string"))})
@@ -63,8 +68,8 @@ def read_search_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def detail_documents(answers: DataFrame) -> DataFrame:
-    """Answers to single lookups with the ``document`` element, or ``error_code`` and
-    ``error_message`` when the body is no JSON object. ``kept_payload`` is what evidence keeps;
+    """Answers to single lookups: ``kept_payload`` is the document as evidence keeps it, with
+    ``error_code`` and ``error_message`` when the body is no JSON object;
     ``transport_message`` is the error of an exchange that brought no answer."""
     head = F.col("parsed.head")
     read = with_elements(answers, items="").select(
@@ -83,7 +88,8 @@ def detail_documents(answers: DataFrame) -> DataFrame:
     unparsed = F.to_json(F.struct(F.coalesce("body", F.lit("")).alias("unparsed_body")))
     kept = [c for c in answers.columns if c != "error_message"]
     return read.select(*kept, F.col("error_message").alias("transport_message"),
-                       "document", code.alias("error_code"), message.alias("error_message"), F.coalesce(text, unparsed).alias("kept_payload"))
+                       code.alias("error_code"), message.alias("error_message"), F.coalesce(text, unparsed).alias("kept_payload"),
+                       F.col("document.text").isNotNull().alias("exact"))
 
 
 def read_detail_documents(spark: SparkSession, path: str) -> DataFrame:
