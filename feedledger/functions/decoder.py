@@ -101,8 +101,6 @@ def _write_string(text: str, facts: _Facts) -> str:
 
 
 def _write(value, facts: _Facts, depth: int = 0) -> str:
-    if depth > MAX_NESTING:
-        raise ValueError("nesting is too deep")
     if value is None:
         return "null"
     if value is True or value is False:
@@ -116,6 +114,8 @@ def _write(value, facts: _Facts, depth: int = 0) -> str:
             return _float_text(value)
         facts.undefined = True
         return "null"
+    if depth >= MAX_NESTING:
+        raise ValueError("nesting is too deep")
     if isinstance(value, list):
         return "[" + ",".join([_write(item, facts, depth + 1) for item in value]) + "]"
     ordered = sorted(value.items(), key=lambda pair: pair[0].encode("utf-8", "surrogatepass"))

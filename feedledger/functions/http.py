@@ -114,7 +114,7 @@ def url_violations(url: Column) -> Column:
     userinfo = F.regexp_extract(authority, r"^(.*)@", 1)
     location = F.regexp_replace(authority, r"^.*@", "")
     host = F.regexp_extract(location, r"^(\[[^\]]*\]|[^:]*)", 1)
-    port = F.regexp_extract(location, r"^(?:\[[^\]]*\]|[^:]*):(.*)\z", 1)
+    port = F.regexp_extract(location, r"^(?:\[[^\]]*\]|[^:\[]*):(.*)\z", 1)
     octet = r"(?:0|[1-9]\d?|1\d\d|2[0-4]\d|25[0-5])"
     literal = host.startswith("[") | host.rlike(rf"^{octet}(?:\.{octet}){{3}}\z")
     legal = url.rlike(_URI_CHARS) & url.rlike(_URI) & port.rlike(r"^\d*\z") & \
