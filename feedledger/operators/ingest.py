@@ -6,7 +6,6 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from feedledger.functions.http import http_class
 from feedledger.operators.classify import HANDLED_TYPES, classify
 from feedledger.operators.dedup import (
     accepted_pushes, dedup_new, delivery_results, quarantine_merge, run_tally,
@@ -15,8 +14,10 @@ from feedledger.operators.evidence import event_observations
 from feedledger.operators.folds import fold_entities
 from feedledger.operators.ranking import global_rank
 from feedledger.schemas import ARRIVAL, ENTITY_TABLES, INGESTION_RUNS, PUSH_EVENTS
-from feedledger.session import configure, stage
-from feedledger.sources.pages import DEFAULT_MAX_PAGES, explode_envelopes, walk_order
+from feedledger.session import configure, stage, staging_area
+from feedledger.sources.pages import (
+    DEFAULT_MAX_PAGES, explode_envelopes, left_out, page_state, stops_of,
+)
 from feedledger.sources.tables import append_log, read_log, read_snapshot, swap_snapshot
 
 SNAPSHOTS = {"actor": "actors", "repository": "repositories"}
@@ -36,11 +37,10 @@ def push_event_rows(ranked: DataFrame) -> DataFrame:
     ).select(*PUSH_EVENTS.names)
 
 
-def run_rows(pages: DataFrame, tally: DataFrame) -> DataFrame:
+def run_rows(states: DataFrame, tally: DataFrame) -> DataFrame:
     """One finished run per run id: how its first page ended it, and its counters."""
-    klass = http_class(F.col("status"), F.col("headers"))
-    first = pages.groupBy("run_id").agg(
-        F.max("source_id").alias("source_id"), F.min_by(klass, F.col("page_no")).alias("_class"),
+    first = states.groupBy("run_id").agg(
+        F.max("source_id").alias("source_id"), F.min_by("http_class", "page_no").alias("_class"),
         F.min("received_at").alias("started_at"), F.max("received_at").alias("completed_at"))
     joined = first.join(tally, "run_id", "left")
     read = F.coalesce(F.col("pages_fetched"), F.lit(0)) > 0
@@ -74,7 +74,17 @@ def ingest_batch(pages: DataFrame, root: str, batch_id: int, max_pages: int = DE
     sink reads back only its columns.
     """
     spark: SparkSession = configure(pages.sparkSession)
-    counted = walk_order(pages, max_pages)
+    with staging_area(spark, f"batch-{batch_id}"):
+        _take(spark, pages, root.rstrip("/"), batch_id, max_pages, types)
+    return spark.read.schema(INGESTION_RUNS).parquet(f"{root.rstrip('/')}/ingestion_runs/batch_id={batch_id}")
+
+
+def _take(spark: SparkSession, pages: DataFrame, root: str, batch_id: int, max_pages: int,
+          types: str | Iterable[str]) -> None:
+    # Page bodies are read twice and never shuffled: once for the walk, once to classify.
+    states = stage(page_state(pages), "pages")
+    skipped = left_out(states, stops_of(states, max_pages))
+    counted = pages.join(skipped, ["run_id", "page_no"], "left_anti")
     classified = stage(classify(explode_envelopes(counted), types), "classified")
     existing = read_log(spark, root, "push_events", before=batch_id)
     created = global_rank(dedup_new(classified, existing), list(ARRIVAL), "seq",
@@ -92,6 +102,5 @@ def ingest_batch(pages: DataFrame, root: str, batch_id: int, max_pages: int = DE
         swap_snapshot(numbered_entities(kind, folded, _highest_seq(old)), root, table, batch_id)
 
     results = delivery_results(classified, created, existing)
-    runs = run_rows(pages, run_tally(results, counted))
-    append_log(runs, root, "ingestion_runs", batch_id)
-    return spark.read.parquet(f"{root.rstrip('/')}/ingestion_runs/batch_id={batch_id}")
+    fetched = states.join(skipped, ["run_id", "page_no"], "left_anti")
+    append_log(run_rows(states, run_tally(results, fetched)), root, "ingestion_runs", batch_id)

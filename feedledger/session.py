@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,6 +63,25 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+_area: ContextVar[str | None] = ContextVar("staging_area", default=None)
+
+
+@contextmanager
+def staging_area(spark: SparkSession, label: str):
+    """A folder for everything staged inside the block, removed when the block succeeds.
+
+    After a failure it stays, so that what was staged can be looked at.
+    """
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    token = _area.set(path)
+    try:
+        yield path
+    finally:
+        _area.reset(token)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -68,6 +89,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     lineage, and each reader prunes the columns it does not need.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    folder = _area.get() or shared_dir(spark).rstrip("/")
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -16,8 +16,8 @@ ELEMENT_SQL = (
 
 def _wrapped(body: Column) -> Column:
     # The variant parser stops at the end of the first value. Framing the body with its own
-    # digest proves that the value it read is the whole body and nothing follows it.
-    return F.try_parse_json(F.concat(F.lit("["), body, F.lit(',"'), F.md5(body), F.lit('"]')))
+    # hash proves that the value it read is the whole body and nothing follows it.
+    return F.try_parse_json(F.concat(F.lit("["), body, F.lit(","), F.xxhash64(body).cast("string"), F.lit("]")))
 
 
 def parse_whole(df: DataFrame, body: str) -> DataFrame:
@@ -25,7 +25,7 @@ def parse_whole(df: DataFrame, body: str) -> DataFrame:
     return (
         df.withColumn("_framed", _wrapped(F.col(body)))
         .withColumn("native", F.when(
-            F.try_variant_get("_framed", "$[1]", "string") == F.md5(F.col(body)),
+            F.col(body).isNotNull() & (F.try_variant_get("_framed", "$[1]", "bigint") == F.xxhash64(body)),
             F.try_variant_get("_framed", "$[0]", "variant")))
         .drop("_framed")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from feedledger.functions.http import header, next_link, request_key
+from feedledger.functions.http import header, http_class, next_link, request_key
 from feedledger.functions.json_values import class_name, kind_of_shape
 from feedledger.schemas import FETCH_LOG
 from feedledger.sources.json_bodies import elements_once, parse_whole, with_elements
@@ -43,12 +43,13 @@ def stream_pages(spark: SparkSession, path: str, bare: bool = False, max_files:
 
 
 def page_state(pages: DataFrame) -> DataFrame:
-    """Per page, without its body: answered, readable as an array, empty, and its next link."""
+    """Per page, without its body: its answer's class, whether it is readable as an array,
+    whether it is empty, and its next link."""
     parsed = parse_whole(pages, "body")
     opens = F.col("body").rlike(r"^[ \t\r\n]*\[")
     return parsed.select(
         *[c for c in _META if c in pages.columns], "request_url", "status",
-        F.coalesce(F.col("status").between(200, 299), F.lit(False)).alias("answered"),
+        http_class(F.col("status"), F.col("headers")).alias("http_class"),
         F.coalesce(F.col("native").isNotNull() & opens, F.lit(False)).alias("is_array"),
         F.coalesce(F.col("body").rlike(r"^\s*\[\s*\]\s*\z"), F.lit(False)).alias("is_empty"),
         next_link(header(F.col("headers"), "link")).alias("next_url"),
@@ -56,22 +57,28 @@ def page_state(pages: DataFrame) -> DataFrame:
 
 
 def walk_stops(pages: DataFrame, max_pages: int = DEFAULT_MAX_PAGES) -> DataFrame:
+    """``stops_of`` over landed pages."""
+    return stops_of(page_state(pages), max_pages)
+
+
+def stops_of(states: DataFrame, max_pages: int = DEFAULT_MAX_PAGES) -> DataFrame:
     """Where each run's walk ends and why: ``(run_id, stop_page, stop_reason, counted_through)``.
 
     Reasons are tested page by page in this order: unusable page, empty page, no next
     link, a link already visited, the cap. ``counted_through`` is the last page whose
     envelopes count; an unusable page ends the walk but does not count.
     """
-    states = page_state(pages).withColumn("next_key", request_key(F.col("next_url")))
+    states = states.withColumn("next_key", request_key(F.col("next_url")))
     first = states.where("page_no = 1").select(
         "run_id", F.lit(0).alias("page_no"), request_key(F.col("request_url")).alias("next_key"))
     targets = states.select("run_id", "page_no", "next_key").unionByName(first).where("next_key IS NOT NULL")
-    # The second sight of a target in page order is the loop; a run's first loop is what counts.
+    # The second sight of a target in page order is the loop; a run's first loop is what
+    # counts. The rank filter keeps two rows per target on the map side.
     sightings = Window.partitionBy("run_id", "next_key").orderBy("page_no")
-    loops = (targets.withColumn("_n", F.row_number().over(sightings)).where("_n = 2")
+    loops = (targets.withColumn("_n", F.row_number().over(sightings)).where("_n <= 2").where("_n = 2")
              .groupBy("run_id").agg(F.min("page_no").alias("loop_page")))
     reason = (
-        F.when(~F.col("answered") | ~F.col("is_array"), "page_error")
+        F.when(F.coalesce(F.col("http_class") != "ok", F.lit(True)) | ~F.col("is_array"), "page_error")
         .when(F.col("is_empty"), "empty_page")
         .when(F.col("next_url").isNull(), "no_next_link")
     )
@@ -80,21 +87,25 @@ def walk_stops(pages: DataFrame, max_pages: int = DEFAULT_MAX_PAGES) -> DataFram
                  F.min(F.when(F.col("_reason").isNotNull(), F.struct("page_no", "_reason"))).alias("_local"),
                  F.max("page_no").alias("_last")))
     joined = local.join(loops, "run_id", "left")
-    candidates = F.array_compact(F.array(
-        F.when(F.col("_local").isNotNull(), F.struct(
-            F.col("_local.page_no").alias("page"), F.lit(1).alias("rank"), F.col("_local._reason").alias("reason"))),
-        F.when(F.col("loop_page").isNotNull(), F.struct(
-            F.col("loop_page").alias("page"), F.lit(2).alias("rank"), F.lit("link_loop").alias("reason"))),
-        F.struct(F.lit(max_pages).alias("page"), F.lit(3).alias("rank"), F.lit("page_cap").alias("reason")),
-    ))
-    chosen = F.array_min(candidates)
+
+    def stop(page, rank: int, why):
+        return F.when(page.isNotNull(), F.struct(page.alias("page"), F.lit(rank).alias("rank"), why.alias("reason")))
+
+    chosen = F.least(
+        stop(F.col("_local.page_no"), 1, F.col("_local._reason")),
+        stop(F.col("loop_page"), 2, F.lit("link_loop")), stop(F.lit(max_pages), 3, F.lit("page_cap")))
+    ended = F.col("_stop.page") <= F.col("_last")
     return joined.select("run_id", chosen.alias("_stop"), "_last").select(
-        "run_id",
-        F.least(F.col("_stop.page"), F.col("_last")).alias("stop_page"),
-        F.when(F.col("_stop.page") <= F.col("_last"), F.col("_stop.reason")).alias("stop_reason"),
+        "run_id", F.least(F.col("_stop.page"), F.col("_last")).alias("stop_page"),
+        F.when(ended, F.col("_stop.reason")).alias("stop_reason"),
         (F.least(F.col("_stop.page"), F.col("_last"))
-         - F.when((F.col("_stop.reason") == "page_error") & (F.col("_stop.page") <= F.col("_last")), 1)
-         .otherwise(0)).alias("counted_through"))
+         - F.when(ended & (F.col("_stop.reason") == "page_error"), 1).otherwise(0)).alias("counted_through"))
+
+
+def left_out(states: DataFrame, stops: DataFrame) -> DataFrame:
+    """Keys of the landed pages past their run's stop."""
+    return (states.select("run_id", "page_no").join(stops, "run_id")
+            .where("page_no > counted_through").select("run_id", "page_no"))
 
 
 def walk_order(pages: DataFrame, max_pages: int = DEFAULT_MAX_PAGES) -> DataFrame:
@@ -103,10 +114,8 @@ def walk_order(pages: DataFrame, max_pages: int = DEFAULT_MAX_PAGES) -> DataFram
     Runs that stop early name the few pages to leave out, so page bodies are filtered
     against a narrow list instead of being shuffled to meet their run's stop.
     """
-    stops = walk_stops(pages, max_pages)
-    left_out = (pages.select("run_id", "page_no").join(stops, "run_id")
-                .where("page_no > counted_through").select("run_id", "page_no"))
-    return pages.join(left_out, ["run_id", "page_no"], "left_anti")
+    states = pages.select("run_id", "page_no")
+    return pages.join(left_out(states, walk_stops(pages, max_pages)), ["run_id", "page_no"], "left_anti")
 
 
 def explode_envelopes(pages: DataFrame) -> DataFrame:

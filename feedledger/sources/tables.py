@@ -102,6 +102,19 @@ def current_version(spark: SparkSession, root: str, table: str) -> int | None:
     return versions[-1] if versions else None
 
 
+def expire_versions(spark: SparkSession, root: str, table: str, keep: int = 2) -> list[int]:
+    """Removes complete versions older than the ``keep`` newest; the live one always stays.
+
+    ``keep`` is at least two, because a replayed batch starts from the version before its own.
+    """
+    live = current_version(spark, root, table)
+    old = [v for v in _versions(spark, root, table)[:-max(keep, 2)] if v != live]
+    for version in old:
+        fs, target = _filesystem(spark, _join(root, table, f"version={version}"))
+        fs.delete(target, True)
+    return old
+
+
 def read_snapshot(spark: SparkSession, root: str, table: str, before: int | None = None) -> DataFrame:
     """The live version, or while batch ``before`` is worked on, the version before it."""
     schema = S.TABLES[table]

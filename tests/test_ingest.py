@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from corpus import PAGE_1, PAGE_2, log, nxt, push
 from feedledger.operators.ingest import ingest_batch
 from feedledger.plans.reports import entity_state_fingerprint
-from feedledger.sources.tables import check_constraints, read_log, read_snapshot
+from feedledger.sources.tables import check_constraints, expire_versions, read_log, read_snapshot
 
 
 def counters(run):
@@ -97,3 +97,10 @@ def test_failed_and_deferred_runs(spark, tmp_path):
     status = F.when(F.col("run_id") == "late", 429).when(F.col("run_id") == "gone", 404).otherwise(200)
     runs = ingest_batch(pages.withColumn("status", status), str(tmp_path), 0).collect()
     assert {r["run_id"]: r["status"] for r in runs} == {"bad": "failed", "late": "deferred", "gone": "failed"}
+
+
+def test_expired_versions_leave_the_live_one(spark, root):
+    before = read_snapshot(spark, root, "actors").count()
+    assert expire_versions(spark, root, "actors") == [0]
+    assert expire_versions(spark, root, "actors", keep=0) == []
+    assert read_snapshot(spark, root, "actors").count() == before
