@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from feedledger.functions.scalars import is_blank, seconds_before, shift_seconds
 from feedledger.operators.ranking import global_rank
-from feedledger.schemas import CANDIDATE_STATUSES, IDENTIFIER
+from feedledger.schemas import BATCHES, CANDIDATE_STATUSES, IDENTIFIER
 
 # Stages each queue takes from, and default sizes.
 BACKLOG_STAGES = ("batch_pending", "retry_scheduled", "batch_in_flight")
@@ -138,6 +138,26 @@ def plan_batches(kind: str, entities: DataFrame, now: Column, size: int = BATCH_
         F.size("_m").alias("requested_count"))
 
 
+def plan_details(kind: str, entities: DataFrame, now: Column) -> DataFrame:
+    """Every entity due for a lookup of its own, as a batch of one."""
+    waiting = detail_due(entities, now).select(*_candidate(kind, "detail"))
+    return waiting.withColumn("request_batch_id", batch_id_of(kind, "detail", now, F.col("github_id")))
+
+
+def open_batches(members: DataFrame, request_kind: str, now: Column) -> DataFrame:
+    """Batch rows, in flight, of planned members; a batch has at most ``size`` members."""
+    listed = members.groupBy("request_batch_id", "entity_kind").agg(
+        F.sort_array(F.collect_list(F.struct("seq", "github_id", "identifier"))).alias("_m"))
+    known = {
+        "correlation_id": F.col("request_batch_id"), "request_kind": F.lit(request_kind),
+        "entity_kind": F.col("entity_kind"), "status": F.lit("in_flight"),
+        "requested_github_ids": F.col("_m.github_id"), "requested_identifiers": F.col("_m.identifier"),
+        "requested_count": F.size("_m"), "started_at": now, "created_at": now, "updated_at": now,
+        **{f"{c}_count": F.lit(0) for c in ("returned", "valid", "missing", "invalid")},
+    }
+    return listed.select(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in BATCHES.fields])
+
+
 def leases_for(members: DataFrame, now: Column, seconds: int = LEASE_SECONDS) -> DataFrame:
     """Members with the token and term under which an answer may change them."""
     return members.withColumns({

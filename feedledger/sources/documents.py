@@ -21,7 +21,7 @@ ANSWER_LOG = T.StructType([
     T.StructField("error_message", T.StringType()),
 ])
 
-# Classes of an exchange that ended before GitHub answered.
+# Classes of an exchange that brought no answer, or a refusal to answer now.
 DEFERRED_CLASSES = ("budget_denied", "gate_unavailable", "rate_limited", "secondary_limited")
 
 
