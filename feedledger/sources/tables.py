@@ -29,26 +29,41 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 # --- append logs -------------------------------------------------------------------------
 
 
+# The instant each log is laid out by, one folder per day, and further folder columns.
+_DAYS = {"push_events": "created_at", "observations": "observed_at"}
+_FOLDERS = {"observations": ("entity_kind",)}
+
+
 def append_log(df: DataFrame, root: str, table: str, batch_id: int) -> None:
     """Adds the batch's rows; writing the same batch again replaces them."""
-    (df.withColumn("batch_id", F.lit(batch_id).cast("long"))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("batch_id").parquet(_join(root, table)))
+    rows = df.withColumn("batch_id", F.lit(batch_id).cast("long"))
+    folders = [*_FOLDERS.get(table, ())]
+    if table in _DAYS:
+        rows = rows.withColumn("day", F.to_date(_DAYS[table]))
+        folders.append("day")
+    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*folders, "batch_id").parquet(_join(root, table)))
 
 
-def read_log(spark: SparkSession, root: str, table: str, before: int | None = None) -> DataFrame:
+def read_log(spark: SparkSession, root: str, table: str, before: int | None = None,
+             since: Column | None = None) -> DataFrame:
     """Rows of the log, of earlier batches only when a batch is being worked on.
 
     A replayed batch must not meet its own rows, or it would take them for duplicates.
+    ``since`` opens only the folders of that day and later; the day itself comes whole.
     """
     schema = S.TABLES[table]
     path = _join(root, table)
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
-    stored = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
-    rows = spark.read.schema(stored).parquet(path)
+    laid_out = [T.StructField("batch_id", T.LongType())]
+    if table in _DAYS:
+        laid_out.append(T.StructField("day", T.DateType()))
+    rows = spark.read.schema(T.StructType([*schema.fields, *laid_out])).parquet(path)
     if before is not None:
         rows = rows.where(F.col("batch_id") < before)
+    if since is not None and table in _DAYS:
+        rows = rows.where(F.col("day") >= F.to_date(since))
     return rows.select(*schema.names)
 
 

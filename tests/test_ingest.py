@@ -99,6 +99,13 @@ def test_failed_and_deferred_runs(spark, tmp_path):
     assert {r["run_id"]: r["status"] for r in runs} == {"bad": "failed", "late": "deferred", "gone": "failed"}
 
 
+def test_logs_open_only_the_days_asked_for(spark, root):
+    whole = read_log(spark, root, "push_events")
+    assert read_log(spark, root, "push_events", since=F.lit("2026-07-29")).count() == whole.count() == 6
+    later = read_log(spark, root, "push_events", since=F.lit("2026-07-30"))
+    assert later.count() == 0 and "PartitionFilters" in later._jdf.queryExecution().toString()
+
+
 def test_expired_versions_leave_the_live_one(spark, root):
     before = read_snapshot(spark, root, "actors").count()
     assert expire_versions(spark, root, "actors") == [0]
