@@ -167,10 +167,17 @@ def brute_classes(rows) -> dict:
             i = parent[i]
         return i
 
-    for i, j in itertools.combinations(range(len(rows)), 2):
-        union = sum((bags[i] | bags[j]).values())
-        if union and bags[i] and bags[j] and sum((bags[i] & bags[j]).values()) >= 0.8 * union:
-            parent[root(j)] = root(i)
+    having = defaultdict(list)
+    for i, own in enumerate(bags):
+        shared = Counter()
+        for item, n in own.items():
+            for j, m in having[item]:
+                shared[j] += min(n, m)
+            having[item].append((i, n))
+        size = sum(own.values())
+        for j, both in shared.items():
+            if both >= 0.8 * (size + sum(bags[j].values()) - both):
+                parent[root(j)] = root(i)
     least = defaultdict(list)
     for i, (doc, _) in enumerate(rows):
         least[root(i)].append(doc)
