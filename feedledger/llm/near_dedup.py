@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from feedledger.llm.components import components
+from feedledger.llm.sieve import passes, sieve
 from feedledger.llm.worker import kept, ship
 from feedledger.session import stage
 
@@ -17,6 +18,8 @@ ship(__name__)
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 64, 8  # a pair at similarity 0.8 shares no band with probability 1e-5
+FIRST_BANDS = 4  # bands that gather large classes before the others are looked at
+MORE_PIVOTS = 4
 BATCH_BYTES = 1 << 21
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -185,10 +188,12 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return narrow.mapInArrow(run, f"id {kind}, n long, bag_a long, bag_b long, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """One row per text: its bag's name and ``items``, a number for every shingle and repeat of it."""
+def shingle_sets(docs: DataFrame, wanted: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per text whose id passes the sieve ``wanted``: its bag's name and ``items``, a
+    number for every shingle and repeat of it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(passes(wanted, batch.column(0).to_numpy())))
             for first, last, raw, owner in _groups(batch):
                 d, h, c = bags(*shingles(raw, owner))
                 n = last - first
@@ -200,7 +205,20 @@ def shingle_sets(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     [pa.array(a), pa.array(b), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(items))],
                     names=["bag_a", "bag_b", "items"])
 
-    return docs.select(F.lit(0), text_col).mapInArrow(run, "bag_a long, bag_b long, items array<long>")
+    return docs.select(F.xxhash64(id_col), text_col).mapInArrow(run, "bag_a long, bag_b long, items array<long>")
+
+
+def _slots(nodes: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """A row per node and band whose bucket passes the sieve: ``bucket``, ``band``, ``node``, ``n``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buckets = batch.column(2).flatten().to_numpy()
+            at = np.flatnonzero(passes(wanted, buckets))
+            rows = pa.array(at // BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(buckets[at]), pa.array((at % BANDS).astype(np.int32)), batch.column(0).take(rows), batch.column(1).take(rows)],
+                                             names=["bucket", "band", "node", "n"])
+
+    return nodes.select("node", "n", "bands").mapInArrow(run, "bucket long, band int, node long, n long")
 
 
 def _overlap(threshold: float) -> Column:
@@ -218,18 +236,19 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, id_col: str
     are. In a bucket of a band nobody is paired with everybody: a pivot meets the members that
     are not yet in its component, and a member that has been a pivot is done; a bucket ends
     when those not done are of one component, so every candidate link is verified or
-    implied. Each round takes twice as many pivots, so rounds are few. Nulls, empty texts and texts
+    implied. A few bands are worked through first: they join nearly all of a large class, whose
+    members then need not meet in the other bands. Each round takes more pivots, so rounds are few. Nulls, empty texts and texts
     without a word are classes of their own; a null id counts as smallest; repeated rows fall
     in one class; other columns are ignored.
     """
     signed = stage(signatures(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "signatures")
     nodes = stage(signed.where("n > 0").groupBy("bag_a", "bag_b").agg(F.min(F.struct("row", "id")).alias("first"), F.min("n").alias("n"))
                   .select("bag_a", "bag_b", "n", F.col("first.row").alias("node"), F.col("first.id").alias("id")), "nodes")
-    slots = (signed.select("row", "bands").join(nodes.select("node", "n"), F.col("row") == F.col("node"))
-             .select(F.explode("bands").alias("bucket"), "node", "n"))
-    slots = stage(slots, "slots")
-    shared = slots.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1").select("bucket")
-    members = stage(slots.join(shared, "bucket").withColumn("done", F.lit(False)), "bucket-members")
+    bands = signed.select("row", "bands").join(nodes.select("node", "n"), F.col("row") == F.col("node"))
+    bands = stage(bands.select("node", "n", "bands"), "bands")
+    shared = stage(bands.select(F.explode("bands").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("members"))
+                   .where("members > 1").select("bucket"), "shared-buckets")
+    members = stage(_slots(bands, sieve(shared, "bucket")).join(shared, "bucket"), "bucket-members")
     links = _links(docs, nodes, members, threshold, id_col, text_col)
     label = components(links, "node", "pivot")
     named = (signed.join(nodes.select("bag_a", "bag_b", "node"), ["bag_a", "bag_b"], "left")
@@ -243,45 +262,56 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, id_col: str
 
 def _links(docs, nodes, members, threshold, id_col, text_col) -> DataFrame:
     """Verified links (``node``, ``pivot``) that give the components of all candidate links."""
-    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi")
-    texts = docs.select(F.col(id_col).alias("own_id"), text_col).join(
-        wanted.select("id"), F.col("own_id").eqNullSafe(F.col("id")), "left_semi")
-    sets = (shingle_sets(texts, text_col).join(wanted, ["bag_a", "bag_b"]).groupBy("node")
+    wanted = stage(nodes.join(members.select("node").distinct(), "node", "left_semi").withColumn("key", F.xxhash64("id")), "candidates")
+    sets = (shingle_sets(docs, sieve(wanted, "key"), id_col, text_col).join(wanted, ["bag_a", "bag_b"]).groupBy("node")
             .agg(F.first("items").alias("items")))
     sets = stage(sets, "shingle-sets")
-    links = None
+    alone = members.select("bucket", "band", "node", "n", F.lit(False).alias("done"), F.col("node").alias("component"))
+    links = _verified(_pairs(alone.where(F.col("band") < FIRST_BANDS), 1, threshold)[0], sets, threshold)
+    members = _open(_labelled(alone, links))
     pivots_per_bucket = 1
-    while True:
-        spread = F.pmod(F.xxhash64("node"), F.lit(pivots_per_bucket))
-        pivots = (members.where(~F.col("done")).groupBy("bucket", spread.alias("spread")).agg(F.min("node").alias("pivot"))
-                  .select("bucket", "pivot"))
-        chosen = pivots.join(members.select("bucket", F.col("node").alias("pivot"), F.col("n").alias("pivot_n"),
-                                            *([F.col("component").alias("pivot_component")] if links is not None else [])),
-                             ["bucket", "pivot"])
-        apart = F.col("node") != F.col("pivot")
-        if links is not None:
-            apart &= F.col("component") != F.col("pivot_component")
-        near = F.least("n", "pivot_n") >= F.lit(threshold) * F.greatest("n", "pivot_n")
-        pairs = (members.join(chosen, "bucket").where(apart & near)
-                 .select(F.greatest("node", "pivot").alias("node"), F.least("node", "pivot").alias("pivot")).distinct())
-        found = (pairs.join(sets, "node")
-                 .join(sets.select(F.col("node").alias("pivot"), F.col("items").alias("pivot_items")), "pivot")
-                 .where(_overlap(threshold)).select("node", "pivot"))
-        found = stage(found, "links")
-        links = found if links is None else links.union(found)
-        label = components(links, "node", "pivot").withColumnRenamed("node", "labelled")
+    while not members.isEmpty():
+        pairs, pivots = _pairs(members, pivots_per_bucket, threshold)
+        links = links.union(_verified(pairs, sets, threshold))
         done = pivots.select("bucket", F.col("pivot").alias("node"), F.lit(True).alias("now"))
-        members = (members.select("bucket", "node", "n", "done").join(done, ["bucket", "node"], "left")
-                   .join(label, F.col("node") == F.col("labelled"), "left")
-                   .select("bucket", "node", "n", (F.col("done") | F.col("now").isNotNull()).alias("done"),
-                           F.coalesce("component", "node").alias("component")))
-        members = stage(members, "bucket-members")
-        open_ = (members.where(~F.col("done")).groupBy("bucket")
-                 .agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket"))
-        members = stage(members.join(open_, "bucket"), "bucket-members")
-        if members.isEmpty():
-            return links
-        pivots_per_bucket *= 2
+        members = (members.join(done, ["bucket", "node"], "left")
+                   .select("bucket", "node", "n", (F.col("done") | F.col("now").isNotNull()).alias("done")))
+        members = _open(_labelled(members, links))
+        pivots_per_bucket *= MORE_PIVOTS
+    return links
+
+
+def _pairs(members: DataFrame, per_bucket: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs of a pivot and a member of another component that may reach the threshold; the pivots."""
+    spread = F.pmod(F.xxhash64("node"), F.lit(per_bucket))
+    pivots = (members.where(~F.col("done")).groupBy("bucket", spread.alias("spread")).agg(F.min("node").alias("pivot"))
+              .select("bucket", "pivot"))
+    own = members.select("bucket", F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("component").alias("pivot_component"))
+    near = F.least("n", "pivot_n") >= F.lit(threshold) * F.greatest("n", "pivot_n")
+    pairs = (members.join(pivots.join(own, ["bucket", "pivot"]), "bucket").where(near & (F.col("component") != F.col("pivot_component")))
+             .select(F.greatest("node", "pivot").alias("node"), F.least("node", "pivot").alias("pivot")).distinct())
+    return pairs, pivots
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    found = (pairs.join(sets, "node")
+             .join(sets.select(F.col("node").alias("pivot"), F.col("items").alias("pivot_items")), "pivot")
+             .where(_overlap(threshold)).select("node", "pivot"))
+    return stage(found, "links")
+
+
+def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The members with the components that the links so far give."""
+    label = components(links, "node", "pivot").withColumnRenamed("node", "labelled").withColumnRenamed("component", "now")
+    labelled = members.join(label, F.col("node") == F.col("labelled"), "left")
+    return stage(labelled.select("bucket", "node", "n", "done", F.coalesce("now", "node").alias("component")), "bucket-members")
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """Members of the buckets whose rows not done are of several components."""
+    buckets = (members.where(~F.col("done")).groupBy("bucket")
+               .agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket"))
+    return stage(members.join(buckets, "bucket"), "bucket-members")
 
 
 def keep_one(docs: DataFrame, threshold: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
