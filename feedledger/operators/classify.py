@@ -29,11 +29,6 @@ TAXONOMY = {
     "identifier_out_of_range": "missing_required_field",
 }
 PRECEDENCE = tuple(TAXONOMY)
-GROUP_LABELS = {
-    "invalid_envelope": "Event missing `type` or with an invalid envelope",
-    "missing_required_field": "`PushEvent` missing a required field",
-    "integrity_failure": "`payload.repository_id` != `repo.id`",
-}
 REQUIRED_PAYLOAD_FIELDS = ("repository_id", "push_id", "ref", "head", "before")
 
 # 40 or 64 hexadecimal digits and nothing else.
@@ -63,11 +58,10 @@ def handled_types(requested: str | Iterable[str] = HANDLED_TYPES) -> tuple[str,
     names = [requested] if isinstance(requested, str) else list(requested)
     cleaned = [name for name in (str(n).strip() for n in names) if name]
     if not cleaned:
-        raise ValueError("no event types were configured to process")
+        raise ValueError("name at least one event type")
     unknown = sorted(set(cleaned) - set(HANDLED_TYPES))
     if unknown:
-        raise ValueError(f"no event processor implements {', '.join(unknown)}; "
-                         f"implemented types: {', '.join(sorted(HANDLED_TYPES))}")
+        raise ValueError(f"unknown event types {', '.join(unknown)}; known are {', '.join(sorted(HANDLED_TYPES))}")
     return tuple(dict.fromkeys(cleaned))
 
 

@@ -16,7 +16,7 @@ from feedledger.operators.ranking import global_rank
 from feedledger.schemas import ARRIVAL, ENTITY_TABLES, INGESTION_RUNS, PUSH_EVENTS
 from feedledger.session import configure, stage, staging_area
 from feedledger.sources.pages import (
-    DEFAULT_MAX_PAGES, explode_envelopes, left_out, page_state, stops_of,
+    explode_envelopes, left_out, page_state, stops_of,
 )
 from feedledger.sources.tables import append_log, read_log, read_snapshot, swap_snapshot
 
@@ -65,7 +65,7 @@ def numbered_entities(kind: str, folded: DataFrame, highest: int) -> DataFrame:
     return kept.where("seq IS NOT NULL").select(*names).unionByName(ranked.select(*names))
 
 
-def ingest_batch(pages: DataFrame, root: str, batch_id: int, max_pages: int = DEFAULT_MAX_PAGES,
+def ingest_batch(pages: DataFrame, root: str, batch_id: int, max_pages: int | None = None,
                  types: str | Iterable[str] = HANDLED_TYPES) -> DataFrame:
     """Takes one batch of landed pages into the tables under ``root``; returns its run rows.
 
@@ -79,7 +79,7 @@ def ingest_batch(pages: DataFrame, root: str, batch_id: int, max_pages: int = DE
     return spark.read.schema(INGESTION_RUNS).parquet(f"{root.rstrip('/')}/ingestion_runs/batch_id={batch_id}")
 
 
-def _take(spark: SparkSession, pages: DataFrame, root: str, batch_id: int, max_pages: int,
+def _take(spark: SparkSession, pages: DataFrame, root: str, batch_id: int, max_pages: int | None,
           types: str | Iterable[str]) -> None:
     # Page bodies are read twice and never shuffled: once for the walk, once to classify.
     states = stage(page_state(pages), "pages")

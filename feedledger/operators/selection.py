@@ -176,7 +176,7 @@ def share_quota(actors: DataFrame, repositories: DataFrame, allowance: int, shar
     """Rows of both queues that the allowance covers, oldest first in each class.
 
     A class first gets its guarantee; what one leaves over goes to the other. ``allowance``
-    is a request quota, so the rows kept are few by nature, not by a cap of ours.
+    is a request quota. Positions come from a range sort, so no task holds a whole queue.
     """
     quotas = dict(zip(("actor", "repository"), split_allowance(allowance, share)))
     frames = {"actor": actors, "repository": repositories}
@@ -185,8 +185,7 @@ def share_quota(actors: DataFrame, repositories: DataFrame, allowance: int, shar
 
     def taken(kind: str, other: str) -> DataFrame:
         lent = F.greatest(F.lit(quotas[other]) - F.col(f"_{other}_n"), F.lit(0))
-        first = frames[kind].orderBy(*order).limit(allowance)
-        numbered = first.withColumn("position", F.row_number().over(Window.orderBy(*order)))
+        numbered = global_rank(frames[kind], list(order), "position")
         return (numbered.crossJoin(F.broadcast(counts))
                 .where(F.col("position") <= F.lit(quotas[kind]) + lent)
                 .select(F.lit(kind).alias("entity_kind"), "github_id", "position",

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from feedledger.functions.http import rate_limit_fields
-from feedledger.functions.scalars import backoff, shift_seconds, truncate_text
+from feedledger.functions.scalars import backoff, shift_seconds
 from feedledger.operators.matching import (
     APPLIED, exploded_items, match_items, search_observation_id, unrequested_items, validate_details,
     validate_items,
@@ -20,8 +20,6 @@ from feedledger.schemas import ENTITY_TABLES
 from feedledger.sources.documents import DEFERRED_CLASSES, answer_class
 
 # Limits and reasons.
-RESPONSE_BODY_LIMIT = 65_536
-ERROR_LIMIT = 1_000
 DETAIL_MAX_ATTEMPTS = 3
 TERMINAL_CLASSES = ("not_found", "client_error", "permanent_error")
 UNSEARCHABLE_SIGNAL = "cannot be searched"
@@ -205,7 +203,7 @@ def apply_outcomes(kind: str, entities: DataFrame, outcomes: DataFrame, now: Col
         "terminal_at": [(is_("detail_terminal"), now), (is_("detail_retry"), none)],
         "detail_pending_at": [(is_("fallback"), now)],
         "last_error": [(done, none), (is_("fallback"), F.col("_reason")),
-                       (failed_detail, truncate_text(F.coalesce("_reason", F.lit("")), ERROR_LIMIT))],
+                       (failed_detail, F.coalesce("_reason", F.lit("")))],
         "fetched_at": [(done, now)], "batch_applied_at": [(done, now)],
         "contract_completed_at": [(done, F.coalesce("contract_completed_at", now))],
         "latest_observation_id": [(done, F.col("_observation"))],
@@ -266,7 +264,7 @@ def batch_results(guarded: DataFrame, verdicts: DataFrame, extras: DataFrame) ->
         F.when(ok, F.col("total_count")).cast("int").alias("total_count"),
         F.when(ok, F.col("incomplete_results")).alias("incomplete_results"),
         F.col("status").alias("response_status"),
-        F.when(F.col("answer_class") != "ok", truncate_text(F.coalesce("body", F.lit("")), RESPONSE_BODY_LIMIT))
+        F.when(F.col("answer_class") != "ok", F.coalesce("body", F.lit("")))
         .alias("response_body"),
         rate_limit_fields(F.col("headers"), F.col("received_at")).alias("quota"))
 
@@ -287,7 +285,7 @@ def detail_results(judged: DataFrame, guarded: DataFrame) -> DataFrame:
         (failed | lost).cast("int").alias("invalid_count"), F.lit(0).alias("fallback_count"),
         F.lit(None).cast("int").alias("total_count"), F.lit(None).cast("boolean").alias("incomplete_results"),
         F.col("status").alias("response_status"),
-        F.when(F.col("answer_class") != "ok", truncate_text(F.coalesce("body", F.lit("")), RESPONSE_BODY_LIMIT))
+        F.when(F.col("answer_class") != "ok", F.coalesce("body", F.lit("")))
         .alias("response_body"),
         rate_limit_fields(F.col("headers"), F.col("received_at")).alias("quota"))
 

@@ -36,7 +36,7 @@ def page_request(**params) -> PageRequest:
     """Checked listing parameters; text is accepted as it comes from a caller."""
     unknown = sorted(set(params) - set(PERMITTED))
     if unknown:
-        raise InvalidParameter(unknown[0], "is not a parameter this endpoint accepts")
+        raise InvalidParameter(unknown[0], "has no meaning in this listing")
 
     def number(name: str, top: int, message: str) -> int | None:
         value = params.get(name)
@@ -47,8 +47,8 @@ def page_request(**params) -> PageRequest:
             raise InvalidParameter(name, message)
         return int(text)
 
-    limit = number("limit", MAX_LIMIT, f"must be an integer from 1 to {MAX_LIMIT}")
-    identifier = f"must be a GitHub id from 1 to {MAX_IDENTIFIER}"
+    limit = number("limit", MAX_LIMIT, f"takes a whole number, 1 up to {MAX_LIMIT}")
+    identifier = f"takes an identifier, 1 up to {MAX_IDENTIFIER}"
     cursor = params.get("cursor")
     return PageRequest(
         limit=limit or DEFAULT_LIMIT, cursor=cursor if cursor and str(cursor).strip() else None,
@@ -59,7 +59,7 @@ def page_request(**params) -> PageRequest:
 def _position(events: DataFrame, cursor: str):
     row = events.sparkSession.range(1).select(decode_cursor(F.lit(cursor)).alias("c")).select("c.*").first()
     if row is None or row["occurred_at"] is None:
-        raise InvalidParameter("cursor", "is not a cursor this endpoint issued")
+        raise InvalidParameter("cursor", "does not come from an earlier page")
     return row
 
 

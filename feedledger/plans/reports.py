@@ -35,14 +35,17 @@ def coverage(events: DataFrame, actors: DataFrame, repositories: DataFrame, now:
 
     joined = (pairs.join(completeness(actors, "github_actor_id", "a"), "github_actor_id")
               .join(completeness(repositories, "github_repository_id", "r"), "github_repository_id"))
-    counts = joined.agg(
+
+    def entities(key: str, complete: str, name: str) -> DataFrame:
+        own = joined.groupBy(key).agg(F.max(complete).alias("done"))
+        return own.agg(F.count(key).alias(f"{name}_count"), F.count_if("done").alias(f"complete_{name}_count"))
+
+    events_seen = joined.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("event_count"),
-        F.count_distinct("github_actor_id").alias("actor_count"),
-        F.count_distinct(F.when(F.col("a"), F.col("github_actor_id"))).alias("complete_actor_count"),
-        F.count_distinct("github_repository_id").alias("repository_count"),
-        F.count_distinct(F.when(F.col("r"), F.col("github_repository_id"))).alias("complete_repository_count"),
-        F.coalesce(F.sum(F.when(F.col("a") & F.col("r"), F.col("n"))), F.lit(0))
-        .alias("both_complete_event_count"))
+        F.coalesce(F.sum(F.when(F.col("a") & F.col("r"), F.col("n"))), F.lit(0)).alias("both_complete_event_count"))
+    # Three frames of one row each.
+    counts = (events_seen.crossJoin(entities("github_actor_id", "a", "actor"))
+              .crossJoin(entities("github_repository_id", "r", "repository")))
     return counts.select(
         F.lit(window).alias("window_seconds"), seconds_before(now, window).alias("window_start"),
         "event_count", "actor_count", "complete_actor_count",
@@ -262,8 +265,8 @@ def entity_state_fingerprint(actors: DataFrame, repositories: DataFrame,
                              ) -> DataFrame:
     """One digest of all entity rows that does not depend on row order or placement.
 
-    Row hashes are added up and xor-ed, which combines on the map side; the reference form,
-    one ordered string of all rows, would pass every row through one task.
+    Row hashes are added up and xor-ed, which combines on the map side; one ordered
+    string of all rows, would pass every row through one task.
     """
     def hashed(df: DataFrame, kind: str) -> DataFrame:
         return df.select(F.xxhash64(F.lit(kind), F.col("github_id"), *[

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from feedledger.functions.http import http_class, rate_limit_fields
 from feedledger.functions.scalars import backoff, shift_seconds
+from feedledger.sources.json_bodies import parse_whole
+from feedledger.sources.pages import is_array_page
 
 # The instants a poll waits for, in the order ties are named, and the cadence.
 COMPONENTS = ("cadence_due_at", "poll_floor_until", "retry_not_before_at", "global_blocked_until",
@@ -49,12 +51,17 @@ def poll_due(sources: DataFrame, source_type: str, now: Column) -> DataFrame:
 
 
 def run_log(pages: DataFrame) -> DataFrame:
-    """One row per run from its first page: what was answered, and what the headers asked for."""
-    first = pages.where("page_no = 1")
+    """One row per run from its first page: what was answered, and what the headers asked for.
+
+    An answer that is no JSON array is a failure, whatever its status.
+    """
+    first = parse_whole(pages.where("page_no = 1"), "body")
+    answer = http_class(F.col("status"), F.col("headers"))
+    malformed = (answer == "ok") & ~is_array_page()
     quota = rate_limit_fields(F.col("headers"), F.col("received_at"))
     return first.select(
         "source_id", "run_id", F.col("received_at").alias("polled_at"),
-        http_class(F.col("status"), F.col("headers")).alias("http_class"),
+        F.when(malformed, "malformed_page").otherwise(answer).alias("http_class"),
         quota["poll_interval_seconds"].alias("poll_interval_seconds"), quota["etag"].alias("etag"),
         quota["retry_after_seconds"].alias("retry_after_seconds"),
         F.lit(None).cast("string").alias("error_message"))

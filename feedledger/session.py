@@ -51,12 +51,14 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, as the cluster names it.
 
-    A temporary folder is made only when the session names none, which is the
-    single-machine case of the tests.
+    A temporary folder is made only when the session names none and runs on one machine, as in
+    the tests; on a cluster every executor would write to a disk of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
     made = tempfile.mkdtemp(prefix="feedledger-")
     spark.sparkContext.setCheckpointDir(made)
     return spark.sparkContext.getCheckpointDir()

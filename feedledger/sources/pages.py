@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from feedledger.functions.http import header, http_class, next_link, request_key
 from feedledger.functions.json_values import class_name, kind_of_shape
 from feedledger.schemas import FETCH_LOG
 from feedledger.sources.json_bodies import elements_once, parse_whole, with_elements
 
-DEFAULT_MAX_PAGES = 1
-
 _META = ("run_id", "source_id", "page_no", "received_at")
 
 
@@ -42,30 +40,35 @@ def stream_pages(spark: SparkSession, path: str, bare: bool = False, max_files:
     return reader.schema(FETCH_LOG).json(path)
 
 
+def is_array_page() -> Column:
+    """Whether a body, parsed into ``native``, is one JSON array."""
+    opens = F.col("body").rlike(r"^[ \t\r\n]*\[")
+    return F.coalesce(F.col("native").isNotNull() & opens, F.lit(False))
+
+
 def page_state(pages: DataFrame) -> DataFrame:
     """Per page, without its body: its answer's class, whether it is readable as an array,
     whether it is empty, and its next link."""
     parsed = parse_whole(pages, "body")
-    opens = F.col("body").rlike(r"^[ \t\r\n]*\[")
     return parsed.select(
         *[c for c in _META if c in pages.columns], "request_url", "status",
         http_class(F.col("status"), F.col("headers")).alias("http_class"),
-        F.coalesce(F.col("native").isNotNull() & opens, F.lit(False)).alias("is_array"),
+        is_array_page().alias("is_array"),
         F.coalesce(F.col("body").rlike(r"^\s*\[\s*\]\s*\z"), F.lit(False)).alias("is_empty"),
         next_link(header(F.col("headers"), "link")).alias("next_url"),
     )
 
 
-def walk_stops(pages: DataFrame, max_pages: int = DEFAULT_MAX_PAGES) -> DataFrame:
+def walk_stops(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
     """``stops_of`` over landed pages."""
     return stops_of(page_state(pages), max_pages)
 
 
-def stops_of(states: DataFrame, max_pages: int = DEFAULT_MAX_PAGES) -> DataFrame:
+def stops_of(states: DataFrame, max_pages: int | None = None) -> DataFrame:
     """Where each run's walk ends and why: ``(run_id, stop_page, stop_reason, counted_through)``.
 
     Reasons are tested page by page in this order: unusable page, empty page, no next
-    link, a link already visited, the cap. ``counted_through`` is the last page whose
+    link, a link already visited, the cap if one is given. ``counted_through`` is the last page whose
     envelopes count; an unusable page ends the walk but does not count.
     """
     states = states.withColumn("next_key", request_key(F.col("next_url")))
@@ -93,13 +96,14 @@ def stops_of(states: DataFrame, max_pages: int = DEFAULT_MAX_PAGES) -> DataFrame
 
     chosen = F.least(
         stop(F.col("_local.page_no"), 1, F.col("_local._reason")),
-        stop(F.col("loop_page"), 2, F.lit("link_loop")), stop(F.lit(max_pages), 3, F.lit("page_cap")))
+        stop(F.col("loop_page"), 2, F.lit("link_loop")),
+        stop(F.lit(max_pages).cast("int"), 3, F.lit("page_cap")))
     ended = F.col("_stop.page") <= F.col("_last")
     return joined.select("run_id", chosen.alias("_stop"), "_last").select(
-        "run_id", F.least(F.col("_stop.page"), F.col("_last")).alias("stop_page"),
+        "run_id", F.least(F.col("_stop.page"), F.col("_last")).alias("stop_page"),  # least() skips a null
         F.when(ended, F.col("_stop.reason")).alias("stop_reason"),
         (F.least(F.col("_stop.page"), F.col("_last"))
-         - F.when(ended & (F.col("_stop.reason") == "page_error"), 1).otherwise(0)).alias("counted_through"))
+         - F.when(F.coalesce(ended & (F.col("_stop.reason") == "page_error"), F.lit(False)), 1).otherwise(0)).alias("counted_through"))
 
 
 def left_out(states: DataFrame, stops: DataFrame) -> DataFrame:
@@ -108,7 +112,7 @@ def left_out(states: DataFrame, stops: DataFrame) -> DataFrame:
             .where("page_no > counted_through").select("run_id", "page_no"))
 
 
-def walk_order(pages: DataFrame, max_pages: int = DEFAULT_MAX_PAGES) -> DataFrame:
+def walk_order(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
     """The pages whose envelopes count.
 
     Runs that stop early name the few pages to leave out, so page bodies are filtered

@@ -35,14 +35,20 @@ _FOLDERS = {"observations": ("entity_kind",)}
 
 
 def append_log(df: DataFrame, root: str, table: str, batch_id: int) -> None:
-    """Adds the batch's rows; writing the same batch again replaces them."""
+    """Adds the batch's rows; writing the same batch again replaces them as a whole.
+
+    What an earlier attempt left under this number is removed first, so a replay with fewer
+    days, or none, keeps no old row.
+    """
     rows = df.withColumn("batch_id", F.lit(batch_id).cast("long"))
     folders = [*_FOLDERS.get(table, ())]
     if table in _DAYS:
         rows = rows.withColumn("day", F.to_date(_DAYS[table]))
         folders.append("day")
-    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(*folders, "batch_id").parquet(_join(root, table)))
+    fs, earlier = _filesystem(df.sparkSession, _join(root, table, *["*"] * len(folders), f"batch_id={batch_id}"))
+    for status in fs.globStatus(earlier) or ():
+        fs.delete(status.getPath(), True)
+    rows.write.mode("append").partitionBy(*folders, "batch_id").parquet(_join(root, table))
 
 
 def read_log(spark: SparkSession, root: str, table: str, before: int | None = None,
@@ -89,16 +95,17 @@ def write_version(df: DataFrame, root: str, table: str, batch_id: int) -> None:
 
 
 def move_pointer(spark: SparkSession, root: str, table: str, batch_id: int) -> None:
-    """Make a written version the live one; the small file is replaced in one rename."""
+    """Make a written version the live one; the small file is replaced in one overwriting rename."""
     fs, pointer = _filesystem(spark, _join(root, table, "_current.json"))
-    temporary = spark._jvm.org.apache.hadoop.fs.Path(pointer.getParent(), f"_current-{batch_id}.tmp")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    temporary = hadoop.Path(pointer.getParent(), f"_current-{batch_id}.tmp")
     out = fs.create(temporary, True)
     out.write(bytearray(json.dumps({"version": batch_id}).encode()))
     out.close()
-    if fs.exists(pointer):
-        fs.delete(pointer, False)
-    if not fs.rename(temporary, pointer):
-        raise OSError(f"could not move the pointer of {table} to version {batch_id}")
+    overwrite = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context = hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(temporary), fs.makeQualified(pointer), overwrite)
 
 
 def swap_snapshot(df: DataFrame, root: str, table: str, batch_id: int) -> None:
@@ -108,13 +115,15 @@ def swap_snapshot(df: DataFrame, root: str, table: str, batch_id: int) -> None:
 
 
 def current_version(spark: SparkSession, root: str, table: str) -> int | None:
-    path = _join(root, table, "_current.json")
-    if path_exists(spark, path):
-        line = spark.read.schema("version long").json(path).first()
-        if line is not None and line["version"] is not None:
-            return line["version"]
-    versions = _versions(spark, root, table)
-    return versions[-1] if versions else None
+    """The version the pointer names. A written version that was never pointed at is not live."""
+    fs, pointer = _filesystem(spark, _join(root, table, "_current.json"))
+    if not fs.exists(pointer):
+        return None
+    stream = fs.open(pointer)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["version"]
+    finally:
+        stream.close()
 
 
 def expire_versions(spark: SparkSession, root: str, table: str, keep: int = 2) -> list[int]:

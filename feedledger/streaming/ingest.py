@@ -7,11 +7,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from feedledger.operators.ingest import ingest_batch
 from feedledger.plans.reports import METRICS_WINDOW_SECONDS, backlog_metrics, throughput
-from feedledger.sources.pages import DEFAULT_MAX_PAGES, stream_pages
+from feedledger.sources.pages import stream_pages
 from feedledger.sources.tables import read_snapshot, write_report
 
 
-def _sink(root: str, max_pages: int):
+def _sink(root: str, max_pages: int | None):
     def write(pages: DataFrame, batch_id: int) -> None:
         ingest_batch(pages, root, batch_id, max_pages)
 
@@ -19,7 +19,7 @@ def _sink(root: str, max_pages: int):
 
 
 def ingest_stream(spark: SparkSession, landing: str, root: str, checkpoint: str,
-                  max_pages: int = DEFAULT_MAX_PAGES, bare: bool = False, max_files: int | None = None,
+                  max_pages: int | None = None, bare: bool = False, max_files: int | None = None,
                   every: str | None = None) -> StreamingQuery:
     """Pages as they land, each micro-batch taken into the tables exactly once in effect.
 
@@ -47,7 +47,7 @@ def publish_backlog(spark: SparkSession, root: str, batch_id: int, reports: str,
 
 
 def ingest_and_report_stream(spark: SparkSession, landing: str, root: str, checkpoint: str, reports: str,
-                             max_pages: int = DEFAULT_MAX_PAGES, max_files: int | None = None) -> StreamingQuery:
+                             max_pages: int | None = None, max_files: int | None = None) -> StreamingQuery:
     """``ingest_stream`` with both reports rewritten after every micro-batch."""
     take = _sink(root, max_pages)
 

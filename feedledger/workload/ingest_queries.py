@@ -331,9 +331,9 @@ def b14(spark, sf_dir):
 @query("b15_storable", X.deliveries("""
 SELECT CASE WHEN outcome = 'ignored' THEN 'ignored' WHEN n % 97 = 0 THEN 'failed'
             WHEN n % 89 = 0 AND outcome = 'quarantined' THEN 'failed' ELSE outcome END AS outcome, count(*) AS n
-FROM d WHERE page_no < 11 GROUP BY 1"""))
+FROM d GROUP BY 1"""))
 def b15(spark, sf_dir):
-    rows = feed.deliveries(spark, sf_dir).where("page_no < 11")
+    rows = feed.deliveries(spark, sf_dir)
     spoilt = F.when(F.col("n") % 97 == 0, F.lit('"public":"a\\u0000b"')).when(
         F.col("n") % 89 == 0, F.lit('"public":1e400')).otherwise(F.lit('"public":true'))
     body = F.concat(F.lit("["), F.replace(F.col("envelope"), F.lit('"public":true'), spoilt), F.lit("]"))
@@ -420,14 +420,14 @@ def c4(spark, sf_dir):
 
 @query("c4_identity_fold_over_stored", X.deliveries(f"""
 , ranked AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY received_at DESC, run_id DESC, page_no DESC, pos DESC) AS latest
-  FROM d WHERE outcome = 'push_event' AND page_no = 11),
+  FROM d WHERE outcome = 'push_event'),
 late AS (SELECT repo_id, max(full_name) FILTER (WHERE latest = 1) AS full_name, max(received_at) AS t FROM ranked GROUP BY 1)
 SELECT coalesce(repository.g, late.repo_id) AS github_id,
   CASE WHEN repository.g IS NULL OR late.t >= repository.updated_at THEN coalesce(late.full_name, identifier) ELSE identifier END AS full_name,
   {X.micros('greatest(late.t, repository.updated_at)')} AS updated_at
 FROM repository FULL JOIN late ON repository.g = late.repo_id""", X.entity_cte("repository")))
 def c4_stored(spark, sf_dir):
-    observed = folds.observations_of("repository", _pushes(spark, sf_dir).where("page_no = 11"))
+    observed = folds.observations_of("repository", _pushes(spark, sf_dir))
     folded = folds.identity_fold("repository", observed, feed.entities(spark, sf_dir, "repository"))
     return folded.select("github_id", "full_name", iso8601_micros(F.col("updated_at")).alias("updated_at"))
 

@@ -55,10 +55,12 @@ def e1(spark, sf_dir):
 
 
 @query("e2_is_blank", """
-SELECT doc_id, strpos(text, chr(10)) = 1 OR trim(text) = '' AS blank_first_line FROM documents""")
+SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' AS blank,
+       trim(replace(text, lower(text), ''), ' ' || chr(9) || chr(10) || chr(13)) = '' AS blank_left FROM documents""")
 def e2(spark, sf_dir):
-    line = F.substring_index("text", "\n", 1)
-    return feed.table(spark, sf_dir, "documents").select("doc_id", S.is_blank(line).alias("blank_first_line"))
+    left = F.replace(F.col("text"), F.lower("text"), F.lit(""))  # whole texts, blank where they are lower case already
+    return feed.table(spark, sf_dir, "documents").select(
+        "doc_id", S.is_blank(F.col("text")).alias("blank"), S.is_blank(left).alias("blank_left"))
 
 
 @query("e3_iso8601_utc", f"SELECT event_id, {X.iso('ts')} AS seconds, {X.micros('ts')} AS micros FROM events")
