@@ -12,9 +12,10 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
+from tokenizers import Tokenizer
 
 from feedledger.llm.units import tokenizer_cache
-from feedledger.llm.worker import ship
+from feedledger.llm.worker import kept, ship
 from feedledger.session import shared_dir, stage
 
 ship(__name__)
@@ -38,40 +39,41 @@ def file_name(part: int) -> str:
 class SequenceWriter:
     """Writes a stream of ids as record batches of ``ROWS_PER_BATCH`` sequences.
 
-    The columns ``ids`` (unsigned 32 bit) and ``mask`` (1 for an id, 0 for padding) are
-    fixed-size lists, so position ``p`` of the stream lies in batch ``p // (rows * length)`` at
+    The columns ``ids`` (unsigned, 16 bits where the vocabulary allows, else 32) and ``mask``
+    (true for an id, false for padding, a bit each) are fixed-size lists, so position ``p`` of the stream lies in batch ``p // (rows * length)`` at
     a place found by arithmetic. Only the last sequence of a file is padded. A file appears
     under its own name when it is complete, so a lost or repeated attempt leaves no half file.
     """
 
-    def __init__(self, folder: str, part: int, length: int):
+    def __init__(self, folder: str, part: int, length: int, narrow: bool):
         self.fs, path = open_folder(folder)
         self.path, self.length = f"{path}/{file_name(part)}", length
         self.draft = f"{path}/.{file_name(part)}.{uuid.uuid4().hex}"
-        self.schema = pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("ids", pa.list_(pa.uint16() if narrow else pa.uint32(), length)), ("mask", pa.list_(pa.bool_(), length))])
+        self.kind = np.dtype("<u2" if narrow else "<u4")
         self.fs.create_dir(path, recursive=True)
         self.out = self.fs.open_output_stream(self.draft)
         self.file = pa.ipc.new_file(self.out, self.schema)
         self.waiting = bytearray()
 
     def add(self, ids: bytes) -> None:
-        self.waiting += ids
-        size = 4 * self.length * ROWS_PER_BATCH
+        self.waiting += np.frombuffer(ids, "<u4").astype(self.kind).tobytes()
+        size = self.kind.itemsize * self.length * ROWS_PER_BATCH
         whole = len(self.waiting) // size * size
         for at in range(0, whole, size):
             self._batch(bytes(self.waiting[at:at + size]), self.length * ROWS_PER_BATCH)
         del self.waiting[:whole]
 
     def _batch(self, raw: bytes, used: int) -> None:
-        ids = np.frombuffer(raw, "<u4")
-        mask = (np.arange(len(ids)) < used).astype(np.uint8)
+        ids = np.frombuffer(raw, self.kind)
+        mask = np.arange(len(ids)) < used
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(values), self.length) for values in (ids, mask)]
         self.file.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
     def close(self) -> None:
-        used = len(self.waiting) // 4
+        used = len(self.waiting) // self.kind.itemsize
         if used:
-            self._batch(bytes(self.waiting) + bytes(4 * (-used % self.length)), used)
+            self._batch(bytes(self.waiting) + bytes(self.kind.itemsize * (-used % self.length)), used)
         self.file.close()
         self.out.close()
         self.fs.move(self.draft, self.path)
@@ -87,18 +89,18 @@ class SequenceReader:
         self.file = pa.ipc.open_file(pa.memory_map(path) if local else fs.open_input_file(path))
         self.length = self.file.schema.field("ids").type.list_size
         self.per_batch = self.length * ROWS_PER_BATCH
-        self.at, self.batch = -1, None
+        self.at, self.ids = -1, None
 
-    def sequences(self, number: int) -> pa.RecordBatch:
+    def stream(self, number: int) -> np.ndarray:
+        """The ids of one batch, end to end, as they lie in the file."""
         if number != self.at:
-            self.at, self.batch = number, self.file.get_batch(number)
-        return self.batch
+            self.at, self.ids = number, self.file.get_batch(number).column("ids").flatten().to_numpy()
+        return self.ids
 
     def slices(self, start: int, count: int) -> Iterator[np.ndarray]:
         while count:
             number, inside = divmod(start, self.per_batch)
-            ids = self.sequences(number).column("ids").flatten().to_numpy()
-            view = ids[inside:inside + count]
+            view = self.stream(number)[inside:inside + count]
             yield view
             start += len(view)
             count -= len(view)
@@ -114,10 +116,11 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer_path: str, length: i
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, end, writer, start = tokenizer_cache(tokenizer_path), int(end_id).to_bytes(4, "little"), None, 0
+        narrow = kept(("vocabulary", tokenizer_path), lambda: Tokenizer.from_file(tokenizer_path).get_vocab_size()) <= 1 << 16
         part = TaskContext.get().partitionId()
         for batch in batches:
             if writer is None and batch.num_rows:
-                writer = SequenceWriter(folder, part, length)
+                writer = SequenceWriter(folder, part, length, narrow)
             starts, counts = [], []
             for value in batch.column(1):
                 raw = cache.encode(value.as_py()) + end
@@ -131,11 +134,11 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer_path: str, length: i
         if writer is not None:
             writer.close()
 
-    narrow = docs.select(id_col, text_col)
-    kind = narrow.schema[id_col].dataType.simpleString()
+    texts = docs.select(id_col, text_col)
+    kind = texts.schema[id_col].dataType.simpleString()
     # The width of the range sort is fixed, so that a file's number is its place in the order.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = narrow.repartitionByRange(parts, id_col).sortWithinPartitions(id_col, text_col)
+    ordered = texts.repartitionByRange(parts, id_col).sortWithinPartitions(id_col, text_col)
     return stage(ordered.mapInArrow(run, f"part int, `{id_col}` {kind}, start long, n_tokens long"), "sequence-index")
 
 
@@ -171,7 +174,7 @@ def digest_sequences(index: DataFrame, folder: str, id_col: str = "doc_id") -> D
                     part, reader = at, SequenceReader(folder, at)
                 value = n = 0
                 for view in reader.slices(start, count):
-                    value = crc32(view, value)
+                    value = crc32(view.astype("<u4"), value)
                     n += len(view)
                 sums.append(value)
                 read.append(n)
