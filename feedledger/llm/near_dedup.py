@@ -233,10 +233,12 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, id_col: str
     Classes are the connected components over texts whose bags of five-word shingles have a
     multiset Jaccard similarity of ``threshold`` or more, found through shared bands and
     verified exactly. Texts with equal bags are one node from the start, however many copies there
-    are. In a bucket of a band nobody is paired with everybody: a pivot meets the members that
-    are not yet in its component, and a member that has been a pivot is done; a bucket ends
-    when those not done are of one component, so every candidate link is verified or
-    implied. A few bands are worked through first: they join nearly all of a large class, whose
+    are. Shingles that no other candidate has bound the overlap a text can reach, so texts
+    that are all too much their own meet nobody, and pairs that cannot reach the threshold are
+    never made; this bound is exact. In a bucket of a band nobody is paired with everybody: a
+    pivot, the member with the smallest share of own shingles first, meets the members that are
+    not yet in its component, and a member that has been a pivot is done; a bucket ends when
+    those not done are of one component, so every candidate link is verified or implied. A few bands are worked through first: they join nearly all of a large class, whose
     members then need not meet in the other bands. Each round takes more pivots, so rounds are few. Nulls, empty texts and texts
     without a word are classes of their own; a null id counts as smallest; repeated rows fall
     in one class; other columns are ignored.
@@ -266,7 +268,8 @@ def _links(docs, nodes, members, threshold, id_col, text_col) -> DataFrame:
     sets = (shingle_sets(docs, sieve(wanted, "key"), id_col, text_col).join(wanted, ["bag_a", "bag_b"]).groupBy("node")
             .agg(F.first("items").alias("items")))
     sets = stage(sets, "shingle-sets")
-    alone = members.select("bucket", "band", "node", "n", F.lit(False).alias("done"), F.col("node").alias("component"))
+    members = stage(members.join(_common(sets, threshold), "node"), "bucket-members")
+    alone = members.select("bucket", "band", "node", "n", "common", F.lit(False).alias("done"), F.col("node").alias("component"))
     links = _verified(_pairs(alone.where(F.col("band") < FIRST_BANDS), 1, threshold)[0], sets, threshold)
     members = _open(_labelled(alone, links))
     pivots_per_bucket = 1
@@ -275,19 +278,36 @@ def _links(docs, nodes, members, threshold, id_col, text_col) -> DataFrame:
         links = links.union(_verified(pairs, sets, threshold))
         done = pivots.select("bucket", F.col("pivot").alias("node"), F.lit(True).alias("now"))
         members = (members.join(done, ["bucket", "node"], "left")
-                   .select("bucket", "node", "n", (F.col("done") | F.col("now").isNotNull()).alias("done")))
+                   .select("bucket", "node", "n", "common", (F.col("done") | F.col("now").isNotNull()).alias("done")))
         members = _open(_labelled(members, links))
         pivots_per_bucket *= MORE_PIVOTS
     return links
 
 
+def _common(sets: DataFrame, threshold: float) -> DataFrame:
+    """Nodes that may have a partner: ``node`` and ``common``, how many of its items other nodes have too.
+
+    Two sets share no more than the smaller ``common``, so a node with less than the threshold's
+    share of its own size has no partner. Items are counted by partial aggregates; an item of one node
+    alone is handed to that node.
+    """
+    own = (sets.select("node", F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("nodes"), F.min("node").alias("node"))
+           .where("nodes = 1").groupBy("node").agg(F.count("*").alias("own")))
+    common = F.col("size") - F.coalesce("own", F.lit(0))
+    sized = sets.select("node", F.size("items").cast("long").alias("size")).join(own, "node", "left")
+    return stage(sized.where(common >= F.lit(threshold) * F.col("size")).select("node", common.alias("common")), "common-items")
+
+
 def _pairs(members: DataFrame, per_bucket: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Pairs of a pivot and a member of another component that may reach the threshold; the pivots."""
     spread = F.pmod(F.xxhash64("node"), F.lit(per_bucket))
-    pivots = (members.where(~F.col("done")).groupBy("bucket", spread.alias("spread")).agg(F.min("node").alias("pivot"))
-              .select("bucket", "pivot"))
-    own = members.select("bucket", F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("component").alias("pivot_component"))
-    near = F.least("n", "pivot_n") >= F.lit(threshold) * F.greatest("n", "pivot_n")
+    first = F.struct(((F.col("n") - F.col("common")) / F.col("n")).alias("own"), F.col("node"))
+    pivots = (members.where(~F.col("done")).groupBy("bucket", spread.alias("spread")).agg(F.min(first).alias("first"))
+              .select("bucket", F.col("first.node").alias("pivot")))
+    own = members.select("bucket", F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("common").alias("pivot_common"),
+                         F.col("component").alias("pivot_component"))
+    most = F.least("common", "pivot_common")
+    near = most >= F.lit(threshold) * (F.col("n") + F.col("pivot_n") - most)
     pairs = (members.join(pivots.join(own, ["bucket", "pivot"]), "bucket").where(near & (F.col("component") != F.col("pivot_component")))
              .select(F.greatest("node", "pivot").alias("node"), F.least("node", "pivot").alias("pivot")).distinct())
     return pairs, pivots
@@ -304,7 +324,7 @@ def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     """The members with the components that the links so far give."""
     label = components(links, "node", "pivot").withColumnRenamed("node", "labelled").withColumnRenamed("component", "now")
     labelled = members.join(label, F.col("node") == F.col("labelled"), "left")
-    return stage(labelled.select("bucket", "node", "n", "done", F.coalesce("now", "node").alias("component")), "bucket-members")
+    return stage(labelled.select("bucket", "node", "n", "common", "done", F.coalesce("now", "node").alias("component")), "bucket-members")
 
 
 def _open(members: DataFrame) -> DataFrame:
