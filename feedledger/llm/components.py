@@ -19,8 +19,7 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     a, b = F.col(left), F.col(right)
     stars = stage(edges.where(a.isNotNull() & b.isNotNull() & (a != b))
                   .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
-    mark = _mark(stars)
-    while mark[0]:
+    while not _settled(stars):
         both = stars.union(stars.select("v", "u"))
         lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
@@ -30,14 +29,13 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
         small = (large.join(lowest, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(lowest.select("u", F.col("m").alias("v"))).distinct())
         stars = stage(small, "small-star")
-        now = _mark(stars)
-        if now == mark:
-            break
-        mark = now
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _mark(stars: DataFrame) -> tuple:
-    """Row count and order-free checksum of an edge table."""
-    return tuple(stars.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.hash("v", "u"))).first())
+def _settled(stars: DataFrame) -> bool:
+    """Whether every node hangs on one smaller node at most, and none that others hang on hangs itself."""
+    ends = stars.select(F.col("u").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).union(
+        stars.select("v", F.lit(0), F.lit(1)))
+    return (ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+            .where("hangs > 1 or hangs = 1 and holds = 1").isEmpty())

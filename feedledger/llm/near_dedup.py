@@ -19,7 +19,8 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 64, 8  # a pair at similarity 0.8 shares no band with probability 1e-5
 FIRST_BANDS = 4  # bands that gather large classes before the others are looked at
-MORE_PIVOTS = 4
+MORE_PIVOTS = 16
+MAP_WORDS = 8  # a candidate's item map has 64 bits a word
 BATCH_BYTES = 1 << 21
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -189,8 +190,8 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def shingle_sets(docs: DataFrame, wanted: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per text whose id passes the sieve ``wanted``: its bag's name and ``items``, a
-    number for every shingle and repeat of it."""
+    """One row per text whose id passes the sieve ``wanted``: its bag's name, ``items``, a number
+    for every shingle and repeat of it, and ``map``, in which every item sets one bit."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(passes(wanted, batch.column(0).to_numpy())))
@@ -201,11 +202,15 @@ def shingle_sets(docs: DataFrame, wanted: np.ndarray, id_col: str = "doc_id", te
                 repeat = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
                 items = mix(np.repeat(h, c) + repeat.astype(np.uint64) * _ODD).view(np.int64)
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(d, c, n).astype(np.int64))])
+                bit = items.view(np.uint64) >> np.uint64(32)
+                maps = np.zeros(n * MAP_WORDS, np.uint64)
+                np.bitwise_or.at(maps, np.repeat(d, c) * MAP_WORDS + (bit >> np.uint64(6)).astype(np.int64) % MAP_WORDS, np.uint64(1) << (bit & np.uint64(63)))
+                maps = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * MAP_WORDS, pa.int32()), pa.array(maps.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a), pa.array(b), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(items))],
-                    names=["bag_a", "bag_b", "items"])
+                    [pa.array(a), pa.array(b), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(items)), maps],
+                    names=["bag_a", "bag_b", "items", "map"])
 
-    return docs.select(F.xxhash64(id_col), text_col).mapInArrow(run, "bag_a long, bag_b long, items array<long>")
+    return docs.select(F.xxhash64(id_col), text_col).mapInArrow(run, "bag_a long, bag_b long, items array<long>, map array<long>")
 
 
 def _slots(nodes: DataFrame, wanted: np.ndarray) -> DataFrame:
@@ -235,11 +240,14 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, id_col: str
     verified exactly. Texts with equal bags are one node from the start, however many copies there
     are. Shingles that no other candidate has bound the overlap a text can reach, so texts
     that are all too much their own meet nobody, and pairs that cannot reach the threshold are
-    never made; this bound is exact. In a bucket of a band nobody is paired with everybody: a
+    never made; so do maps of 512 bits: two items that differ in a bit are not the same. Both bounds
+    are exact. In a bucket of a band nobody is paired with everybody: a
     pivot, the member with the smallest share of own shingles first, meets the members that are
     not yet in its component, and a member that has been a pivot is done; a bucket ends when
-    those not done are of one component, so every candidate link is verified or implied. A few bands are worked through first: they join nearly all of a large class, whose
-    members then need not meet in the other bands. Each round takes more pivots, so rounds are few. Nulls, empty texts and texts
+    those not done are of one component, so every candidate link is verified or implied. A few
+    bands are worked through first: they join nearly all of a large class, whose members then
+    need not meet in the other bands. Each round takes more pivots, so rounds are few, and works
+    out components from its new links between the components before it. Nulls, empty texts and texts
     without a word are classes of their own; a null id counts as smallest; repeated rows fall
     in one class; other columns are ignored.
     """
@@ -252,7 +260,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, id_col: str
                    .where("members > 1").select("bucket"), "shared-buckets")
     members = stage(_slots(bands, sieve(shared, "bucket")).join(shared, "bucket"), "bucket-members")
     links = _links(docs, nodes, members, threshold, id_col, text_col)
-    label = components(links, "node", "pivot")
+    label = components(links, "component", "pivot_component")
     named = (signed.join(nodes.select("bag_a", "bag_b", "node"), ["bag_a", "bag_b"], "left")
              .join(label.withColumnRenamed("node", "labelled"), F.col("node") == F.col("labelled"), "left")
              .select("id", F.coalesce("component", "node", "row").alias("class")))
@@ -263,29 +271,30 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, id_col: str
 
 
 def _links(docs, nodes, members, threshold, id_col, text_col) -> DataFrame:
-    """Verified links (``node``, ``pivot``) that give the components of all candidate links."""
+    """Verified links (``component``, ``pivot_component``: smallest nodes) that give the components of all candidate links."""
     wanted = stage(nodes.join(members.select("node").distinct(), "node", "left_semi").withColumn("key", F.xxhash64("id")), "candidates")
     sets = (shingle_sets(docs, sieve(wanted, "key"), id_col, text_col).join(wanted, ["bag_a", "bag_b"]).groupBy("node")
-            .agg(F.first("items").alias("items")))
+            .agg(F.first("items").alias("items"), F.first("map").alias("map")))
     sets = stage(sets, "shingle-sets")
-    members = stage(members.join(_common(sets, threshold), "node"), "bucket-members")
-    alone = members.select("bucket", "band", "node", "n", "common", F.lit(False).alias("done"), F.col("node").alias("component"))
-    links = _verified(_pairs(alone.where(F.col("band") < FIRST_BANDS), 1, threshold)[0], sets, threshold)
-    members = _open(_labelled(alone, links))
+    members = stage(members.join(_common(sets, threshold), "node")
+                    .select("bucket", "band", "node", "n", "common", "map", F.lit(False).alias("done"), F.col("node").alias("component")), "bucket-members")
+    first = members.where(F.col("band") < FIRST_BANDS)
+    links = _verified(_pairs(first, _pivots(first, 1), threshold), sets, threshold)
+    members = _open(_joined(members.drop("band"), links))
     pivots_per_bucket = 1
     while not members.isEmpty():
-        pairs, pivots = _pairs(members, pivots_per_bucket, threshold)
-        links = links.union(_verified(pairs, sets, threshold))
+        pivots = _pivots(members, pivots_per_bucket)
+        new = _verified(_pairs(members, pivots, threshold), sets, threshold)
         done = pivots.select("bucket", F.col("pivot").alias("node"), F.lit(True).alias("now"))
-        members = (members.join(done, ["bucket", "node"], "left")
-                   .select("bucket", "node", "n", "common", (F.col("done") | F.col("now").isNotNull()).alias("done")))
-        members = _open(_labelled(members, links))
+        members = members.join(done, ["bucket", "node"], "left").withColumn("done", F.col("done") | F.col("now").isNotNull()).drop("now")
+        members = _open(stage(_joined(members, new), "bucket-members"))
+        links = links.union(new)
         pivots_per_bucket *= MORE_PIVOTS
     return links
 
 
 def _common(sets: DataFrame, threshold: float) -> DataFrame:
-    """Nodes that may have a partner: ``node`` and ``common``, how many of its items other nodes have too.
+    """Nodes that may have a partner: ``node``, ``map`` and ``common``, how many of its items other nodes have too.
 
     Two sets share no more than the smaller ``common``, so a node with less than the threshold's
     share of its own size has no partner. Items are counted by partial aggregates; an item of one node
@@ -294,37 +303,53 @@ def _common(sets: DataFrame, threshold: float) -> DataFrame:
     own = (sets.select("node", F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("nodes"), F.min("node").alias("node"))
            .where("nodes = 1").groupBy("node").agg(F.count("*").alias("own")))
     common = F.col("size") - F.coalesce("own", F.lit(0))
-    sized = sets.select("node", F.size("items").cast("long").alias("size")).join(own, "node", "left")
-    return stage(sized.where(common >= F.lit(threshold) * F.col("size")).select("node", common.alias("common")), "common-items")
+    sized = sets.select("node", "map", F.size("items").cast("long").alias("size")).join(own, "node", "left")
+    return stage(sized.where(common >= F.lit(threshold) * F.col("size")).select("node", "map", common.alias("common")), "common-items")
 
 
-def _pairs(members: DataFrame, per_bucket: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Pairs of a pivot and a member of another component that may reach the threshold; the pivots."""
+def _pivots(members: DataFrame, per_bucket: int) -> DataFrame:
+    """Up to ``per_bucket`` members of each bucket that have not been pivots: ``bucket``, ``pivot``."""
     spread = F.pmod(F.xxhash64("node"), F.lit(per_bucket))
     first = F.struct(((F.col("n") - F.col("common")) / F.col("n")).alias("own"), F.col("node"))
-    pivots = (members.where(~F.col("done")).groupBy("bucket", spread.alias("spread")).agg(F.min(first).alias("first"))
-              .select("bucket", F.col("first.node").alias("pivot")))
+    return (members.where(~F.col("done")).groupBy("bucket", spread.alias("spread")).agg(F.min(first).alias("first"))
+            .select("bucket", F.col("first.node").alias("pivot")))
+
+
+def _pairs(members: DataFrame, pivots: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of a pivot and a member of another component that may reach the threshold, with their components.
+
+    Items that differ in their maps are not shared, so the sizes less the differing bits hold
+    the shared items twice at most.
+    """
     own = members.select("bucket", F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("common").alias("pivot_common"),
-                         F.col("component").alias("pivot_component"))
-    most = F.least("common", "pivot_common")
-    near = most >= F.lit(threshold) * (F.col("n") + F.col("pivot_n") - most)
-    pairs = (members.join(pivots.join(own, ["bucket", "pivot"]), "bucket").where(near & (F.col("component") != F.col("pivot_component")))
-             .select(F.greatest("node", "pivot").alias("node"), F.least("node", "pivot").alias("pivot")).distinct())
-    return pairs, pivots
+                         F.col("map").alias("pivot_map"), F.col("component").alias("pivot_component"))
+    sizes = F.col("n") + F.col("pivot_n")
+    differ = sum(F.bit_count(F.get("map", F.lit(k)).bitwiseXOR(F.get("pivot_map", F.lit(k)))) for k in range(MAP_WORDS))
+    near = [most >= F.lit(threshold) * (sizes - most) for most in (F.least("common", "pivot_common"), (sizes - differ) / 2)]
+    swap = F.col("node") < F.col("pivot")
+    return (members.join(pivots.join(own, ["bucket", "pivot"]), "bucket")
+            .where((F.col("component") != F.col("pivot_component")) & near[0] & near[1])
+            .select(F.greatest("node", "pivot").alias("node"), F.least("node", "pivot").alias("pivot"),
+                    F.when(swap, F.col("pivot_component")).otherwise(F.col("component")).alias("component"),
+                    F.when(swap, F.col("component")).otherwise(F.col("pivot_component")).alias("pivot_component")).distinct())
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    found = (pairs.join(sets, "node")
-             .join(sets.select(F.col("node").alias("pivot"), F.col("items").alias("pivot_items")), "pivot")
-             .where(_overlap(threshold)).select("node", "pivot"))
+    """Links between the components that the pairs reaching the threshold belong to: ``component``, ``pivot_component``."""
+    items = sets.select("node", "items")
+    found = (pairs.join(items, "node")
+             .join(items.select(F.col("node").alias("pivot"), F.col("items").alias("pivot_items")), "pivot")
+             .where(_overlap(threshold)).select("component", "pivot_component").distinct())
     return stage(found, "links")
 
 
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """The members with the components that the links so far give."""
-    label = components(links, "node", "pivot").withColumnRenamed("node", "labelled").withColumnRenamed("component", "now")
-    labelled = members.join(label, F.col("node") == F.col("labelled"), "left")
-    return stage(labelled.select("bucket", "node", "n", "common", "done", F.coalesce("now", "node").alias("component")), "bucket-members")
+def _joined(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The members with their components after the ``links`` between components."""
+    if links.isEmpty():
+        return members
+    label = components(links, "component", "pivot_component").select(F.col("node").alias("before"), F.col("component").alias("joined"))
+    return (members.join(label, F.col("component") == F.col("before"), "left")
+            .withColumn("component", F.coalesce("joined", "component")).drop("before", "joined"))
 
 
 def _open(members: DataFrame) -> DataFrame:
