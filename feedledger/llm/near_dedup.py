@@ -259,8 +259,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, id_col: str
     shared = stage(bands.select(F.explode("bands").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("members"))
                    .where("members > 1").select("bucket"), "shared-buckets")
     members = stage(_slots(bands, sieve(shared, "bucket")).join(shared, "bucket"), "bucket-members")
-    links = _links(docs, nodes, members, threshold, id_col, text_col)
-    label = components(links, "component", "pivot_component")
+    label = _labels(docs, nodes, members, threshold, id_col, text_col)
     named = (signed.join(nodes.select("bag_a", "bag_b", "node"), ["bag_a", "bag_b"], "left")
              .join(label.withColumnRenamed("node", "labelled"), F.col("node") == F.col("labelled"), "left")
              .select("id", F.coalesce("component", "node", "row").alias("class")))
@@ -270,8 +269,8 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, id_col: str
             .select(F.col("id").alias(id_col), F.col("least.id").alias("class_id"), "class_size"))
 
 
-def _links(docs, nodes, members, threshold, id_col, text_col) -> DataFrame:
-    """Verified links (``component``, ``pivot_component``: smallest nodes) that give the components of all candidate links."""
+def _labels(docs, nodes, members, threshold, id_col, text_col) -> DataFrame:
+    """The components of all verified candidate links: ``node``, ``component``; nodes without a link may be absent."""
     wanted = stage(nodes.join(members.select("node").distinct(), "node", "left_semi").withColumn("key", F.xxhash64("id")), "candidates")
     sets = (shingle_sets(docs, sieve(wanted, "key"), id_col, text_col).join(wanted, ["bag_a", "bag_b"]).groupBy("node")
             .agg(F.first("items").alias("items"), F.first("map").alias("map")))
@@ -279,18 +278,21 @@ def _links(docs, nodes, members, threshold, id_col, text_col) -> DataFrame:
     members = stage(members.join(_common(sets, threshold), "node")
                     .select("bucket", "band", "node", "n", "common", "map", F.lit(False).alias("done"), F.col("node").alias("component")), "bucket-members")
     first = members.where(F.col("band") < FIRST_BANDS)
-    links = _verified(_pairs(first, _pivots(first, 1), threshold), sets, threshold)
-    members = _open(_joined(members.drop("band"), links))
-    pivots_per_bucket = 1
+    label = components(_verified(_pairs(first, _pivots(first, 1), threshold), sets, threshold), "component", "pivot_component")
+    members = _open(_relabelled(members.drop("band"), label))
+    pivots_per_bucket = MORE_PIVOTS
     while not members.isEmpty():
         pivots = _pivots(members, pivots_per_bucket)
         new = _verified(_pairs(members, pivots, threshold), sets, threshold)
         done = pivots.select("bucket", F.col("pivot").alias("node"), F.lit(True).alias("now"))
         members = members.join(done, ["bucket", "node"], "left").withColumn("done", F.col("done") | F.col("now").isNotNull()).drop("now")
-        members = _open(stage(_joined(members, new), "bucket-members"))
-        links = links.union(new)
+        if not new.isEmpty():
+            joined = components(new, "component", "pivot_component")
+            members = _relabelled(members, joined)
+            label = _relabelled(label, joined).union(joined.join(label.select("node"), "node", "left_anti"))
+        members = _open(stage(members, "bucket-members"))
         pivots_per_bucket *= MORE_PIVOTS
-    return links
+    return label
 
 
 def _common(sets: DataFrame, threshold: float) -> DataFrame:
@@ -343,12 +345,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return stage(found, "links")
 
 
-def _joined(members: DataFrame, links: DataFrame) -> DataFrame:
-    """The members with their components after the ``links`` between components."""
-    if links.isEmpty():
-        return members
-    label = components(links, "component", "pivot_component").select(F.col("node").alias("before"), F.col("component").alias("joined"))
-    return (members.join(label, F.col("component") == F.col("before"), "left")
+def _relabelled(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """The rows with the components that theirs have become part of."""
+    joined = joined.select(F.col("node").alias("before"), F.col("component").alias("joined"))
+    return (rows.join(joined, F.col("component") == F.col("before"), "left")
             .withColumn("component", F.coalesce("joined", "component")).drop("before", "joined"))
 
 
