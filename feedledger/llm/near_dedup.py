@@ -19,7 +19,7 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 64, 8  # a pair at similarity 0.8 shares no band with probability 1e-5
 FIRST_BANDS = 4  # bands that gather large classes before the others are looked at
-MORE_PIVOTS = 16
+FIRST_PIVOTS, MORE_PIVOTS = 4, 16  # pivots of a bucket in the first round over all bands; growth from round to round
 MAP_WORDS = 8  # a candidate's item map has 64 bits a word
 BATCH_BYTES = 1 << 21
 
@@ -280,7 +280,7 @@ def _labels(docs, nodes, members, threshold, id_col, text_col) -> DataFrame:
     first = members.where(F.col("band") < FIRST_BANDS)
     label = components(_verified(_pairs(first, _pivots(first, 1), threshold), sets, threshold), "component", "pivot_component")
     members = _open(_relabelled(members.drop("band"), label))
-    pivots_per_bucket = MORE_PIVOTS
+    pivots_per_bucket = FIRST_PIVOTS
     while not members.isEmpty():
         pivots = _pivots(members, pivots_per_bucket)
         new = _verified(_pairs(members, pivots, threshold), sets, threshold)
