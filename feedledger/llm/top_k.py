@@ -89,9 +89,13 @@ def search_bucket(best: Best, queries: np.ndarray, query_ids: np.ndarray, length
     for query, need in zip(alive[cosine >= COORDINATE_FROM], cosine[cosine >= COORDINATE_FROM], strict=True):
         unit = queries[query] / lengths[query]
         axis = int(np.abs(unit).argmax())
-        spread = np.sqrt(max(0.0, (1.0 - need * need) * (1.0 - unit[axis] ** 2))) + 1e-9
+        beside = np.linalg.norm(np.delete(unit, axis))
+        spread = np.sqrt(max(0.0, 1.0 - need * need)) * beside + 1e-9
+        # An axis within reach of the query, or its opposite end, leaves that side without a bound.
+        upper = 1.0 + 1e-9 if unit[axis] >= need else need * unit[axis] + spread
+        lower = -1.0 - 1e-9 if unit[axis] <= -need else need * unit[axis] - spread
         own = bucket[:, axis] / np.maximum(norms, 1.0)
-        at = np.flatnonzero((own >= need * unit[axis] - spread) & (own <= need * unit[axis] + spread) if need < 1 else norms > 0)
+        at = np.flatnonzero((own >= lower) & (own <= upper) if need < 1 else norms > 0)
         at = at[bucket_ids[at] != query_ids[query]]
         scores = bucket[at] @ queries[query]
         hits = scores >= best.limit[query]

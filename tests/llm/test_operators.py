@@ -430,6 +430,34 @@ def test_top_k_matches_brute_force(spark, monkeypatch):
     assert top_k.top_k(spark.createDataFrame([], VECTORS), F.col("vec_id") % 20 == 0).collect() == []
 
 
+@pytest.mark.parametrize("dim", [2, 3, 4, 8])
+def test_top_k_keeps_neighbours_nearer_to_the_axis_than_the_query(dim):
+    rng = np.random.default_rng(dim)
+    matrix = np.floor(64 * rng.normal(size=(1500, dim)))
+    matrix[::20] = np.floor(matrix[::20] / 8)
+    matrix[np.arange(0, 1500, 20), rng.integers(dim, size=75)] = rng.choice([-70.0, 70.0], 75)  # one dominant component
+    norms = np.sqrt((matrix * matrix).sum(axis=1))
+    order = np.argsort(-norms, kind="stable")
+    queries_at = np.flatnonzero(order % 20 == 0)
+    matrix, norms, ids, k = matrix[order], norms[order], order, 20
+    best = top_k.Best(len(queries_at), k)
+    for at in range(0, len(ids), 64):
+        part = slice(at, at + 64)
+        if not top_k.search_bucket(best, matrix[queries_at], ids[queries_at], norms[queries_at], matrix[part], ids[part], norms[part]):
+            break
+    for n, at in enumerate(queries_at):
+        own = sorted((-score, i) for score, i in zip(matrix @ matrix[at], ids, strict=True) if i != ids[at])[:k]
+        assert own == [(-score, i) for score, i in zip(best.score[n], best.ids[n], strict=True)]
+    # Cosine 0.988 with a query on the axis, at a limit of 0.8.
+    best = top_k.Best(1, 1)
+    length = float(np.hypot(63, 10))
+    best.offer(0, np.array([0.8 * 64 * length]), np.array([9]))
+    query, one = np.eye(1, dim) * 64, np.zeros((1, dim))
+    one[0, :2] = 63, 10
+    top_k.search_bucket(best, query, np.array([0]), np.array([64.0]), one, np.array([5]), np.array([length]))
+    assert best.ids[0].tolist() == [5]
+
+
 # 9 sharding
 
 def smallest(sizes: list[int], shards: int) -> int:
