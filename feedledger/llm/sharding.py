@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from feedledger.session import stage
@@ -31,14 +34,12 @@ def _reach(table: DataFrame, limits: list[int], largest: int) -> list[int | None
     """For each limit the largest ``upto`` not beyond it, or None.
 
     Neighbouring sums differ by the largest group at most, so only a band below each limit is
-    read, which the order of the table lets the scan prune.
+    read, which the order of the table lets the scan prune. A limit takes its sum from its own
+    band alone; no limit may lie beyond the last sum, where a band can be empty.
     """
     upto = F.col("upto")
-    band = None
-    for x in limits:
-        here = upto.between(x - largest, x)
-        band = here if band is None else band | here
-    return list(table.where(band).agg(*[F.max(F.when(upto <= x, upto)).alias(f"r{i}") for i, x in enumerate(limits)]).first())
+    bands = [upto.between(x - largest, x) for x in limits]
+    return list(table.where(reduce(or_, bands)).agg(*[F.max(F.when(here, upto)).alias(f"r{i}") for i, here in enumerate(bands)]).first())
 
 
 def smallest_capacity(table: DataFrame, shards: int, total: int, largest: int) -> int:
@@ -54,7 +55,7 @@ def smallest_capacity(table: DataFrame, shards: int, total: int, largest: int) -
         at = [0] * len(tried)
         for _ in range(shards):
             open_ = [i for i, a in enumerate(at) if a < total]
-            for i, found in zip(open_, _reach(table, [at[i] + tried[i] for i in open_], largest) if open_ else [], strict=True):
+            for i, found in zip(open_, _reach(table, [min(at[i] + tried[i], total) for i in open_], largest) if open_ else [], strict=True):
                 at[i] = at[i] if found is None else found
         good = next((i for i, a in enumerate(at) if a == total), None)
         if good is None:

@@ -497,6 +497,38 @@ def test_sharding_is_minimax(spark, hot):
     assert order == sorted(order)
 
 
+LAWS = {"uniform": lambda rng, n: rng.integers(1, 1000, n), "pareto": lambda rng, n: 10 * (1 + rng.pareto(1.1, n)),
+        "lognormal": lambda rng, n: 1 + rng.lognormal(3, 1.5, n)}
+
+
+def sizes_of(law: str, seed: int) -> list[int]:
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(9, 120))
+    return [int(x) for x in LAWS[law](rng, n)]
+
+
+@pytest.mark.parametrize("law", LAWS)
+def test_capacity_search_equals_bisection_over_lists(monkeypatch, law):
+    def reach(sums, limits, largest):
+        return [max((u for u in sums if x - largest <= u <= x), default=None) for x in limits]
+
+    monkeypatch.setattr(sharding, "_reach", reach)
+    for seed in range(100):
+        sizes = sizes_of(law, seed)
+        sums = list(itertools.accumulate(sizes))
+        assert sharding.smallest_capacity(sums, 8, sums[-1], max(sizes)) == smallest(sizes, 8), seed
+
+
+@pytest.mark.parametrize("law, seed", [("uniform", 8), ("pareto", 5)])
+def test_largest_shard_is_as_small_as_it_can_be(spark, law, seed):
+    sizes = sizes_of(law, seed)
+    sums = list(itertools.accumulate(sizes))
+    table = spark.createDataFrame(list(zip(sizes, sums, strict=True)), "bytes long, upto long").coalesce(1).cache()
+    ends = [0, *sharding.cut_points(table, 8, sums[-1], max(sizes)), sums[-1]]
+    assert ends == sorted(ends) and set(ends) <= {0, *sums}
+    assert max(b - a for a, b in itertools.pairwise(ends)) == smallest(sizes, 8)
+
+
 def test_sharding_edge_tables(spark, docs, empty):
     assert sharding.shard(empty).collect() == []
     assert sharding.shard(docs).count() == docs.count()
