@@ -2,7 +2,8 @@
 
 Spark prints a parsed variant compactly with sorted keys, which is the canonical text
 everywhere except for float tokens, integers beyond 18 digits, control and surrogate
-escapes, and keys outside the basic plane. ``needs_exact_decoder`` finds such bodies;
+escapes, and keys outside the basic plane. ``needs_exact_decoder`` finds such bodies, and
+those that may nest deeper than ``MAX_NESTING``, which the decoder refuses;
 they alone pass through an Arrow-batched decoder, in the same scan as all others.
 
 Float text is one fixed rule because it decides row identity: shortest digits that read
@@ -27,6 +28,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # A parsed variant is limited in size; larger bodies take the decoder instead.
 NATIVE_BODY_LIMIT = 8 * 1024 * 1024
 MAX_NESTING = 100
+PEELED_LEVELS = 8
 
 ELEMENT_TYPE = T.StructType([
     T.StructField("text", T.StringType()),
@@ -50,8 +52,22 @@ _ARROW_ELEMENT = pa.struct([
 _ARROW_DOCUMENT = pa.struct([("head", _ARROW_ELEMENT), ("elements", pa.list_(_ARROW_ELEMENT))])
 
 
+def may_nest_too_deep(body: Column, skeleton: Column) -> Column:
+    """True for every body nested deeper than ``MAX_NESTING``, and for few others.
+
+    ``skeleton`` is the body with its strings blanked. Each peeling takes the innermost brackets
+    away, one level at most, so a body that is too deep keeps an opening bracket for each
+    level not peeled, and its closing one unless it is cut off.
+    """
+    brackets = F.regexp_replace(skeleton, r"[^\[\]{}]+", "")
+    for _ in range(PEELED_LEVELS):
+        brackets = F.regexp_replace(brackets, r"\[\]|\{\}", "")
+    openings = F.length(body) - F.length(F.translate(body, "[{", ""))
+    return (openings > MAX_NESTING) & (F.length(brackets) > MAX_NESTING - PEELED_LEVELS)
+
+
 def needs_exact_decoder(body: Column) -> Column:
-    """True when the body holds a token the native printer would change.
+    """True when the body holds a token the native printer would change, or may nest too deep.
 
     Numbers are looked for only outside string values: a cheap test runs first, and the
     strings are blanked out only for bodies that pass it.
@@ -64,7 +80,8 @@ def needs_exact_decoder(body: Column) -> Column:
         F.when(F.length(body) > NATIVE_BODY_LIMIT, True)
         .when(body.rlike(r"\\u(?:00[01]|[dD][89a-fA-F])"), True)
         .when(body.rlike(number) & skeleton.rlike(number), True)
-        .when(body.rlike(r"[\x{10000}-\x{10FFFF}]") & unescaped.rlike(wide_key), True),
+        .when(body.rlike(r"[\x{10000}-\x{10FFFF}]") & unescaped.rlike(wide_key), True)
+        .when(may_nest_too_deep(body, skeleton), True),
         F.lit(False),
     )
 

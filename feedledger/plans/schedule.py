@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from feedledger.functions.http import http_class, rate_limit_fields
 from feedledger.functions.scalars import backoff, shift_seconds
-from feedledger.sources.json_bodies import parse_whole
-from feedledger.sources.pages import is_array_page
+from feedledger.sources.pages import with_array_flag
 
 # The instants a poll waits for, in the order ties are named, and the cadence.
 COMPONENTS = ("cadence_due_at", "poll_floor_until", "retry_not_before_at", "global_blocked_until",
@@ -55,9 +54,9 @@ def run_log(pages: DataFrame) -> DataFrame:
 
     An answer that is no JSON array is a failure, whatever its status.
     """
-    first = parse_whole(pages.where("page_no = 1"), "body")
+    first = with_array_flag(pages.where("page_no = 1"))
     answer = http_class(F.col("status"), F.col("headers"))
-    malformed = (answer == "ok") & ~is_array_page()
+    malformed = (answer == "ok") & ~F.col("is_array")
     quota = rate_limit_fields(F.col("headers"), F.col("received_at"))
     return first.select(
         "source_id", "run_id", F.col("received_at").alias("polled_at"),

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from feedledger.functions.http import header, http_class, next_link, request_key
 from feedledger.functions.json_values import class_name, kind_of_shape
 from feedledger.schemas import FETCH_LOG
-from feedledger.sources.json_bodies import elements_once, parse_whole, with_elements
+from feedledger.sources.json_bodies import elements_once, with_elements
 
 _META = ("run_id", "source_id", "page_no", "received_at")
 
@@ -40,20 +40,19 @@ def stream_pages(spark: SparkSession, path: str, bare: bool = False, max_files:
     return reader.schema(FETCH_LOG).json(path)
 
 
-def is_array_page() -> Column:
-    """Whether a body, parsed into ``native``, is one JSON array."""
-    opens = F.col("body").rlike(r"^[ \t\r\n]*\[")
-    return F.coalesce(F.col("native").isNotNull() & opens, F.lit(False))
+def with_array_flag(pages: DataFrame) -> DataFrame:
+    """Adds ``is_array``: whether the body is one JSON array, judged by the reader that takes its envelopes out."""
+    return (with_elements(pages).withColumn("is_array", F.col("parsed.elements").isNotNull())
+            .drop("parsed"))
 
 
 def page_state(pages: DataFrame) -> DataFrame:
     """Per page, without its body: its answer's class, whether it is readable as an array,
     whether it is empty, and its next link."""
-    parsed = parse_whole(pages, "body")
-    return parsed.select(
+    return with_array_flag(pages).select(
         *[c for c in _META if c in pages.columns], "request_url", "status",
         http_class(F.col("status"), F.col("headers")).alias("http_class"),
-        is_array_page().alias("is_array"),
+        "is_array",
         F.coalesce(F.col("body").rlike(r"^\s*\[\s*\]\s*\z"), F.lit(False)).alias("is_empty"),
         next_link(header(F.col("headers"), "link")).alias("next_url"),
     )

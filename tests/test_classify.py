@@ -1,10 +1,12 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpus import PAGE_1, SHA, log, push, without
 from feedledger.operators.classify import classify, handled_types
-from feedledger.sources.pages import explode_envelopes, page_errors
+from feedledger.plans.schedule import run_log
+from feedledger.sources.pages import explode_envelopes, page_errors, page_state
 
 CASES = {
     "absent id": (push(id=None), "missing_event_id"),
@@ -111,6 +113,30 @@ def test_page_errors(spark):
     assert {r["run_id"] for r in page_errors(pages).collect()} == set(bad)
 
 
+def nested(levels, leaf):
+    """An array page nested ``levels`` deep."""
+    return "[" * levels + leaf + "]" * levels
+
+
+def test_walk_and_explode_judge_nesting_alike(spark):
+    wide = "[" + ",".join(["[[[[[[[[[1]]]]]]]]]"] * 60) + "]"
+    good = {"plain 100": nested(100, "1"), "float 100": nested(100, "1.0"), "wide": wide,
+            "brackets in text": "[" + json.dumps("[{" * 300) + "]"}
+    bad = {"plain 101": nested(101, "1"), "float 101": nested(101, "1.0"),
+           "objects": "[" + '{"a":' * 100 + "1" + "}" * 100 + "]"}
+    pages = log(spark, [(name, 1, 0, body) for name, body in {**good, **bad}.items()])
+    assert {r["run_id"] for r in page_state(pages).where("is_array").collect()} == set(good)
+    assert {r["run_id"] for r in explode_envelopes(pages).collect()} == set(good)
+    assert {r["run_id"] for r in page_errors(pages).collect()} == set(bad)
+    assert {r["run_id"] for r in run_log(pages).where("http_class = 'malformed_page'").collect()} == set(bad)
+
+
+def test_walk_reads_a_page_past_the_variant_limit(spark):
+    body = F.concat(F.lit('["'), F.repeat(F.lit("x"), 130 * 1024 * 1024), F.lit('"]'))
+    pages = log(spark, [("r", 1, 0, "[]")]).withColumn("body", body)
+    assert [r["is_array"] for r in page_state(pages).select("is_array").collect()] == [True]
+
+
 def test_repository_names(spark):
     names = {"octo/hello": ("hello", "octo"), "octo/": ("octo", "octo"), "/": (None, ""), "plain": (None, None),
              "/a": ("a", ""), "a/b/c": ("c", "a"), "a//": ("a", "a")}
