@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +20,6 @@ MARGIN = 0.1  # ambiguous below this lead of the best codeword's score over the
 EXHAUSTIVE_UP_TO = 8
 # ASCII letters stay, other ASCII bytes part words; bytes of other characters stay.
 _TO_SPACE = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def codewords(languages: int) -> np.ndarray:
@@ -125,7 +123,7 @@ def predict(docs: DataFrame, model: dict, columns: list[str], text_col: str = "t
             known = np.zeros(batch.num_rows, bool)
             for row, value in enumerate(batch.column(batch.num_columns - 1)):
                 text = value.as_py()
-                if not names or not text or not _LETTER.search(text):
+                if not names or not text or not any(map(str.isalpha, text)):  # letters: category L, not the signs of No and Nl
                     continue
                 known[row], total = True, 0
                 for block in trigrams(text):

@@ -567,6 +567,14 @@ def test_language_edge_rows(spark, docs, empty):
     assert language_id.keep_known(docs).columns == docs.columns
 
 
+def test_number_signs_are_no_letters(spark):
+    rows = [(1, "12 \u00bd \u00b2 \u2460 \u2167", "en"), (2, "\u2167 a", "en"), (5, "the lazy dog", "en"), (6, "der faule Hund", "de"),
+            (7, "the the and", "en"), (9, "und der die das", "de")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language_id.identify(frame).collect()}
+    assert (got[1].lang_pred, got[1].score, got[1].ambiguous) == ("und", 0.0, False) and got[2].lang_pred != "und"
+
+
 # pipeline
 
 def test_pipeline_against_brute_force(spark):
