@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from zlib import crc32
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from feedledger.llm import (byte_bpe, exact_dedup, language_id, near_dedup, packing, sequence_files, sharding, token_counts,
-                            top_k, url_filter)
+from feedledger.llm import (byte_bpe, conversation_trie, exact_dedup, language_id, mixing, near_dedup, packing, period_runs,
+                            sequence_files, sharding, token_counts, top_k, url_filter)
+from feedledger.llm.worker import ship
+
+ship(__name__)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -84,6 +88,40 @@ def op10_language_id(spark, sf_dir):
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_conversation_trie(spark, sf_dir):
+    turns = conversation_trie.conversation_turns(table(spark, sf_dir, "conversations"))
+    nodes = conversation_trie.prefix_trie(conversation_trie.borrowed_heads(turns))
+    return nodes.drop("n_ends")
+
+
+def repeat_from(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """Words of every tenth document or so, made periodic from some word on as its id decides; a null id changes nothing."""
+    h = crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not words:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    period = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % period] for i in range(a, n)]
+
+
+@query
+def op12_period_runs(spark, sf_dir):
+    found = period_runs.find_runs(table(spark, sf_dir, "documents"), rewrite=repeat_from, digest=True)
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("shorter"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), (-F.col("best.shorter")).alias("length"),
+        F.col("best.period").alias("period"), F.expr("1000 * -best.shorter div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.col("collapsed").alias("collapsed_sha256"))
+
+
+@query
+def op13_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
+
+
 @query
 def pipeline(spark, sf_dir):
     import corpus_pipeline
@@ -146,3 +184,34 @@ scored AS (
 SELECT query_id, rank::INTEGER AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 20
 """
+
+ORACLES["op11_conversation_trie"] = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, sha256(length(role)::VARCHAR || ':' || role || text)) AS turns
+  FROM t GROUP BY conv_id),
+crc AS (
+  SELECT conv_id, turns, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(0, 8)),
+                             lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)::BIGINT))) % 4 AS h
+  FROM own),
+rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(d.turns[1:c.h], []), c.turns[c.h + 1:]) AS turns
+  FROM crc c LEFT JOIN own d ON d.conv_id = c.conv_id - c.conv_id % 20),
+placed AS (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS depth FROM rebuilt),
+nodes AS (
+  SELECT turns[1:depth] AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CASE WHEN len(turns) = depth THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256
+  FROM placed GROUP BY 1, 2),
+children AS (SELECT path[1:depth - 1] AS path, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1, 2),
+told AS (
+  SELECT n.*, coalesce(c.n_children, 0) AS n_children,
+         CASE WHEN n.depth = 0 THEN 0 ELSE (n.n_convs - 1) * len(regexp_extract_all(n.path[n.depth].text, '[^\x20\x09-\x0D]+')) END AS saved
+  FROM nodes n LEFT JOIN children c ON c.depth = n.depth AND c.path = n.path),
+up AS (SELECT path, saved, n_children, unnest(range(0, depth + 1)) AS depth FROM told),
+subtrees AS (SELECT path[1:depth] AS path, depth, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM up GROUP BY 1, 2)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves, s.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM told n JOIN subtrees s ON s.depth = n.depth AND s.path = n.path
+LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.path = n.path[1:n.depth - 1]
+"""

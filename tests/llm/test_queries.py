@@ -15,4 +15,4 @@ def test_query(spark, name):
 
 def test_names_and_contract_columns():
     assert sorted(QUERIES) == sorted([*(n for n in QUERIES if n.startswith("op")), "pipeline"])
-    assert {int(n[2:].split("_")[0]) for n in QUERIES if n != "pipeline"} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES if n != "pipeline"} == set(range(1, 14))
