@@ -13,19 +13,16 @@ from feedledger.operators.dedup import (
 from feedledger.operators.evidence import event_observations
 from feedledger.operators.folds import fold_entities
 from feedledger.operators.ranking import global_rank
+from feedledger.operators.known_ids import remember, stored_among
 from feedledger.schemas import ARRIVAL, ENTITY_TABLES, INGESTION_RUNS, PUSH_EVENTS
 from feedledger.session import configure, stage, staging_area
-from feedledger.sources.pages import (
-    explode_envelopes, left_out, page_state, stops_of,
-)
-from feedledger.sources.tables import append_log, read_log, read_snapshot, swap_snapshot
+from feedledger.sources.commits import BUCKETS, CommitConflict, Transaction, claim_batch
+from feedledger.sources.pages import explode_envelopes, left_out, page_state, stops_of, walked
+from feedledger.sources.tables import read_log, read_snapshot
 
 SNAPSHOTS = {"actor": "actors", "repository": "repositories"}
-
-
-def _highest_seq(df: DataFrame) -> int:
-    """One number: where the next sequence starts."""
-    return df.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("n")).first()["n"]
+# A batch that loses the race to commit is worked out again on the new state, so many times.
+ATTEMPTS = 5
 
 
 def push_event_rows(ranked: DataFrame) -> DataFrame:
@@ -37,12 +34,26 @@ def push_event_rows(ranked: DataFrame) -> DataFrame:
     ).select(*PUSH_EVENTS.names)
 
 
-def run_rows(states: DataFrame, tally: DataFrame) -> DataFrame:
-    """One finished run per run id: how its first page ended it, and its counters."""
+def run_rows(states: DataFrame, tally: DataFrame, walks: DataFrame | None = None, earlier: DataFrame | None = None) -> DataFrame:
+    """One row per run that the batch holds pages of: how its first page ended it, and its counters.
+
+    ``walks`` and ``earlier`` are those runs' stored rows; a run split over batches stays one
+    row, whose counters add up.
+    """
     first = states.groupBy("run_id").agg(
-        F.max("source_id").alias("source_id"), F.min_by("http_class", "page_no").alias("_class"),
+        F.max("source_id").alias("source_id"), F.min_by("http_class", "page_no").alias("_class"), F.min("page_no").alias("_first"),
         F.min("received_at").alias("started_at"), F.max("received_at").alias("completed_at"))
     joined = first.join(tally, "run_id", "left")
+    numbers = [f.name for f in INGESTION_RUNS.fields if f.dataType.typeName() == "long" and f.name != "source_id"]
+    if earlier is not None:
+        kept = earlier.select("run_id", *[F.col(c).alias(f"o_{c}") for c in ("source_id", "started_at", "completed_at", *numbers)])
+        joined = joined.join(kept, "run_id", "left").join(walks.select("run_id", "first_page", "first_class"), "run_id", "left")
+        before = F.coalesce(F.col("first_page") <= F.col("_first"), F.lit(False))
+        joined = joined.withColumns({
+            "_class": F.when(before, F.col("first_class")).otherwise(F.col("_class")),
+            "source_id": F.greatest("source_id", "o_source_id"), "started_at": F.least("started_at", "o_started_at"),
+            "completed_at": F.greatest("completed_at", "o_completed_at"),
+            **{c: F.coalesce(F.col(c), F.lit(0)) + F.coalesce(F.col(f"o_{c}"), F.lit(0)) for c in numbers}})
     read = F.coalesce(F.col("pages_fetched"), F.lit(0)) > 0
     status = (F.when((F.col("_class") == "ok") & read, "completed")
               .when(F.col("_class") == "not_modified", "not_modified")
@@ -50,7 +61,6 @@ def run_rows(states: DataFrame, tally: DataFrame) -> DataFrame:
               .otherwise("failed"))
     error = F.when(status == "failed", F.when(
         F.col("_class") == "ok", "page 1: malformed response").otherwise(F.col("_class")))
-    numbers = [f.name for f in INGESTION_RUNS.fields if f.dataType.typeName() == "long" and f.name != "source_id"]
     return joined.select(
         "run_id", "source_id", status.alias("status"), "started_at", "completed_at",
         *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in numbers],
@@ -66,41 +76,74 @@ def numbered_entities(kind: str, folded: DataFrame, highest: int) -> DataFrame:
 
 
 def ingest_batch(pages: DataFrame, root: str, batch_id: int, max_pages: int | None = None,
-                 types: str | Iterable[str] = HANDLED_TYPES) -> DataFrame:
-    """Takes one batch of landed pages into the tables under ``root``; returns its run rows.
-
-    All reads of state stop before this batch, and all writes carry its number, so running
-    the same batch again leaves the same rows. Classified rows are written once and each
-    sink reads back only its columns.
+                 types: str | Iterable[str] = HANDLED_TYPES, stream: str = "direct", buckets: int = BUCKETS) -> DataFrame:
+    """Takes one batch of landed pages into the tables under ``root``; returns the rows of its runs.
+
+    ``batch_id`` counts the batches of ``stream``; the ledger gives it a number of the root's
+    own. All tables change by one commit. A batch taken again once it is committed changes
+    nothing, a batch older than its stream's last one is refused, and one that meets another
+    writer's commit is worked out again on the state that writer left. Classified rows are
+    written once and each sink reads back only its columns. ``buckets`` is how many a new
+    root's snapshots have; a batch rewrites those that hold an entity it names.
     """
     spark: SparkSession = configure(pages.sparkSession)
-    with staging_area(spark, f"batch-{batch_id}"):
-        _take(spark, pages, root.rstrip("/"), batch_id, max_pages, types)
-    return spark.read.schema(INGESTION_RUNS).parquet(f"{root.rstrip('/')}/ingestion_runs/batch_id={batch_id}")
-
-
-def _take(spark: SparkSession, pages: DataFrame, root: str, batch_id: int, max_pages: int | None,
-          types: str | Iterable[str]) -> None:
+    root = root.rstrip("/")
+    batch, committed = claim_batch(spark, root, stream, batch_id)
+    for attempt in range(0 if committed else ATTEMPTS):
+        tx = Transaction(spark, root, batch, stream, batch_id, buckets)
+        with staging_area(spark, f"batch-{batch}"):
+            _take(tx, pages, max_pages, types)
+        try:
+            tx.commit()
+            break
+        except CommitConflict:
+            if attempt == ATTEMPTS - 1:
+                raise
+    own = read_log(spark, root, "run_batches").where(F.col("batch") == batch).select("run_id")
+    return read_snapshot(spark, root, "ingestion_runs").join(own, "run_id", "left_semi")
+
+
+def _take(tx: Transaction, pages: DataFrame, max_pages: int | None, types: str | Iterable[str]) -> None:
     # Page bodies are read twice and never shuffled: once for the walk, once to classify.
     states = stage(page_state(pages), "pages")
-    skipped = left_out(states, stops_of(states, max_pages))
+    runs = states.select("run_id").distinct()
+    own_walks = tx.touched("walks", runs, "run_id")
+    walks = stage(tx.rows("walks", own_walks), "walks")
+    stops = stage(stops_of(states, max_pages, walks), "stops")
+    skipped = left_out(states, stops)
     counted = pages.join(skipped, ["run_id", "page_no"], "left_anti")
     classified = stage(classify(explode_envelopes(counted), types), "classified")
-    existing = read_log(spark, root, "push_events", before=batch_id)
-    created = global_rank(dedup_new(classified, existing), list(ARRIVAL), "seq",
-                          start=_highest_seq(existing))
-    append_log(push_event_rows(created), root, "push_events", batch_id)
-    append_log(event_observations(created), root, "observations", batch_id)
-
-    quarantine = read_snapshot(spark, root, "quarantined_events", before=batch_id)
-    swap_snapshot(quarantine_merge(classified, quarantine), root, "quarantined_events", batch_id)
+    pushes = classified.where("outcome = 'push_event'")
+    existing = stage(stored_among(tx, pushes.select("github_event_id").distinct()), "stored-ids")
+    created = global_rank(dedup_new(classified, existing), list(ARRIVAL), "seq", start=tx.fact("push_events", "last_seq"))
+    tx.append(push_event_rows(created), "push_events")
+    tx.append(event_observations(created), "observations")
+    remember(tx, created)
+    new_events = tx.written("push_events").agg(F.max("seq")).first()[0]
+    tx.set_fact("push_events", "last_seq", new_events or tx.fact("push_events", "last_seq"))
+
+    broken = classified.where("outcome = 'quarantined'")
+    own = tx.touched("quarantined_events", broken, "payload_fingerprint")
+    tx.replace(quarantine_merge(broken, tx.rows("quarantined_events", own)), "quarantined_events", own)
 
     accepted = accepted_pushes(classified, created, existing)
     for kind, table in SNAPSHOTS.items():
-        old = read_snapshot(spark, root, table, before=batch_id)
-        folded = fold_entities(kind, accepted, created, old)
-        swap_snapshot(numbered_entities(kind, folded, _highest_seq(old)), root, table, batch_id)
+        own = tx.touched(table, accepted.select(F.col(kind)["github_id"].alias("github_id")), "github_id")
+        last = tx.fact(table, "last_seq")
+        folded = numbered_entities(kind, fold_entities(kind, accepted, created, tx.rows(table, own)), last)
+        tx.replace(folded, table, own)
+        tx.set_fact(table, "last_seq", max(last, tx.replaced(table, own).agg(F.max("seq")).first()[0] or 0))
 
     results = delivery_results(classified, created, existing)
     fetched = states.join(skipped, ["run_id", "page_no"], "left_anti")
-    append_log(run_rows(states, run_tally(results, fetched)), root, "ingestion_runs", batch_id)
+    own = tx.touched("ingestion_runs", runs, "run_id")
+    earlier = stage(tx.rows("ingestion_runs", own), "runs")
+    new_runs = run_rows(states, run_tally(results, fetched), walks, earlier)
+    tx.replace(_with_untouched(new_runs, earlier, "run_id"), "ingestion_runs", own)
+    tx.replace(_with_untouched(walked(states, stops, walks), walks, "run_id"), "walks", own_walks)
+    tx.append(runs.withColumn("batch", F.lit(tx.batch).cast("long")), "run_batches")
+
+
+def _with_untouched(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
+    """The new rows and those of the same buckets that the batch does not name."""
+    return new.unionByName(old.join(new.select(key), key, "left_anti"))

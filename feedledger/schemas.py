@@ -107,11 +107,35 @@ SEARCH_BUDGET = _table(
     blocked_until=TS, last_request_at=TS,
 )
 
+# What is kept of each run's walk between batches: where it ended, or the links it has followed.
+WALKS = _table(
+    run_id=STR, first_page=INT, first_class=STR, last_page=INT, counted_through=INT, stop_page=INT, stop_reason=STR,
+    visited=T.ArrayType(_table(page_no=INT, next_key=STR)),
+)
+
+# Which runs a batch held pages of.
+RUN_BATCHES = _table(run_id=STR, batch=LONG)
+
+# Ids of stored events by hash bucket, and a Bloom filter of each bucket in words of 64 bits.
+EVENT_IDS = _table(github_event_id=STR, id_bucket=INT)
+ID_BLOOM = _table(id_bucket=INT, word=INT, bits=LONG)
+
 TABLES = {
     "push_events": PUSH_EVENTS, "quarantined_events": QUARANTINED_EVENTS, "actors": ACTORS,
     "repositories": REPOSITORIES, "observations": OBSERVATIONS, "batches": BATCHES,
     "ingestion_runs": INGESTION_RUNS, "event_sources": EVENT_SOURCES,
     "core_budget": CORE_BUDGET, "search_budget": SEARCH_BUDGET,
+    "walks": WALKS, "run_batches": RUN_BATCHES, "event_ids": EVENT_IDS, "id_bloom": ID_BLOOM,
+}
+
+# How stored tables are laid out: the instant whose day makes a log's folders, further folder
+# columns, and the key whose hash cuts a snapshot into buckets.
+DAYS = {"push_events": "created_at", "observations": "observed_at"}
+FOLDERS = {"observations": ("entity_kind",), "event_ids": ("id_bucket",)}
+KEYS = {
+    "quarantined_events": "payload_fingerprint", "actors": "github_id", "repositories": "github_id", "batches": "correlation_id",
+    "ingestion_runs": "run_id", "event_sources": "id", "core_budget": "id", "search_budget": "id", "walks": "run_id",
+    "id_bloom": "id_bucket",
 }
 
 ENTITY_TABLES = {"actor": ACTORS, "repository": REPOSITORIES}

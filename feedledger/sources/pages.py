@@ -63,17 +63,25 @@ def walk_stops(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
     return stops_of(page_state(pages), max_pages)
 
 
-def stops_of(states: DataFrame, max_pages: int | None = None) -> DataFrame:
+def link_targets(states: DataFrame) -> DataFrame:
+    """The links each run has followed: ``(run_id, page_no, next_key)``, the first request as page 0."""
+    first = states.where("page_no = 1").select(
+        "run_id", F.lit(0).alias("page_no"), request_key(F.col("request_url")).alias("next_key"))
+    return (states.select("run_id", "page_no", request_key(F.col("next_url")).alias("next_key"))
+            .unionByName(first).where("next_key IS NOT NULL"))
+
+
+def stops_of(states: DataFrame, max_pages: int | None = None, walks: DataFrame | None = None) -> DataFrame:
     """Where each run's walk ends and why: ``(run_id, stop_page, stop_reason, counted_through)``.
 
     Reasons are tested page by page in this order: unusable page, empty page, no next
     link, a link already visited, the cap if one is given. ``counted_through`` is the last page whose
-    envelopes count; an unusable page ends the walk but does not count.
+    envelopes count; an unusable page ends the walk but does not count. ``walks`` tells how far
+    earlier batches have walked the same runs; pages must have landed in the order of the walk.
     """
-    states = states.withColumn("next_key", request_key(F.col("next_url")))
-    first = states.where("page_no = 1").select(
-        "run_id", F.lit(0).alias("page_no"), request_key(F.col("request_url")).alias("next_key"))
-    targets = states.select("run_id", "page_no", "next_key").unionByName(first).where("next_key IS NOT NULL")
+    targets = link_targets(states)
+    if walks is not None:
+        targets = targets.unionByName(walks.select("run_id", F.inline("visited"))).distinct()
     # The second sight of a target in page order is the loop; a run's first loop is what
     # counts. The rank filter keeps two rows per target on the map side.
     sightings = Window.partitionBy("run_id", "next_key").orderBy("page_no")
@@ -89,11 +97,20 @@ def stops_of(states: DataFrame, max_pages: int | None = None) -> DataFrame:
                  F.min(F.when(F.col("_reason").isNotNull(), F.struct("page_no", "_reason"))).alias("_local"),
                  F.max("page_no").alias("_last")))
     joined = local.join(loops, "run_id", "left")
+    if walks is None:
+        earlier = F.lit(None).cast("struct<page:int,rank:int,reason:string>")
+    else:
+        before = walks.select("run_id", F.col("last_page").alias("_walked"), F.col("stop_page").alias("_stopped"),
+                              F.col("stop_reason").alias("_stopped_by"))
+        joined = (joined.join(before, "run_id", "left").withColumn("_last", F.greatest("_last", "_walked")))
+        earlier = F.when(F.col("_stopped_by").isNotNull(), F.struct(
+            F.col("_stopped").alias("page"), F.lit(0).alias("rank"), F.col("_stopped_by").alias("reason")))
 
     def stop(page, rank: int, why):
         return F.when(page.isNotNull(), F.struct(page.alias("page"), F.lit(rank).alias("rank"), why.alias("reason")))
 
     chosen = F.least(
+        earlier,
         stop(F.col("_local.page_no"), 1, F.col("_local._reason")),
         stop(F.col("loop_page"), 2, F.lit("link_loop")),
         stop(F.lit(max_pages).cast("int"), 3, F.lit("page_cap")))
@@ -105,6 +122,26 @@ def stops_of(states: DataFrame, max_pages: int | None = None) -> DataFrame:
          - F.when(F.coalesce(ended & (F.col("_stop.reason") == "page_error"), F.lit(False)), 1).otherwise(0)).alias("counted_through"))
 
 
+def walked(states: DataFrame, stops: DataFrame, walks: DataFrame) -> DataFrame:
+    """The rows of ``walks`` after a batch, for the runs it holds pages of.
+
+    Only a run that goes on keeps its links, which are as many as its pages.
+    """
+    seen = states.groupBy("run_id").agg(
+        F.min("page_no").alias("_first"), F.min_by("http_class", "page_no").alias("_class"), F.max("page_no").alias("_last"))
+    links = (link_targets(states).groupBy("run_id").agg(F.collect_set(F.struct("page_no", "next_key")).alias("_links")))
+    before = walks.select("run_id", "first_page", "first_class", "last_page", "visited")
+    joined = seen.join(stops, "run_id").join(links, "run_id", "left").join(before, "run_id", "left")
+    earlier = F.coalesce(F.col("first_page") <= F.col("_first"), F.lit(False))
+    none = F.array().cast("array<struct<page_no:int,next_key:string>>")
+    visited = F.array_sort(F.array_union(F.coalesce("visited", none), F.coalesce("_links", none)))
+    return joined.select(
+        "run_id", F.least("first_page", "_first").alias("first_page"),
+        F.when(earlier, F.col("first_class")).otherwise(F.col("_class")).alias("first_class"),
+        F.greatest("last_page", "_last").alias("last_page"), "counted_through", "stop_page", "stop_reason",
+        F.when(F.col("stop_reason").isNull(), visited).alias("visited"))
+
+
 def left_out(states: DataFrame, stops: DataFrame) -> DataFrame:
     """Keys of the landed pages past their run's stop."""
     return (states.select("run_id", "page_no").join(stops, "run_id")

@@ -1,155 +1,48 @@
-"""Stored tables: idempotent append logs, versioned snapshots, reports and rule checks."""
+"""Stored tables one at a time, reports and rule checks (A9 to A12); ``commits`` writes several at once."""
 
 from __future__ import annotations
 
-import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql import types as T
 
 from feedledger import schemas as S
+from feedledger.sources.commits import Transaction, read_manifest, table_rows
 
-
-def _join(root: str, *parts: str) -> str:
-    return "/".join([root.rstrip("/"), *parts])
-
-
-def _filesystem(spark: SparkSession, path: str):
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    target = hadoop.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    fs, target = _filesystem(spark, path)
-    return fs.exists(target)
-
-
-# --- append logs -------------------------------------------------------------------------
-
-
-# The instant each log is laid out by, one folder per day, and further folder columns.
-_DAYS = {"push_events": "created_at", "observations": "observed_at"}
-_FOLDERS = {"observations": ("entity_kind",)}
+# --- one table at a time -------------------------------------------------------------------
 
 
 def append_log(df: DataFrame, root: str, table: str, batch_id: int) -> None:
-    """Adds the batch's rows; writing the same batch again replaces them as a whole.
+    """Adds the batch's rows; writing the newest batch again replaces them as a whole.
 
-    What an earlier attempt left under this number is removed first, so a replay with fewer
-    days, or none, keeps no old row.
+    The rows become visible by one manifest, so a reader meets the earlier attempt's rows or
+    these, never neither. A batch older than the newest is refused.
     """
-    rows = df.withColumn("batch_id", F.lit(batch_id).cast("long"))
-    folders = [*_FOLDERS.get(table, ())]
-    if table in _DAYS:
-        rows = rows.withColumn("day", F.to_date(_DAYS[table]))
-        folders.append("day")
-    fs, earlier = _filesystem(df.sparkSession, _join(root, table, *["*"] * len(folders), f"batch_id={batch_id}"))
-    for status in fs.globStatus(earlier) or ():
-        fs.delete(status.getPath(), True)
-    rows.write.mode("append").partitionBy(*folders, "batch_id").parquet(_join(root, table))
+    tx = Transaction(df.sparkSession, root, batch_id)
+    tx.append(df, table, again=True)
+    tx.commit()
 
 
 def read_log(spark: SparkSession, root: str, table: str, before: int | None = None,
              since: Column | None = None) -> DataFrame:
-    """Rows of the log, of earlier batches only when a batch is being worked on.
+    """Rows of the live parts, of earlier batches only when a batch is being worked on.
 
     A replayed batch must not meet its own rows, or it would take them for duplicates.
     ``since`` opens only the folders of that day and later; the day itself comes whole.
     """
-    schema = S.TABLES[table]
-    path = _join(root, table)
-    if not path_exists(spark, path):
-        return spark.createDataFrame([], schema)
-    laid_out = [T.StructField("batch_id", T.LongType())]
-    if table in _DAYS:
-        laid_out.append(T.StructField("day", T.DateType()))
-    rows = spark.read.schema(T.StructType([*schema.fields, *laid_out])).parquet(path)
-    if before is not None:
-        rows = rows.where(F.col("batch_id") < before)
-    if since is not None and table in _DAYS:
-        rows = rows.where(F.col("day") >= F.to_date(since))
-    return rows.select(*schema.names)
-
-
-# --- snapshots ---------------------------------------------------------------------------
-
-
-def _versions(spark: SparkSession, root: str, table: str) -> list[int]:
-    """Complete versions; a version without its success mark was never finished."""
-    fs, folder = _filesystem(spark, _join(root, table))
-    if not fs.exists(folder):
-        return []
-    found = []
-    for status in fs.listStatus(folder):
-        name = status.getPath().getName()
-        if name.startswith("version=") and fs.exists(
-                spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-            found.append(int(name.split("=", 1)[1]))
-    return sorted(found)
-
-
-def write_version(df: DataFrame, root: str, table: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(_join(root, table, f"version={batch_id}"))
-
-
-def move_pointer(spark: SparkSession, root: str, table: str, batch_id: int) -> None:
-    """Make a written version the live one; the small file is replaced in one overwriting rename."""
-    fs, pointer = _filesystem(spark, _join(root, table, "_current.json"))
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    temporary = hadoop.Path(pointer.getParent(), f"_current-{batch_id}.tmp")
-    out = fs.create(temporary, True)
-    out.write(bytearray(json.dumps({"version": batch_id}).encode()))
-    out.close()
-    overwrite = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    overwrite[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    context = hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
-    context.rename(fs.makeQualified(temporary), fs.makeQualified(pointer), overwrite)
+    return table_rows(spark, root, read_manifest(spark, root), table, before=before, since=since)
 
 
 def swap_snapshot(df: DataFrame, root: str, table: str, batch_id: int) -> None:
-    """Write the next version beside the live one, then point at it."""
-    write_version(df, root, table, batch_id)
-    move_pointer(df.sparkSession, root, table, batch_id)
-
-
-def current_version(spark: SparkSession, root: str, table: str) -> int | None:
-    """The version the pointer names. A written version that was never pointed at is not live."""
-    fs, pointer = _filesystem(spark, _join(root, table, "_current.json"))
-    if not fs.exists(pointer):
-        return None
-    stream = fs.open(pointer)
-    try:
-        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["version"]
-    finally:
-        stream.close()
-
-
-def expire_versions(spark: SparkSession, root: str, table: str, keep: int = 2) -> list[int]:
-    """Removes complete versions older than the ``keep`` newest; the live one always stays.
-
-    ``keep`` is at least two, because a replayed batch starts from the version before its own.
-    """
-    live = current_version(spark, root, table)
-    old = [v for v in _versions(spark, root, table)[:-max(keep, 2)] if v != live]
-    for version in old:
-        fs, target = _filesystem(spark, _join(root, table, f"version={version}"))
-        fs.delete(target, True)
-    return old
+    """Write the next version beside the live one, then commit it."""
+    tx = Transaction(df.sparkSession, root, batch_id)
+    tx.replace(df, table)
+    tx.commit()
 
 
 def read_snapshot(spark: SparkSession, root: str, table: str, before: int | None = None) -> DataFrame:
-    """The live version, or while batch ``before`` is worked on, the version before it."""
-    schema = S.TABLES[table]
-    if before is None:
-        version = current_version(spark, root, table)
-    else:
-        earlier = [v for v in _versions(spark, root, table) if v < before]
-        version = earlier[-1] if earlier else None
-    if version is None:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(_join(root, table, f"version={version}"))
+    """The live version, or the one that was live before batch ``before`` was committed."""
+    return table_rows(spark, root, read_manifest(spark, root, before), table)
 
 
 # --- reports -----------------------------------------------------------------------------
@@ -162,6 +55,7 @@ def write_report(df: DataFrame, path: str) -> None:
 
 # --- rules -------------------------------------------------------------------------------
 
+# Rules of the stored tables, whose columns and names are given.
 _COUNTERS = {
     "batches": ("requested_count", "returned_count", "valid_count", "missing_count", "invalid_count"),
     "event_sources": ("consecutive_failures",),

@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from feedledger.operators.ingest import ingest_batch
 from feedledger.plans.reports import METRICS_WINDOW_SECONDS, backlog_metrics, throughput
+from feedledger.sources.commits import read_text
 from feedledger.sources.pages import stream_pages
 from feedledger.sources.tables import read_snapshot, write_report
 
 
-def _sink(root: str, max_pages: int | None):
-    def write(pages: DataFrame, batch_id: int) -> None:
-        ingest_batch(pages, root, batch_id, max_pages)
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """What the checkpoint names its stream: the same after a restart, another one for a new checkpoint."""
+    return json.loads(read_text(spark, f"{checkpoint.rstrip('/')}/metadata"))["id"]
+
+
+def _sink(root: str, max_pages: int | None, checkpoint: str):
+    def write(pages: DataFrame, micro_batch: int) -> None:
+        ingest_batch(pages, root, micro_batch, max_pages, stream=stream_id(pages.sparkSession, checkpoint))
 
     return write
 
@@ -24,10 +32,12 @@ def ingest_stream(spark: SparkSession, landing: str, root: str, checkpoint: str,
     """Pages as they land, each micro-batch taken into the tables exactly once in effect.
 
     Events are accepted however late they are and an id is never forgotten: dedup asks the
-    stored table, not a watermark. Without ``every`` the stream stops once it has caught up.
+    stored index, not a watermark. A run may be split over micro-batches, as long as its pages land
+    in order. The ledger tells micro-batches of different checkpoints apart. Without ``every``
+    the stream stops once it has caught up.
     """
     writer = (stream_pages(spark, landing, bare, max_files).writeStream
-              .foreachBatch(_sink(root, max_pages)).option("checkpointLocation", checkpoint))
+              .foreachBatch(_sink(root, max_pages, checkpoint)).option("checkpointLocation", checkpoint))
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
     return writer.start()
 
@@ -49,7 +59,7 @@ def publish_backlog(spark: SparkSession, root: str, batch_id: int, reports: str,
 def ingest_and_report_stream(spark: SparkSession, landing: str, root: str, checkpoint: str, reports: str,
                              max_pages: int | None = None, max_files: int | None = None) -> StreamingQuery:
     """``ingest_stream`` with both reports rewritten after every micro-batch."""
-    take = _sink(root, max_pages)
+    take = _sink(root, max_pages, checkpoint)
 
     def write(pages: DataFrame, batch_id: int) -> None:
         take(pages, batch_id)

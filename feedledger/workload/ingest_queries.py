@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from feedledger.functions.http import header, next_link, request_key
 from feedledger.functions.scalars import iso8601, iso8601_micros
 from feedledger.operators import classify as B
-from feedledger.operators import dedup, evidence, folds, upkeep
+from feedledger.operators import dedup, evidence, folds, known_ids, upkeep
 
 from feedledger.session import shared_dir, stage
-from feedledger.sources import documents, pages, tables
+from feedledger.sources import commits, documents, pages, tables
 from feedledger.workload import expected as X
 from feedledger.workload import feed
 from feedledger.workload.registry import query
@@ -190,6 +190,69 @@ def a10_before(spark, sf_dir):
         F.count("*").alias("n"))
 
 
+@query("a9_old_batch_refused", f"WITH {X.PUSHES} {_STORED.replace('FROM pushes', 'FROM pushes WHERE seq % 2 = 1')}")
+def a9_refused(spark, sf_dir):
+    """A batch older than the newest adds nothing."""
+    root = _folder(spark, "log")
+    rows = feed.push_events(spark, sf_dir)
+    tables.append_log(rows.where("seq % 2 = 1"), root, "push_events", 1)
+    try:
+        tables.append_log(rows.where("seq % 2 = 0"), root, "push_events", 0)
+    except commits.BatchRefused:
+        pass
+    return _summary(tables.read_log(spark, root, "push_events"))
+
+
+@query("a10_crash_before_pointer", X.state("""
+SELECT v.label, enrichment_status, count(*) AS n FROM actor, (VALUES ('live'), ('before batch 2')) v(label) GROUP BY 1, 2
+UNION ALL SELECT 'after', enrichment_status, count(*) FROM actor WHERE g % 2 = 0 GROUP BY 2"""))
+def a10_crash(spark, sf_dir):
+    """Rows written but never committed are in no view; a later batch that commits is."""
+    root = _folder(spark, "snapshots")
+    actors = feed.entities(spark, sf_dir, "actor")
+    tables.swap_snapshot(actors, root, "actors", 0)
+    commits.Transaction(spark, root, 1).replace(actors.where("github_id % 3 = 0"), "actors")
+
+    def view(label: str, rows: DataFrame) -> DataFrame:
+        return rows.groupBy("enrichment_status").agg(F.count("*").alias("n")).select(F.lit(label).alias("label"), "enrichment_status", "n")
+
+    crashed = [view("live", tables.read_snapshot(spark, root, "actors")),
+               view("before batch 2", tables.read_snapshot(spark, root, "actors", before=2))]
+    tables.swap_snapshot(actors.where("github_id % 2 = 0"), root, "actors", 2)
+    return crashed[0].unionByName(crashed[1]).unionByName(view("after", tables.read_snapshot(spark, root, "actors")))
+
+
+@query("a10_touched_buckets", X.state("""
+SELECT enrichment_status, count(*) AS n, count(*) FILTER (WHERE g % 50 = 0) AS changed FROM actor GROUP BY 1"""))
+def a10_touched(spark, sf_dir):
+    """Some entities change and only their buckets are written; all the others are carried over."""
+    root = _folder(spark, "snapshots")
+    actors = feed.entities(spark, sf_dir, "actor")
+    tables.swap_snapshot(actors.withColumn("lease_token", F.lit(None).cast("string")), root, "actors", 0)
+    tx = commits.Transaction(spark, root, 1)
+    own = tx.touched("actors", actors.where("github_id % 50 = 0"), "github_id")
+    token = F.when(F.col("github_id") % 50 == 0, F.lit("changed"))
+    tx.replace(tx.rows("actors", own).withColumn("lease_token", token), "actors", own)
+    tx.commit()
+    return tables.read_snapshot(spark, root, "actors").groupBy("enrichment_status").agg(
+        F.count("*").alias("n"), F.count("lease_token").alias("changed"))
+
+
+@query("c1_known_ids", f"""WITH {X.PUSHES}
+SELECT ref, count(*) AS events, count(*) FILTER (WHERE seq % 3 <> 0) AS known FROM pushes GROUP BY ref""")
+def c1_known_ids(spark, sf_dir):
+    """Two of three events are stored, in six batches; the index tells which of all events those are."""
+    root = _folder(spark, "ids")
+    rows = feed.push_events(spark, sf_dir)
+    for batch in range(6):
+        tx = commits.Transaction(spark, root, batch)
+        known_ids.remember(tx, rows.where((F.col("seq") % 3 != 0) & (F.col("seq") % 6 == batch)))
+        tx.commit()
+    known = known_ids.stored_among(commits.Transaction(spark, root, 6), rows.select("github_event_id"))
+    return rows.join(known.withColumn("known", F.lit(1)), "github_event_id", "left").groupBy("ref").agg(
+        F.count("*").alias("events"), F.count("known").alias("known"))
+
+
 @query("a11_write_report", X.state("""
 SELECT '{"github_id":' || g || ',"last_error":' || CASE WHEN last_error IS NULL THEN 'null' ELSE '"' || last_error || '"' END || '}' AS value
 FROM actor"""))

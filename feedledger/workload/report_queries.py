@@ -306,6 +306,19 @@ def g1_identities(spark, sf_dir):
     return tally_identities(_tally(spark, sf_dir))
 
 
+@query("g1_tally_identities_broken", X.deliveries(f"""
+SELECT run_id, events_received, events_created + 1 AS events_created, push_events_seen FROM ({_TALLY}) WHERE run_id LIKE '%3'
+UNION ALL SELECT run_id, events_received, events_created, events_received - events_ignored + 1 FROM ({_TALLY}) WHERE run_id LIKE '%7'""", X.CREATED))
+def g1_broken(spark, sf_dir):
+    """Tallies of some runs are made to contradict themselves; just these are found."""
+    tally = stage(_tally(spark, sf_dir), "tally")
+    wrong = tally.withColumns({
+        "events_created": F.col("events_created") + F.when(F.col("run_id").endswith("3"), 1).otherwise(0),
+        "push_events_seen": F.when(F.col("run_id").endswith("7"), F.col("events_received") - F.col("events_ignored") + 1)
+        .otherwise(F.col("push_events_seen"))})
+    return tally_identities(wrong).select("run_id", "events_received", "events_created", "push_events_seen")
+
+
 _COVERAGE_SECONDS = 864_000
 
 
@@ -549,10 +562,13 @@ def g22(spark, sf_dir):
 # --- H -----------------------------------------------------------------------------------
 
 
+def _land(log: DataFrame, landing: str) -> None:
+    log.drop("run").write.mode("append").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(landing)
+
+
 def _landed(spark, sf_dir) -> str:
     landing = _folder(spark, "landing")
-    feed.fetch_log(spark, sf_dir).drop("run").repartition("run_id").write.option(
-        "timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(landing)
+    _land(feed.fetch_log(spark, sf_dir), landing)
     return landing
 
 
@@ -571,6 +587,31 @@ def h1(spark, sf_dir):
     return read_log(spark, _streamed(spark, sf_dir), "ingestion_runs").select(*_RUN_COLUMNS)
 
 
+@query("h1_new_checkpoint", X.deliveries(f"""
+SELECT {', '.join(_RUN_COLUMNS)} FROM ({_TALLY})
+UNION ALL SELECT 'again-' || run_id, pages_fetched, events_received, push_events_seen, 0, events_created + duplicates_skipped, events_quarantined, events_failed
+FROM ({_TALLY})""", X.CREATED))
+def h1_new_checkpoint(spark, sf_dir):
+    """A second stream with a checkpoint of its own goes on from the first one's tables."""
+    root = _streamed(spark, sf_dir)
+    landing = _folder(spark, "landing")
+    _land(feed.fetch_log(spark, sf_dir).withColumn("run_id", F.concat(F.lit("again-"), "run_id"))
+          .withColumn("received_at", F.col("received_at") + F.expr("INTERVAL 40 DAYS")), landing)
+    ingest_stream(spark, landing, root, _folder(spark, "mark"), max_pages=11).awaitTermination()
+    return read_log(spark, root, "ingestion_runs").select(*_RUN_COLUMNS)
+
+
+@query("h5_split_run", X.deliveries(f"SELECT {', '.join(_RUN_COLUMNS)} FROM ({_TALLY})", X.CREATED))
+def h5_split_run(spark, sf_dir):
+    """Every run lands in three pieces, the stream starting anew after each."""
+    root, landing, mark = (_folder(spark, n) for n in ("tables", "landing", "mark"))
+    log = feed.fetch_log(spark, sf_dir)
+    for first, last in ((1, 3), (4, 10), (11, 11)):
+        _land(log.where(F.col("page_no").between(first, last)), landing)
+        ingest_stream(spark, landing, root, mark, max_pages=11).awaitTermination()
+    return read_log(spark, root, "ingestion_runs").select(*_RUN_COLUMNS)
+
+
 @query("h2_unbounded_dedup", X.deliveries("SELECT id AS github_event_id, count(*) AS n FROM created GROUP BY 1", X.CREATED))
 def h2(spark, sf_dir):
     return read_log(spark, _streamed(spark, sf_dir), "push_events").groupBy("github_event_id").agg(F.count("*").alias("n"))

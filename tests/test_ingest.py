@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,9 @@ from pyspark.sql import functions as F
 from corpus import PAGE_1, PAGE_2, log, nxt, push
 from feedledger.operators.ingest import ingest_batch
 from feedledger.plans.reports import entity_state_fingerprint
-from feedledger.sources.tables import check_constraints, expire_versions, read_log, read_snapshot
+from feedledger.operators.known_ids import remember, stored_among
+from feedledger.sources.commits import Transaction, expire
+from feedledger.sources.tables import check_constraints, read_log, read_snapshot
 
 
 def counters(run):
@@ -106,8 +109,96 @@ def test_logs_open_only_the_days_asked_for(spark, root):
     assert later.count() == 0 and "PartitionFilters" in later._jdf.queryExecution().toString()
 
 
-def test_expired_versions_leave_the_live_one(spark, root):
+def test_expired_manifests_leave_the_live_rows(spark, root):
     before = read_snapshot(spark, root, "actors").count()
-    assert expire_versions(spark, root, "actors") == [0]
-    assert expire_versions(spark, root, "actors", keep=0) == []
-    assert read_snapshot(spark, root, "actors").count() == before
+    removed = expire(spark, root)
+    assert removed and not [r for r in removed if r.startswith("push_events")]
+    assert expire(spark, root, keep=0) == []
+    assert read_snapshot(spark, root, "actors").count() == before and read_log(spark, root, "push_events").count() == 6
+
+
+CUT = [("a", 1, 0, [push(1), push(2)], nxt(2)), ("b", 1, 1, [push(3)], nxt(2)), ("a", 2, 2, [push(1), push(4)], nxt(3)),
+       ("b", 2, 3, [push(5)], nxt(1)), ("a", 3, 4, "[]", nxt(4)), ("b", 3, 5, [push(6)], nxt(4)), ("a", 4, 6, [push(7)])]
+
+
+def tables_of(spark, root):
+    runs = sorted(map(tuple, read_snapshot(spark, root, "ingestion_runs").collect()))
+    events = sorted((e["github_event_id"], e["seq"]) for e in read_log(spark, root, "push_events").collect())
+    return runs, events, digest(spark, root)
+
+
+@pytest.mark.parametrize("cuts", [(2, 5)])
+def test_runs_split_over_batches_end_as_in_one(spark, tmp_path, cuts):
+    """An empty page, a link loop and pages past both."""
+    whole = str(tmp_path / "whole")
+    ingest_batch(log(spark, CUT), whole, 0)
+    split = str(tmp_path / "split")
+    for batch, (first, last) in enumerate(zip((0, *cuts), (*cuts, len(CUT)))):
+        ingest_batch(log(spark, CUT[first:last]), split, batch)
+    got, want = tables_of(spark, split), tables_of(spark, whole)
+    assert got == want
+    assert {r[0]: r[5] for r in got[0]} == {"a": 3, "b": 2}
+
+
+@pytest.mark.parametrize("step", [1, 5, 12])
+def test_a_batch_that_stops_anywhere_leaves_nothing(spark, tmp_path, monkeypatch, step):
+    """The crash comes before the n-th write; then the batch is taken again."""
+    root = str(tmp_path)
+    ingest_batch(log(spark, [("a", 1, 0, [push(1), push(1, type=3)])]), root, 0)
+    before = tables_of(spark, root), sorted(map(str, read_snapshot(spark, root, "quarantined_events").collect()))
+    second = log(spark, [("b", 1, 9, [push(1), push(2), push(2, type=3)])])
+    writes = {"n": 0}
+
+    def crash_at(name):
+        real = getattr(Transaction, name)
+
+        def write(self, *args, **kwargs):
+            writes["n"] += 1
+            if writes["n"] > step:
+                raise OSError("lost")
+            return real(self, *args, **kwargs)
+
+        monkeypatch.setattr(Transaction, name, write)
+
+    for name in ("append", "replace", "commit"):
+        crash_at(name)
+    with pytest.raises(OSError):
+        ingest_batch(second, root, 1)
+    monkeypatch.undo()
+    assert (tables_of(spark, root), sorted(map(str, read_snapshot(spark, root, "quarantined_events").collect()))) == before
+    run = ingest_batch(second, root, 1).first()
+    assert counters(run)[3:6] == (1, 1, 1)
+    assert read_log(spark, root, "push_events").count() == 2
+
+
+def test_a_batch_that_loses_the_race_is_worked_out_again(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    real, raced = Transaction.commit, []
+
+    def commit(self):
+        if not raced:
+            raced.append(True)
+            ingest_batch(log(spark, [("other", 1, 0, [push(1), push(2)])]), root, 0, stream="other")
+        return real(self)
+
+    monkeypatch.setattr(Transaction, "commit", commit)
+    run = ingest_batch(log(spark, [("mine", 1, 5, [push(2), push(3)])]), root, 0, stream="mine").first()
+    assert counters(run)[3:5] == (1, 1)
+    assert sorted(e["seq"] for e in read_log(spark, root, "push_events").collect()) == [1, 2, 3]
+
+
+def test_known_ids_open_only_buckets_that_may_hold_them(spark, tmp_path):
+    root = str(tmp_path)
+    ids = spark.range(30_000).select(F.concat(F.lit("e"), F.col("id")).alias("github_event_id"))
+    for batch in range(3):
+        tx = Transaction(spark, root, batch)
+        remember(tx, ids.where(F.col("github_event_id").endswith(str(batch))))
+        tx.commit()
+    tx = Transaction(spark, root, 3)
+    new = ids.select(F.concat(F.lit("new"), "github_event_id").alias("github_event_id")).limit(50)
+    some = ids.where("github_event_id IN ('e10', 'e21', 'e3')").unionByName(new)
+    got = stored_among(tx, some)
+    assert sorted(r[0] for r in got.collect()) == ["e10", "e21"]
+    scanned = re.search(r"id_bucket#\d+ IN \(([^)]*)\)|id_bucket#\d+ = (\d+)", got._jdf.queryExecution().toString())
+    assert len((scanned[1] or scanned[2]).split(",")) <= 4
+    assert stored_among(tx, new).collect() == []
