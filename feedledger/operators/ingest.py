@@ -139,11 +139,11 @@ def _take(tx: Transaction, pages: DataFrame, max_pages: int | None, types: str |
     own = tx.touched("ingestion_runs", runs, "run_id")
     earlier = stage(tx.rows("ingestion_runs", own), "runs")
     new_runs = run_rows(states, run_tally(results, fetched), walks, earlier)
-    tx.replace(_with_untouched(new_runs, earlier, "run_id"), "ingestion_runs", own)
-    tx.replace(_with_untouched(walked(states, stops, walks), walks, "run_id"), "walks", own_walks)
+    tx.replace(with_untouched(new_runs, earlier, "run_id"), "ingestion_runs", own)
+    tx.replace(with_untouched(walked(states, stops, walks), walks, "run_id"), "walks", own_walks)
     tx.append(runs.withColumn("batch", F.lit(tx.batch).cast("long")), "run_batches")
 
 
-def _with_untouched(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
+def with_untouched(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
     """The new rows and those of the same buckets that the batch does not name."""
-    return new.unionByName(old.join(new.select(key), key, "left_anti"))
+    return new.unionByName(old.join(new.select(key).distinct(), key, "left_anti"))

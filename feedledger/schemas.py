@@ -113,6 +113,12 @@ WALKS = _table(
     visited=T.ArrayType(_table(page_no=INT, next_key=STR)),
 )
 
+# Members of batches in flight, as they were when they were leased.
+LEASES = _table(
+    request_batch_id=STR, entity_kind=STR, seq=LONG, github_id=LONG, identifier=STR, api_url=STR, previous_stage=STR,
+    enrichment_status=STR, enrichment_attempts=INT, detail_attempts=INT, lease_token=STR, leased_until=TS,
+)
+
 # Which runs a batch held pages of.
 RUN_BATCHES = _table(run_id=STR, batch=LONG)
 
@@ -125,7 +131,7 @@ TABLES = {
     "repositories": REPOSITORIES, "observations": OBSERVATIONS, "batches": BATCHES,
     "ingestion_runs": INGESTION_RUNS, "event_sources": EVENT_SOURCES,
     "core_budget": CORE_BUDGET, "search_budget": SEARCH_BUDGET,
-    "walks": WALKS, "run_batches": RUN_BATCHES, "event_ids": EVENT_IDS, "id_bloom": ID_BLOOM,
+    "walks": WALKS, "leases": LEASES, "run_batches": RUN_BATCHES, "event_ids": EVENT_IDS, "id_bloom": ID_BLOOM,
 }
 
 # How stored tables are laid out: the instant whose day makes a log's folders, further folder
@@ -135,7 +141,7 @@ FOLDERS = {"observations": ("entity_kind",), "event_ids": ("id_bucket",)}
 KEYS = {
     "quarantined_events": "payload_fingerprint", "actors": "github_id", "repositories": "github_id", "batches": "correlation_id",
     "ingestion_runs": "run_id", "event_sources": "id", "core_budget": "id", "search_budget": "id", "walks": "run_id",
-    "id_bloom": "id_bucket",
+    "leases": "request_batch_id", "id_bloom": "id_bucket",
 }
 
 ENTITY_TABLES = {"actor": ACTORS, "repository": REPOSITORIES}

@@ -5,13 +5,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpus import NOON, PAGE_1, log
-from feedledger.operators import selection
+from feedledger.operators import enrich_job, selection
 from feedledger.operators.enrich import apply_detail_answers, apply_search_answers
 from feedledger.operators.ingest import ingest_batch
 from feedledger.operators.transitions import hold_leases
 from feedledger.session import stage
 from feedledger.sources.documents import ANSWER_LOG
-from feedledger.sources.tables import read_snapshot
+from feedledger.sources.tables import read_log, read_snapshot
 
 def at_one():
     return F.lit(NOON + dt.timedelta(hours=1))
@@ -115,3 +115,26 @@ def test_an_item_that_cannot_be_recorded_abandons_the_batch(spark, root):
     done = search(spark, root, "actor", body)
     assert done.results.first()["verdict"] == "abandoned" and done.observations.count() == 0
     assert {r["enrichment_stage"] for r in done.entities.collect()} == {"batch_pending"}
+
+
+def test_planning_and_answers_on_stored_tables(spark, tmp_path):
+    """Two planners, one answer, the same answer again, and a single lookup for what is left."""
+    folder = str(tmp_path)
+    ingest_batch(log(spark, [("a", 1, 0, PAGE_1)]), folder, 0)
+    assert tuple(enrich_job.plan_enrichment(spark, folder, "actor", at_one()).first()) == ("actor", 1, 3)
+    assert enrich_job.plan_enrichment(spark, folder, "actor", at_one()).first()["leased"] == 0
+    batch = read_snapshot(spark, folder, "batches").first()
+    said = answer(spark, batch["correlation_id"], 200, document(ITEMS["actor"]))
+    enrich_job.apply_answers(spark, folder, "actor", said, at_one())
+    enrich_job.apply_answers(spark, folder, "actor", said, at_one())
+    batch = read_snapshot(spark, folder, "batches").first()
+    assert (batch["status"], batch["valid_count"], batch["missing_count"]) == ("succeeded", 2, 1)
+    states = {r["github_id"]: r["enrichment_stage"] for r in read_snapshot(spark, folder, "actors").collect()}
+    assert states == {583231: "contract_complete", 1024025: "contract_complete", LEFT["actor"]: "detail_pending"}
+    found = read_log(spark, folder, "observations").where("source = 'search'").collect()
+    assert {r["entity_github_id"] for r in found} == {583231, 1024025} and len(found) == 2
+    assert enrich_job.plan_enrichment(spark, folder, "actor", at_one(), "detail").first()["leased"] == 1
+    lookup = read_snapshot(spark, folder, "batches").where("request_kind = 'detail'").first()
+    enrich_job.apply_answers(spark, folder, "actor", answer(spark, lookup["correlation_id"], 404, "{}"), at_one(), "detail")
+    gone = read_snapshot(spark, folder, "actors").where(F.col("github_id") == LEFT["actor"]).first()
+    assert (gone["enrichment_stage"], gone["lease_token"]) == ("terminal", None)
