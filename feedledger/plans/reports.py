@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from feedledger.functions.http import rate_limit_fields
@@ -260,22 +262,47 @@ def status_counts(actors: DataFrame, repositories: DataFrame) -> DataFrame:
     return labelled.groupBy("entity_kind", "enrichment_status").agg(F.count("*").alias("n"))
 
 
+# A state's words are sums of 60-bit pieces of row digests, held below this bound.
+STATE_WORDS, WORD_BITS = 4, 60
+_BOUND = 1 << WORD_BITS
+
+
+def entity_state_sums(df: DataFrame, kind: str,
+                      columns: tuple[str, ...] = ("first_seen_at", "last_seen_at", "latest_event_at")) -> DataFrame:
+    """One row that stands for a multiset of entity rows: ``entities`` and four words.
+
+    Words are sums of pieces of each row's SHA-256 modulo 2**60, so they depend on no order, are
+    combined on the map side, and add up: the state of two sets of rows is the sum of theirs.
+    """
+    text = F.concat_ws("|", F.lit(kind), F.col("github_id").cast("string"), *[
+        F.coalesce(F.unix_micros(c).cast("string") if dict(df.dtypes)[c] == "timestamp" else F.col(c).cast("string"), F.lit("~"))
+        for c in columns])
+    digits = WORD_BITS // 4
+    rows = df.select(F.sha2(text, 256).alias("_digest"))
+    words = [F.conv(F.substring("_digest", digits * k + 1, digits), 16, 10).cast("decimal(20,0)") for k in range(STATE_WORDS)]
+    return rows.agg(F.count("*").alias("entities"), *[
+        (F.coalesce(F.sum(w), F.lit(0).cast("decimal(30,0)")) % _BOUND).cast("long").alias(f"word_{k}") for k, w in enumerate(words)])
+
+
+def changed_state(state: DataFrame, removed: DataFrame, added: DataFrame) -> DataFrame:
+    """The state after some rows have gone and others have come, from their sums alone."""
+    signed = [df.select(F.lit(sign).alias("_sign"), "*") for df, sign in ((state, 1), (removed, -1), (added, 1))]
+    both = reduce(DataFrame.unionByName, signed)
+    total = [F.pmod(F.sum(F.col("_sign") * F.col(f"word_{k}").cast("decimal(20,0)")), F.lit(_BOUND)).cast("long").alias(f"word_{k}")
+             for k in range(STATE_WORDS)]
+    return both.agg(F.sum(F.col("_sign") * F.col("entities")).cast("long").alias("entities"), *total)
+
+
+def state_digest(state: DataFrame) -> DataFrame:
+    """``entities`` and one ``digest`` of a state's sums."""
+    return state.select("entities", F.sha2(F.concat_ws(
+        "|", *[F.col(c).cast("string") for c in ("entities", *(f"word_{k}" for k in range(STATE_WORDS)))]), 256).alias("digest"))
+
+
 def entity_state_fingerprint(actors: DataFrame, repositories: DataFrame,
                              columns: tuple[str, ...] = ("first_seen_at", "last_seen_at", "latest_event_at"),
                              ) -> DataFrame:
-    """One digest of all entity rows that does not depend on row order or placement.
-
-    Row hashes are added up and xor-ed, which combines on the map side; one ordered
-    string of all rows, would pass every row through one task.
-    """
-    def hashed(df: DataFrame, kind: str) -> DataFrame:
-        return df.select(F.xxhash64(F.lit(kind), F.col("github_id"), *[
-            F.coalesce(F.unix_micros(c).cast("string") if dict(df.dtypes)[c] == "timestamp"
-                       else F.col(c).cast("string"), F.lit("~")) for c in columns]).alias("h"))
-
-    both = hashed(actors, "actor").unionByName(hashed(repositories, "repository"))
-    summed = both.agg(F.count("*").alias("entities"), F.sum(F.col("h").cast("decimal(38,0)")).alias("_sum"),
-                      F.bit_xor("h").alias("_xor"))
-    return summed.select("entities", F.sha2(F.concat_ws(
-        "|", F.col("entities").cast("string"), F.coalesce(F.col("_sum").cast("string"), F.lit("")),
-        F.coalesce(F.col("_xor").cast("string"), F.lit(""))), 256).alias("digest"))
+    """One digest of all entity rows that does not depend on row order or placement."""
+    both = [entity_state_sums(df, kind, columns) for df, kind in ((actors, "actor"), (repositories, "repository"))]
+    nothing = both[0].select(*[F.lit(0).cast("long").alias(c) for c in both[0].columns])
+    return state_digest(changed_state(both[0], nothing, both[1]))

@@ -543,11 +543,33 @@ def g20_status(spark, sf_dir):
     return reports.status_counts(*_entities(spark, sf_dir))
 
 
-@query("g21_entity_state_fingerprint")
+_STATE_SQL = X.state("""
+, rows AS (
+  SELECT sha256(concat_ws('|', entity_kind, g, epoch_us(first_seen_at), epoch_us(last_seen_at), epoch_us(latest_event_at))) AS h
+  FROM (SELECT entity_kind, g, first_seen_at, last_seen_at, latest_event_at FROM actor
+        UNION ALL SELECT entity_kind, g, first_seen_at, last_seen_at, latest_event_at FROM repository)),
+words AS (SELECT count(*) AS entities, """ + ", ".join(
+    f"(sum(('0x' || substr(h, {15 * k + 1}, 15))::BIGINT::HUGEINT) % 1152921504606846976)::BIGINT AS w{k}" for k in range(4)) + """ FROM rows)
+SELECT entities, sha256(concat_ws('|', entities, w0, w1, w2, w3)) AS digest FROM words""")
+
+
+@query("g21_entity_state_fingerprint", _STATE_SQL)
 def g21(spark, sf_dir):
     return reports.entity_state_fingerprint(*_entities(spark, sf_dir))
 
 
+@query("g21_after_batch", _STATE_SQL)
+def g21_after_batch(spark, sf_dir):
+    """The digest kept up from changed rows alone: first without repositories and with stale actors, then mended."""
+    actors, repositories = _entities(spark, sf_dir)
+    touched = F.col("github_id") % 5 == 0
+    stale = actors.where(touched).withColumn("last_seen_at", F.col("first_seen_at") - F.expr("INTERVAL 1 DAY"))
+    state = reports.entity_state_sums(actors.where(~touched).unionByName(stale), "actor")
+    state = reports.changed_state(state, reports.entity_state_sums(stale, "actor"), reports.entity_state_sums(actors.where(touched), "actor"))
+    nothing = reports.entity_state_sums(repositories.limit(0), "repository")
+    return reports.state_digest(reports.changed_state(state, nothing, reports.entity_state_sums(repositories, "repository")))
+
+
 @query("g22_status_report")
 def g22(spark, sf_dir):
     actors, repositories = _entities(spark, sf_dir)
