@@ -52,14 +52,18 @@ _ARROW_ELEMENT = pa.struct([
 _ARROW_DOCUMENT = pa.struct([("head", _ARROW_ELEMENT), ("elements", pa.list_(_ARROW_ELEMENT))])
 
 
-def may_nest_too_deep(body: Column, skeleton: Column) -> Column:
+# A whole string, what is neither string nor bracket, or a quote that ends nowhere.
+_NO_BRACKET = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^\[\]{}"]++|"'
+
+
+def may_nest_too_deep(body: Column) -> Column:
     """True for every body nested deeper than ``MAX_NESTING``, and for few others.
 
-    ``skeleton`` is the body with its strings blanked. Each peeling takes the innermost brackets
-    away, one level at most, so a body that is too deep keeps an opening bracket for each
-    level not peeled, and its closing one unless it is cut off.
+    One pass leaves the brackets outside strings, a few for each hundred characters. Each
+    peeling takes the innermost of them away, one level at most, so a body that is too deep keeps
+    an opening bracket for each level not peeled, and its closing one unless it is cut off.
     """
-    brackets = F.regexp_replace(skeleton, r"[^\[\]{}]+", "")
+    brackets = F.regexp_replace(body, _NO_BRACKET, "")
     for _ in range(PEELED_LEVELS):
         brackets = F.regexp_replace(brackets, r"\[\]|\{\}", "")
     openings = F.length(body) - F.length(F.translate(body, "[{", ""))
@@ -81,7 +85,7 @@ def needs_exact_decoder(body: Column) -> Column:
         .when(body.rlike(r"\\u(?:00[01]|[dD][89a-fA-F])"), True)
         .when(body.rlike(number) & skeleton.rlike(number), True)
         .when(body.rlike(r"[\x{10000}-\x{10FFFF}]") & unescaped.rlike(wide_key), True)
-        .when(may_nest_too_deep(body, skeleton), True),
+        .when(may_nest_too_deep(body), True),
         F.lit(False),
     )
 
