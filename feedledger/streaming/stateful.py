@@ -37,7 +37,7 @@ def combine_frames(fields: tuple[str, ...]):
     """
     def combine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            pushes = frame[frame["outcome"] == "push_event"].sort_values("arrival")
+            pushes = frame[(frame["outcome"] == "push_event") & ~frame["fragment_undefined"].astype(bool)].sort_values("arrival")
             reduced = pushes.groupby("github_id")[["received_at"]].max().rename(columns={"received_at": "updated_at"})
             for field in fields:
                 last = pushes[pushes[field].notna()].drop_duplicates("github_id", keep="last").set_index("github_id")
@@ -88,7 +88,7 @@ def identity_versions(kind: str, pages: DataFrame) -> DataFrame:
     # Pushes are picked out inside the combine step: a filter here would be pushed below the
     # rules and evaluate all of them twice.
     seen = classify(explode_envelopes(pages)).select(
-        "outcome", F.col(kind)["github_id"].alias("github_id"), *[F.col(kind)[f].alias(f) for f in fields],
+        "outcome", F.coalesce("fragment_undefined", F.lit(False)).alias("fragment_undefined"), F.col(kind)["github_id"].alias("github_id"), *[F.col(kind)[f].alias(f) for f in fields],
         "received_at", arrival.alias("arrival"))
     reduced = seen.mapInPandas(combine_frames(fields), _seen_type(fields))
     return reduced.groupBy("github_id").applyInPandasWithState(
