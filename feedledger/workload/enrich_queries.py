@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
-from feedledger.functions.scalars import iso8601, iso8601_micros
-from feedledger.operators import matching, selection, transitions
-from feedledger.session import stage
+from feedledger.functions.scalars import iso8601, iso8601_micros, shift_seconds
+from feedledger.operators import enrich_job, matching, selection, transitions
+from feedledger.operators.ingest import SNAPSHOTS
+from feedledger.session import shared_dir, stage
 from feedledger.sources import documents
+from feedledger.sources.tables import read_snapshot, swap_snapshot
 from feedledger.workload import expected as X
 from feedledger.workload import feed
 from feedledger.workload.registry import query
@@ -304,6 +308,27 @@ def d23(spark, sf_dir):
     return _guarded(spark, sf_dir)[0].select("github_id", "lease_held")
 
 
+@query("d23_two_planners", X.state(f"""
+SELECT 'actor' AS entity_kind, ceil(n / 10.0)::BIGINT AS batches, n AS leased, 0::BIGINT AS leased_again FROM (SELECT count(*) AS n FROM actor WHERE {X.BACKLOG})
+UNION ALL SELECT 'repository', ceil(n / 10.0)::BIGINT, n, 0 FROM (SELECT count(*) AS n FROM repository WHERE {X.BACKLOG})"""))
+def d23_two_planners(spark, sf_dir):
+    """Plans made twice on stored tables: the second finds every due entity leased."""
+    root = f"{shared_dir(spark).rstrip('/')}/planned-{uuid.uuid4().hex}"
+    for batch, (kind, name) in enumerate(SNAPSHOTS.items()):
+        swap_snapshot(feed.entities(spark, sf_dir, kind), root, name, batch)
+    again = {}
+    for kind in SNAPSHOTS:
+        enrich_job.plan_enrichment(spark, root, kind, feed.now())
+        again[kind] = enrich_job.plan_enrichment(spark, root, kind, feed.now()).first()["leased"]
+    opened = read_snapshot(spark, root, "batches").groupBy("entity_kind").agg(F.count("*").alias("batches"))
+    term = F.col("leased_until") == shift_seconds(feed.now(), selection.LEASE_SECONDS)
+    held = [read_snapshot(spark, root, name).where(term & (F.col("enrichment_stage") == "batch_in_flight"))
+            .join(read_snapshot(spark, root, "leases").select("github_id", "lease_token"), ["github_id", "lease_token"], "left_semi")
+            .agg(F.lit(kind).alias("entity_kind"), F.count("*").alias("leased"), F.lit(again[kind]).cast("long").alias("leased_again"))
+            for kind, name in SNAPSHOTS.items()]
+    return opened.join(held[0].unionByName(held[1]), "entity_kind").select("entity_kind", "batches", "leased", "leased_again")
+
+
 _RESULTS = """
 results AS (SELECT request_batch_id, verdict,
   CASE WHEN verdict IN ('ok', 'rejected') THEN 'completed' WHEN verdict = 'deferred' THEN 'deferred' ELSE 'failed' END AS result,
