@@ -130,7 +130,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, cache = _coder(ranks_path, pattern)
         for batch in batches:
-            lists = [memoryview(cache.encode(v.as_py())).cast("I").tolist() for v in batch.column(1)]
+            lists = [memoryview(ids).cast("I").tolist() for ids in cache.many(v.as_py() for v in batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int32()))], names=[id_col, "ids"])
 
     narrow = docs.select(id_col, text_col)

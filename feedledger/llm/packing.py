@@ -24,7 +24,8 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
 
     A text's ids are those of the tokenizers file, then ``end_id``; only documents longer than
     ``capacity`` are cut, into pieces of that many ids. Null and empty texts give one piece that
-    holds the end id alone; repeated rows are cut each; other columns are ignored. No shuffle.
+    holds the end id alone; special tokens spelled out in a text get their own ids, as the
+    library has it; repeated rows are cut each; other columns are ignored. No shuffle.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = tokenizer_cache(tokenizer_path)
@@ -32,8 +33,8 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
         step = 4 * capacity
         for batch in batches:
             rows, piece, start, length, crc, ids = [], [], [], [], [], []
-            for row, value in enumerate(batch.column(1)):
-                raw = cache.encode(value.as_py()) + end
+            for row, encoded in enumerate(cache.many(v.as_py() for v in batch.column(1))):
+                raw = encoded + end
                 for k, at in enumerate(range(0, len(raw), step)):
                     part = raw[at:at + step]
                     rows.append(row)

@@ -122,8 +122,8 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer_path: str, length: i
             if writer is None and batch.num_rows:
                 writer = SequenceWriter(folder, part, length, narrow)
             starts, counts = [], []
-            for value in batch.column(1):
-                raw = cache.encode(value.as_py()) + end
+            for encoded in cache.many(v.as_py() for v in batch.column(1)):
+                raw = encoded + end
                 writer.add(raw)
                 starts.append(start)
                 counts.append(len(raw) // 4)

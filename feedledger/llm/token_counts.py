@@ -3,23 +3,23 @@
 from __future__ import annotations
 
 import base64
+import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from feedledger.llm.units import UNITS, blocks
+from feedledger.llm.units import UnitCache
 from feedledger.llm.worker import kept, ship
 
 ship(__name__)
 
 # Costs are integers in units of 2**-20 nats, so sums are exact and ties are true ties.
 COST_ONE = 1 << 20
-MAX_NODES = 300_000
-MAX_DEPTH = 64
-KEPT_COUNTS = 500_000
+COUNT_BITS = 40
+COUNT_MASK = (1 << COUNT_BITS) - 1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -36,73 +36,50 @@ def piece_cost(rank: int) -> int:
     return round(COST_ONE * math.log(rank + 2))
 
 
-class _Node:
-    """A prefix: its best (cost, tokens), and the pieces still open at its end."""
-
-    __slots__ = ("children", "cost", "open", "tokens")
-
-    def __init__(self, cost, tokens, opened):
-        self.cost, self.tokens, self.open, self.children = cost, tokens, opened, {}
-
-
-class SharedTrie:
+class PrefixScores:
     """Counts the tokens of the cheapest segmentation of pre-tokens.
 
-    Pre-tokens are inserted byte by byte. Each node holds the forward score of its prefix,
-    worked out once from its parent however many pre-tokens share it: the pieces open at the
-    parent are followed by one byte, and those that end there offer (cost, tokens) for the
-    new prefix. Of equal costs the fewer tokens win. Terminal counts are stored per pre-token.
-    Nodes below ``MAX_DEPTH`` are computed in passing and not stored, and a trie that has
-    reached ``MAX_NODES`` is begun anew; neither changes a result.
+    The distinct pre-tokens of a block of texts, in order, are a trie walked depth first: the
+    nodes from its root to the current pre-token are that pre-token's prefixes, and the next one
+    goes back to the last node they share. Each node holds the forward score of its prefix,
+    worked out once however many pre-tokens share it, as the best of the pieces that end there,
+    each after the node where it begins. Of equal costs the fewer tokens win. Terminal counts are
+    handed out per pre-token. Memory is the current path, not the trie.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.pieces: dict = {}
-        for piece, rank in ranks.items():
-            node = self.pieces
-            for byte in piece:
-                node = node.setdefault(byte, {})
-            node[-1] = piece_cost(rank)
-        self.clear()
-        self.counts: dict[str, int] = {}
-
-    def clear(self) -> None:
-        self.root, self.nodes = _Node(0, 0, ()), 0
-
-    def extend(self, node: _Node, byte: int) -> _Node:
-        best, fewest, opened = None, 0, []
-        for start, cost, tokens in (*node.open, (self.pieces, node.cost, node.tokens)):
-            if cost is None or (at := start.get(byte)) is None:
-                continue
-            opened.append((at, cost, tokens))
-            if (own := at.get(-1)) is not None:
-                total = cost + own
-                if best is None or total < best or total == best and tokens + 1 < fewest:
-                    best, fewest = total, tokens + 1
-        return _Node(best, fewest, opened)
-
-    def count(self, pretoken: str) -> int:
-        found = self.counts.get(pretoken)
-        if found is not None:
-            return found
-        node, raw = self.root, pretoken.encode()
-        for depth, byte in enumerate(raw):
-            child = node.children.get(byte)
-            if child is None:
-                child = self.extend(node, byte)
-                if depth < MAX_DEPTH:
-                    node.children[byte] = child
-                    self.nodes += 1
-            node = child
-        if node.cost is None:
-            raise ValueError(f"the vocabulary cannot spell {pretoken!r}")
-        if self.nodes > MAX_NODES:
-            self.clear()
-        if len(raw) <= MAX_DEPTH:
-            if len(self.counts) >= KEPT_COUNTS:
-                self.counts.clear()
-            self.counts[pretoken] = node.tokens
-        return node.tokens
+        # Every ending of a piece, 0 if it is none itself: no longer piece ends in anything else.
+        # A score is cost and count of tokens in one number, so the smaller one is the better.
+        self.endings = {piece[at:]: 0 for piece in ranks for at in range(len(piece))}
+        self.endings.update((piece, (piece_cost(rank) << COUNT_BITS) + 1) for piece, rank in ranks.items())
+
+    def terminal_counts(self, pretokens: Iterable[bytes]) -> dict[bytes, int]:
+        """Tokens of each pre-token."""
+        ending, out, path, last = self.endings.get, {}, [0], b""
+        for word in sorted(set(pretokens)):
+            shared = min(len(last), len(word))
+            if last[:shared] != word[:shared]:
+                different = int.from_bytes(last[:shared], "big") ^ int.from_bytes(word[:shared], "big")
+                shared -= (different.bit_length() + 7) // 8
+            del path[shared + 1:]
+            for end in range(shared + 1, len(word) + 1):
+                best, start = None, end - 1
+                while start >= 0 and (own := ending(word[start:end])) is not None:
+                    if own and (before := path[start]) is not None and (best is None or before + own < best):
+                        best = before + own
+                    start -= 1
+                path.append(best)
+            if path[-1] is None:
+                raise ValueError(f"the vocabulary cannot spell {word!r}")
+            out[word], last = path[-1] & COUNT_MASK, word
+        return out
+
+
+def unit_counts(scores: PrefixScores, split: regex.Pattern, units: list[str]) -> list[int]:
+    """Pre-tokens and tokens of each unit, in one number: sums of it are sums of both."""
+    parts = [[part.encode() for part in split.findall(u)] for u in units]
+    counts = scores.terminal_counts(itertools.chain.from_iterable(parts))
+    return [(len(own) << COUNT_BITS) + sum(map(counts.__getitem__, own)) for own in parts]
 
 
 def count_tokens(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -110,37 +87,20 @@ def count_tokens(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
 
     A text is cut by ``pattern`` into pre-tokens, each segmented apart into byte pieces of
     the rank file. Null and empty texts give zeros; repeated rows are counted each; other
-    columns of ``docs`` are ignored, so their names cannot clash. The work is one pass
-    without a shuffle: each worker shares its trie over all rows it reads.
+    columns of ``docs`` are ignored, so their names cannot clash. The work is one pass without a
+    shuffle. Units of text met before are remembered with their counts; those of the others'
+    pre-tokens are worked out together, a few texts or a part of a long one at a time.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = kept(("trie", ranks_path), lambda: SharedTrie(read_ranks(ranks_path)))
-        split = regex.compile(pattern)
-        # Units repeat far more often than texts; a bounded number of them is remembered whole.
-        units = kept(("trie units", ranks_path, pattern), dict)
-
-        def unit(u: str) -> tuple[int, int]:
-            parts = split.findall(u)
-            made = len(parts), sum(map(trie.count, parts))
-            if len(u) <= MAX_DEPTH:
-                if len(units) >= KEPT_COUNTS:
-                    units.clear()
-                units[u] = made
-            return made
+        def make() -> UnitCache:
+            scores, split = PrefixScores(read_ranks(ranks_path)), regex.compile(pattern)
+            return UnitCache(lambda units: unit_counts(scores, split, units), sum)
 
+        cache = kept(("unit counts", ranks_path, pattern), make)
         for batch in batches:
-            sizes, pre, tokens = [], [], []
-            for value in batch.column(1):
-                text = value.as_py() or ""
-                n = m = 0
-                for block in blocks(text):
-                    for u in UNITS.findall(block):
-                        a, b = units.get(u) or unit(u)
-                        n += a
-                        m += b
-                sizes.append(len(text.encode()))
-                pre.append(n)
-                tokens.append(m)
+            texts = [v.as_py() or "" for v in batch.column(1)]
+            both = cache.many(texts)
+            sizes, pre, tokens = [len(t.encode()) for t in texts], [n >> COUNT_BITS for n in both], [n & COUNT_MASK for n in both]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(pre, pa.int64()), pa.array(tokens, pa.int64())],
                 names=[id_col, "n_bytes", "n_pretokens", "n_tokens"])

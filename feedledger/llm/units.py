@@ -9,10 +9,11 @@ be encoded only once. Units are kept as bytes of little-endian unsigned 32-bit i
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from feedledger.llm.worker import kept, ship
 
@@ -41,58 +42,115 @@ def blocks(text: str, size: int = BLOCK_CHARS) -> Iterator[str]:
 
 
 class UnitCache:
-    """Encodes texts unit by unit; remembers a bounded number of short units.
+    """Works texts out unit by unit; remembers a bounded number of short units.
 
-    ``encode_many`` turns distinct units into values that can be joined (bytes). Units are kept
-    in two generations: when the younger is full it becomes the older, and what is met again
-    moves back, so frequent units stay. The bound limits memory only: what is not remembered
-    is encoded again, with the same result.
+    ``work_out`` turns distinct units into values; those of a text's units are put together by
+    ``total``. Units are kept in two generations: when the younger is full it becomes the older,
+    and what is met again moves back, so frequent units stay. The bound limits memory only: what
+    is not remembered is worked out again, with the same result. A ``mark`` is a unit of its own
+    wherever it stands.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = KEPT_UNITS):
-        self.encode_many, self.limit, self.known, self.older = encode_many, limit, {}, {}
-
-    def block(self, text: str) -> bytes:
-        units = UNITS.findall(text)
-        missing = set(units).difference(self.known)
-        if not missing:
-            return b"".join(map(self.known.__getitem__, units))
+    def __init__(self, work_out: Callable[[list[str]], list], total: Callable[[Iterable], object] = b"".join,
+                 limit: int = KEPT_UNITS, marks: Iterable[str] = ()):
+        self.work_out, self.total, self.limit, self.known, self.older = work_out, total, limit, {}, {}
+        marks = sorted(marks, key=len, reverse=True)
+        self.marks = re.compile("(" + "|".join(map(re.escape, marks)) + ")") if marks else None
+
+    def cut(self, block: str) -> list[str]:
+        """The units of a block; what stands beside a mark is cut like a text of its own."""
+        if self.marks is None or not self.marks.search(block):
+            return UNITS.findall(block)
+        units = []
+        for i, part in enumerate(self.marks.split(block)):
+            units += [part] if i % 2 else UNITS.findall(part)
+        return units
+
+    def many(self, texts: Iterable[str | None]) -> list:
+        """The totals of whole texts; null counts as empty.
+
+        The units of a few texts, or of a part of a long one, are looked up together, so that
+        those not remembered are worked out in one call.
+        """
+        parts, group, held = [], [], 0
+        for row, text in enumerate(texts):
+            parts.append([])
+            for block in blocks(text) if text else ():
+                group.append((row, self.cut(block)))
+                held += len(block)
+                if held >= BLOCK_CHARS:
+                    self._add(group, parts)
+                    group, held = [], 0
+        self._add(group, parts)
+        return [own[0] if len(own) == 1 else self.total(own) for own in parts]
+
+    def encode(self, text: str | None):
+        """The total of one whole text."""
+        return self.many([text])[0]
+
+    def _add(self, group: list[tuple[int, list[str]]], parts: list[list]) -> None:
+        missing = set()
+        for _, units in group:
+            missing.update(set(units).difference(self.known))
         found = {u: v for u in missing if (v := self.older.get(u)) is not None}
         new = [u for u in missing if u not in found]
         if new:
-            found.update(zip(new, self.encode_many(new), strict=True))
-        short = {u: v for u, v in found.items() if len(u) <= KEPT_UNIT_CHARS}
-        if len(self.known) + len(short) > self.limit:
+            found.update(zip(new, self.work_out(new), strict=True))
+        if len(self.known) + len(found) > self.limit:
             self.older, self.known = self.known, {}
-            found.update((u, self.older[u]) for u in set(units).difference(found))
-            self.known.update(short)
-            return b"".join(map(found.__getitem__, units))
-        self.known.update(short)
-        if len(short) < len(found):
-            return b"".join([found[u] if u in found else self.known[u] for u in units])
-        return b"".join(map(self.known.__getitem__, units))
-
-    def encode(self, text: str | None) -> bytes:
-        """The joined values of a whole text; null counts as empty."""
-        if not text:
-            return b""
-        if len(text) <= BLOCK_CHARS:
-            return self.block(text)
-        return b"".join(map(self.block, blocks(text)))
+            for _, units in group:
+                self.known.update((u, self.older[u]) for u in set(units).difference(found, self.known))
+        self.known.update(found)
+        for row, units in group:
+            parts[row].append(self.total(map(self.known.__getitem__, units)))
+        for u in found:
+            if len(u) > KEPT_UNIT_CHARS:
+                del self.known[u]
+
+
+# The steps of a normalizer that does nothing but lower-case a unit whose characters cannot compose.
+LOWERING = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+# Characters below the combining marks are composed already, and are lowered one by one, but for the dotted I.
+COMPOSED = re.compile("[^\u0130\u0250-\U0010ffff]*").fullmatch
 
 
 def tokenizer_cache(path: str) -> UnitCache:
-    """A cache over a tokenizers file at ``path``, kept by the worker between tasks."""
+    """A cache over a tokenizers file at ``path``, kept by the worker between tasks.
+
+    Ids are those that the library gives a text as it stands: a special token spelled out in a
+    text gets its own id.
+    """
     def make() -> UnitCache:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        marks = [t["content"] for t in spec["added_tokens"]]
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"]):
+            raise ValueError("added tokens that take in their surroundings are not supported")
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-
-        def encode_many(units: list[str]) -> list[bytes]:
-            return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(units, add_special_tokens=False)]
-
-        return UnitCache(encode_many)
+        bare = None
+        if spec["normalizer"] == LOWERING:
+            bare = Tokenizer.from_file(path)
+            bare.normalizer = normalizers.Sequence([])
+            bare.encode_special_tokens = True  # lower-casing may spell one that the text does not
+
+        def ids(by: Tokenizer, units: list[str]) -> list[bytes]:
+            return [array("I", e.ids).tobytes() for e in by.encode_batch_fast(units, add_special_tokens=False)]
+
+        def work_out(units: list[str]) -> list[bytes]:
+            if bare is None:
+                return ids(tokenizer, units)
+            # The costly normalizer is left out where lower-casing is all that it does.
+            keys = [u.lower() if COMPOSED(u) and u not in marks else None for u in units]
+            plain = list(dict.fromkeys(k for k in keys if k is not None))
+            known = dict(zip(plain, ids(bare, plain), strict=True))
+            rest = [u for u, k in zip(units, keys) if k is None]
+            other = iter(ids(tokenizer, rest))
+            return [next(other) if k is None else known[k] for k in keys]
+
+        return UnitCache(work_out, marks=marks)
 
     return kept(("tokenizers", path), make)

@@ -12,6 +12,7 @@ from zlib import crc32
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
@@ -33,6 +34,8 @@ def rows_of(texts) -> list[tuple]:
     return [(i, t, "en", "s", 0, "k", 1, 2) for i, t in enumerate(texts)]
 
 
+# The library gives special tokens that a text spells out their own ids.
+SPECIAL_TEXTS = ["a<|endoftext|>b", "<|endoftext|>", "<|startoftext|> Ab <|endoftext|><|endoftext|>", " <|endoftext|> \n", "<|endoftext", "<|ENDOFTEXT|>"]
 ODD_TEXTS = [None, "", " ", "\n\t", "a", "Ab  c\x85d", "x" * 3000, "日本語 テキスト" * 40, "don't  stop\n\n now ", "😀 é́ \x1c!"]
 
 
@@ -40,7 +43,7 @@ ODD_TEXTS = [None, "", " ", "\n\t", "a", "Ab  c\x85d", "x" * 3000, "日本語 
 def docs(spark):
     base = texts_of(1, 60)
     long = " ".join(texts_of(2, 900))
-    rows = rows_of([*base, *ODD_TEXTS, base[0], base[0] + " ", base[1].replace(" ", "\t"), long])
+    rows = rows_of([*base, *ODD_TEXTS, *SPECIAL_TEXTS, base[0], base[0] + " ", base[1].replace(" ", "\t"), long])
     rows += [rows[3], rows[3], (None, base[4], None, None, None, None, None, None)]
     return spark.createDataFrame(rows, SCHEMA).repartition(5).cache()
 
@@ -57,7 +60,7 @@ def test_token_counts_match_an_independent_unigram_model(docs):
     # The library maximises summed scores; exact integer costs are exact doubles too.
     vocab = [(piece.decode("latin-1"), -float(token_counts.piece_cost(rank))) for piece, rank in sorted(ranks.items(), key=lambda x: x[1])]
     model = models.Unigram(vocab, None, False)
-    split = __import__("regex").compile(public_tokenizers.PATTERN)
+    split = regex.compile(public_tokenizers.PATTERN)
     got = {(r.doc_id, r.n_bytes): r for r in token_counts.count_tokens(docs, queries.BYTE_RANKS, public_tokenizers.PATTERN).collect()}
     for row in docs.select("doc_id", "text").collect():
         text = row.text or ""
@@ -77,18 +80,37 @@ def brute_count(ranks, raw: bytes) -> tuple[int, int]:
     return best[-1]
 
 
-def test_trie_shares_prefixes_and_restarts_without_change(monkeypatch):
+def test_forward_scores_are_shared_along_sorted_prefixes():
     ranks = token_counts.read_ranks(queries.BYTE_RANKS)
-    words = [w for t in texts_of(3, 8) for w in t.split()] + ["a" * 150, "é" * 60]
-    monkeypatch.setattr(token_counts, "MAX_NODES", 40)
-    trie = token_counts.SharedTrie(ranks)
-    assert [trie.count(w) for w in words] == [brute_count(ranks, w.encode())[1] for w in words]
-    shared = token_counts.SharedTrie(ranks)
-    monkeypatch.setattr(token_counts, "MAX_NODES", 10**6)
-    shared.count("international")
-    before = shared.nodes
-    shared.count("internationally")
-    assert shared.nodes == before + 2
+    words = [w.encode() for t in texts_of(3, 8) for w in t.split()] + [b"", b"a" * 150, "é".encode() * 60, b"international", b"internationally"]
+    scores = token_counts.PrefixScores(ranks)
+    assert scores.terminal_counts(words) == {w: brute_count(ranks, w)[1] for w in words}
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key, default=None):
+            Counted.asked += 1
+            return super().get(key, default)
+
+    scores.endings = Counted(scores.endings)
+    scores.terminal_counts([b"internationally"])
+    alone, Counted.asked = Counted.asked, 0
+    scores.terminal_counts([b"international", b"internationally", b"internationally"])
+    assert Counted.asked == alone  # each prefix once
+    with pytest.raises(ValueError):
+        token_counts.PrefixScores({b"a": 0}).terminal_counts([b"ab"])
+
+
+def test_token_counts_of_a_text_over_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(units, "BLOCK_CHARS", 50)
+    ranks, split = token_counts.read_ranks(queries.BYTE_RANKS), regex.compile(public_tokenizers.PATTERN)
+    scores = token_counts.PrefixScores(ranks)
+    cache = units.UnitCache(lambda u: token_counts.unit_counts(scores, split, u), sum, limit=30)
+    texts = [*texts_of(21, 30), None, "", "x" * 300]
+    want = [split.findall(t or "") for t in texts]
+    assert [(n >> token_counts.COUNT_BITS, n & token_counts.COUNT_MASK) for n in cache.many(texts)] == [
+        (len(w), sum(brute_count(ranks, p.encode())[1] for p in w)) for w in want]
 
 
 def test_token_counts_of_an_empty_table(empty):
@@ -311,7 +333,6 @@ def test_plan_finds_single_pair_and_triple_complements():
 
 def test_packing_whole_documents(docs, empty):
     tokenizer = Tokenizer.from_file(queries.WORD_TOKENIZER)
-    tokenizer.encode_special_tokens = True
     rows = packing.pack(packing.tokenize_pieces(docs, queries.WORD_TOKENIZER, 128), 128).collect()
     check_packing(rows, 128)
     pieces = defaultdict(list)
@@ -356,23 +377,25 @@ def test_bpe_round_trip_of_a_table(docs, empty):
 @pytest.mark.parametrize("path", [queries.BYTE_TOKENIZER, queries.WORD_TOKENIZER])
 def test_units_give_the_ids_of_whole_texts(path):
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     rnd = random.Random(2)
     alphabet = "ab  \n\t\r\x85\xa0 　\x1c'sreSé1２½!-—日本aaáİßΣς́😀<|endoftext|>"
     texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 60))) for _ in range(1500)] + texts_of(8, 20)
+    texts += SPECIAL_TEXTS
+    texts += ["".join(rnd.choice([*"ab \n", "<|endoftext|>", "<|startoftext|>", "<|", "|>"]) for _ in range(20)) for _ in range(300)]
+    texts += ["".join(map(chr, range(a, a + 40))) for a in range(0, 0x250, 40)] + ["É" + chr(k) + " Ab" + chr(k) + "C" for k in range(0x80, 0x380)]
     cache = units.tokenizer_cache(path)
     for text in texts:
         assert memoryview(cache.encode(text)).cast("I").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
     long = " \n".join(texts_of(9, 60))
     assert "".join(units.blocks(long, 100)) == long and len(list(units.blocks(long, 100))) > 5
-    assert b"".join(cache.block(b) for b in units.blocks(long, 100)) == cache.encode(long)
+    assert b"".join(cache.encode(b) for b in units.blocks(long, 100)) == cache.encode(long)
+    assert cache.many([long, None, "", *texts[:50]]) == [cache.encode(t) for t in (long, None, "", *texts[:50])]
 
 
 # 7 sequence files
 
 def test_sequence_files_read_back_whole(spark, docs, empty):
     tokenizer = Tokenizer.from_file(queries.BYTE_TOKENIZER)
-    tokenizer.encode_special_tokens = True
     folder = sequence_files.sequence_folder(spark)
     unique = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     index = sequence_files.write_sequences(unique, folder, queries.BYTE_TOKENIZER, length=16)
