@@ -9,6 +9,7 @@ be encoded only once. Units are kept as bytes of little-endian unsigned 32-bit i
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -55,6 +56,7 @@ class UnitCache:
                  limit: int = KEPT_UNITS, marks: Iterable[str] = ()):
         self.work_out, self.total, self.limit, self.known, self.older = work_out, total, limit, {}, {}
         marks = sorted(marks, key=len, reverse=True)
+        self.own_marks = frozenset(marks)
         self.marks = re.compile("(" + "|".join(map(re.escape, marks)) + ")") if marks else None
 
     def cut(self, block: str) -> list[str]:
@@ -88,14 +90,17 @@ class UnitCache:
         """The total of one whole text."""
         return self.many([text])[0]
 
+    def _work_out(self, units: list[str]) -> list:
+        return self.work_out(units)
+
     def _add(self, group: list[tuple[int, list[str]]], parts: list[list]) -> None:
-        missing = set()
+        missing: set[str] = set()
         for _, units in group:
-            missing.update(set(units).difference(self.known))
+            missing.update(itertools.filterfalse(self.known.__contains__, units))
         found = {u: v for u in missing if (v := self.older.get(u)) is not None}
         new = [u for u in missing if u not in found]
         if new:
-            found.update(zip(new, self.work_out(new), strict=True))
+            found.update(zip(new, self._work_out(new), strict=True))
         if len(self.known) + len(found) > self.limit:
             self.older, self.known = self.known, {}
             for _, units in group:
@@ -108,11 +113,55 @@ class UnitCache:
                 del self.known[u]
 
 
-# The steps of a normalizer that does nothing but lower-case a unit whose characters cannot compose.
+# A file whose normalizer and splitter do nothing to a composed text but lower-case it and drop its white space.
 LOWERING = {"type": "Sequence", "normalizers": [
     {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
-# Characters below the combining marks are composed already, and are lowered one by one, but for the dotted I.
-COMPOSED = re.compile("[^\u0130\u0250-\U0010ffff]*").fullmatch
+# Characters below the combining marks are composed already, and are lowered one by one, but for the
+# dotted I. Python splits at four control characters that are not white space to the library.
+COMPOSED = re.compile("[^\x1c-\x1f\u0130\u0250-\U0010ffff]*").fullmatch
+# Signs that no word goes on after; an apostrophe may begin a contraction.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+class LoweredWords(UnitCache):
+    """Units of a lower-casing tokenizer: words without their case, white space and last signs.
+
+    ``plain`` gives the ids of words that are lowered already, ``whole`` those of any text.
+    """
+
+    def __init__(self, plain: Callable[[list[str]], list[bytes]], whole: Callable[[list[str]], list[bytes]], marks: Iterable[str]):
+        super().__init__(whole, marks=marks)
+        self.plain = plain
+
+    def cut(self, block: str) -> list[str]:
+        lowered = block.lower()
+        if COMPOSED(block) and not (self.marks and self.marks.search(lowered)):
+            return lowered.split()
+        # Units of other texts keep a space before them, so they are never taken for plain words.
+        return [u if u[0] == " " or u in self.own_marks else " " + u for u in super().cut(block)]
+
+    def _work_out(self, units: list[str]) -> list[bytes]:
+        heads, tails = [], []
+        for u in units:
+            head = u if u[0] == " " or u in self.own_marks else u.rstrip(SIGNS)
+            # Letters and digits never belong to one piece with the signs after them.
+            if head and len(head) < len(u) and (head[-1].isalpha() or head[-1] in "0123456789"):
+                heads.append(head)
+                tails.append(u[len(head):])
+            else:
+                heads.append(u)
+                tails.append("")
+        known = {t: None for t in (*heads, *tails)}
+        new = []
+        for t in known:
+            known[t] = self.known.get(t, self.older.get(t)) if t else b""
+            if known[t] is None:
+                new.append(t)
+        words = [t for t in new if t[0] != " " and t not in self.own_marks]
+        known.update(zip(words, self.plain(words), strict=True))
+        rest = [t for t in new if t[0] == " " or t in self.own_marks]
+        known.update(zip(rest, self.work_out(rest), strict=True))
+        return [known[h] + known[t] if t else known[h] for h, t in zip(heads, tails)]
 
 
 def tokenizer_cache(path: str) -> UnitCache:
@@ -131,26 +180,16 @@ def tokenizer_cache(path: str) -> UnitCache:
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"]):
             raise ValueError("added tokens that take in their surroundings are not supported")
         tokenizer = Tokenizer.from_file(path)
-        bare = None
-        if spec["normalizer"] == LOWERING:
-            bare = Tokenizer.from_file(path)
-            bare.normalizer = normalizers.Sequence([])
-            bare.encode_special_tokens = True  # lower-casing may spell one that the text does not
 
         def ids(by: Tokenizer, units: list[str]) -> list[bytes]:
             return [array("I", e.ids).tobytes() for e in by.encode_batch_fast(units, add_special_tokens=False)]
 
-        def work_out(units: list[str]) -> list[bytes]:
-            if bare is None:
-                return ids(tokenizer, units)
-            # The costly normalizer is left out where lower-casing is all that it does.
-            keys = [u.lower() if COMPOSED(u) and u not in marks else None for u in units]
-            plain = list(dict.fromkeys(k for k in keys if k is not None))
-            known = dict(zip(plain, ids(bare, plain), strict=True))
-            rest = [u for u, k in zip(units, keys) if k is None]
-            other = iter(ids(tokenizer, rest))
-            return [next(other) if k is None else known[k] for k in keys]
-
-        return UnitCache(work_out, marks=marks)
+        if spec["normalizer"] != LOWERING:
+            return UnitCache(lambda units: ids(tokenizer, units), marks=marks)
+        # Words lowered here need not pass the normalizer, which is the costlier half.
+        bare = Tokenizer.from_file(path)
+        bare.normalizer = normalizers.Sequence([])
+        bare.encode_special_tokens = True  # lower-casing may spell one that the text does not
+        return LoweredWords(lambda units: ids(bare, units), lambda units: ids(tokenizer, units), marks)
 
     return kept(("tokenizers", path), make)

@@ -389,6 +389,8 @@ def test_units_give_the_ids_of_whole_texts(path):
     long = " \n".join(texts_of(9, 60))
     assert "".join(units.blocks(long, 100)) == long and len(list(units.blocks(long, 100))) > 5
     assert b"".join(cache.encode(b) for b in units.blocks(long, 100)) == cache.encode(long)
+    signs = ["".join(p) for p in itertools.product("a1é½²'.,—!", repeat=3)]
+    assert [memoryview(i).cast("I").tolist() for i in cache.many(signs)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in signs]
     assert cache.many([long, None, "", *texts[:50]]) == [cache.encode(t) for t in (long, None, "", *texts[:50])]
 
 
@@ -420,6 +422,20 @@ def test_sequence_files_read_back_whole(spark, docs, empty):
     assert sequence_files.digest_sequences(sequence_files.write_sequences(empty, none, queries.BYTE_TOKENIZER), none).collect() == []
 
 
+def test_sequence_files_hold_null_and_repeated_ids(spark, docs):
+    tokenizer = Tokenizer.from_file(queries.BYTE_TOKENIZER)
+    folder = sequence_files.sequence_folder(spark)
+    index = sequence_files.write_sequences(docs, folder, queries.BYTE_TOKENIZER, length=16)
+    rows = sorted(sequence_files.digest_sequences(index, folder).collect(), key=lambda r: r.start)
+    want = Counter()
+    for row in docs.collect():
+        ids = [*tokenizer.encode(row.text or "", add_special_tokens=False).ids, 0]
+        want[row.doc_id, len(ids), crc32(np.array(ids, "<u4").tobytes())] += 1
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in rows) == want
+    assert [r.start for r in rows] == [0, *itertools.accumulate(r.n_tokens for r in rows)][:-1]
+    assert [r.doc_id for r in rows] == sorted((r.doc_id for r in rows), key=lambda i: (i is not None, i))
+
+
 # 8 top k
 
 VECTORS = "vec_id long, embedding array<float>, label int, bucket int, stripe string"
