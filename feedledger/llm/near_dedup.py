@@ -18,8 +18,9 @@ ship(__name__)
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 64, 8  # a pair at similarity 0.8 shares no band with probability 1e-5
-FIRST_BANDS = 4  # bands that gather large classes before the others are looked at
-FIRST_PIVOTS, MORE_PIVOTS = 4, 16  # pivots of a bucket in the first round over all bands; growth from round to round
+# Bands are settled in two steps: the first few gather nearly all of a large class, so few buckets of the others are open.
+BAND_STEPS = ((4, 1), (BANDS, 4))  # up to which band, and pivots of a bucket in the step's first round
+MORE_PIVOTS = 16  # growth of the pivots from round to round
 MAP_WORDS = 8  # a candidate's item map has 64 bits a word
 BATCH_BYTES = 1 << 21
 
@@ -241,13 +242,15 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, id_col: str
     are. Shingles that no other candidate has bound the overlap a text can reach, so texts
     that are all too much their own meet nobody, and pairs that cannot reach the threshold are
     never made; so do maps of 512 bits: two items that differ in a bit are not the same. Both bounds
-    are exact. In a bucket of a band nobody is paired with everybody: a
+    are exact. In a bucket of a band, a
     pivot, the member with the smallest share of own shingles first, meets the members that are
     not yet in its component, and a member that has been a pivot is done; a bucket ends when
-    those not done are of one component, so every candidate link is verified or implied. A few
-    bands are worked through first: they join nearly all of a large class, whose members then
-    need not meet in the other bands. Each round takes more pivots, so rounds are few, and works
-    out components from its new links between the components before it. Nulls, empty texts and texts
+    those not done are of one component, so every candidate link is verified or implied. Each
+    round takes more pivots, so rounds are few, and works out components from its new links
+    between the components before it. A few bands are settled first: they join nearly
+    all of a large class, whose members are then of one component in the other bands' buckets.
+    Members that agree in a band, share most of their shingles and yet are not linked do meet
+    each other in the later rounds, as far as the bounds let them. Nulls, empty texts and texts
     without a word are classes of their own; a null id counts as smallest; repeated rows fall
     in one class; other columns are ignored.
     """
@@ -277,10 +280,15 @@ def _labels(docs, nodes, members, threshold, id_col, text_col) -> DataFrame:
     sets = stage(sets, "shingle-sets")
     members = stage(members.join(_common(sets, threshold), "node")
                     .select("bucket", "band", "node", "n", "common", "map", F.lit(False).alias("done"), F.col("node").alias("component")), "bucket-members")
-    first = members.where(F.col("band") < FIRST_BANDS)
-    label = components(_verified(_pairs(first, _pivots(first, 1), threshold), sets, threshold), "component", "pivot_component")
-    members = _open(_relabelled(members.drop("band"), label))
-    pivots_per_bucket = FIRST_PIVOTS
+    label, first = members.select("node", "component").limit(0), 0
+    for last, pivots in BAND_STEPS:
+        own = members.where((F.col("band") >= first) & (F.col("band") < last)).drop("band")
+        label, first = _settled(_open(_relabelled(own, label)), label, sets, threshold, pivots), last
+    return label
+
+
+def _settled(members, label, sets, threshold, pivots_per_bucket) -> DataFrame:
+    """The components after the rounds that settle all buckets of ``members``."""
     while not members.isEmpty():
         pivots = _pivots(members, pivots_per_bucket)
         new = _verified(_pairs(members, pivots, threshold), sets, threshold)
@@ -289,7 +297,7 @@ def _labels(docs, nodes, members, threshold, id_col, text_col) -> DataFrame:
         if not new.isEmpty():
             joined = components(new, "component", "pivot_component")
             members = _relabelled(members, joined)
-            label = _relabelled(label, joined).union(joined.join(label.select("node"), "node", "left_anti"))
+            label = stage(_relabelled(label, joined).union(joined.join(label.select("node"), "node", "left_anti")), "labels")
         members = _open(stage(members, "bucket-members"))
         pivots_per_bucket *= MORE_PIVOTS
     return label
