@@ -16,6 +16,8 @@ REQUIRED_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Rows with a page body each are long: what a Python worker holds is bounded in bytes.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
     # Inferring filters from the classifier's many aliased CASE expressions multiplies without
     # bound; join keys that must not be null are filtered explicitly instead.
     "spark.sql.constraintPropagation.enabled": "false",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from feedledger.functions.decoder import (
-    decode_array_bodies, decode_item_bodies, decode_single_bodies, needs_exact_decoder,
+    are_array_bodies, decode_array_bodies, decode_item_bodies, decode_single_bodies, needs_exact_decoder,
 )
 
 ELEMENT_SQL = (
@@ -20,15 +20,10 @@ def _wrapped(body: Column) -> Column:
     return F.try_parse_json(F.concat(F.lit("["), body, F.lit(","), F.xxhash64(body).cast("string"), F.lit("]")))
 
 
-def parse_whole(df: DataFrame, body: str) -> DataFrame:
-    """Adds ``native``: the body as a variant, null unless all of it is one JSON value."""
-    return (
-        df.withColumn("_framed", _wrapped(F.col(body)))
-        .withColumn("native", F.when(
-            F.col(body).isNotNull() & (F.try_variant_get("_framed", "$[1]", "bigint") == F.xxhash64(body)),
-            F.try_variant_get("_framed", "$[0]", "variant")))
-        .drop("_framed")
-    )
+def with_frame(df: DataFrame, body: str) -> DataFrame:
+    """Adds ``_framed``, the body inside its frame, and ``_whole``: whether it is one JSON value and nothing else."""
+    return df.withColumn("_framed", _wrapped(F.col(body))).withColumn("_whole", F.coalesce(
+        F.try_variant_get("_framed", "$[1]", "bigint") == F.xxhash64(body), F.lit(False)))
 
 
 def _decoded_element(x: Column) -> Column:
@@ -60,26 +55,36 @@ def with_elements(df: DataFrame, body: str = "body", items: str | None = None) -
     array) and ``head`` (an element struct for the document itself, null when it is not JSON).
 
     ``items`` None reads a top-level array, ``"items"`` the array under that key, and
-    ``""`` reads the document as one value. All bodies are read in one pass; only those
-    the native parser cannot print exactly carry text into the decoder.
+    ``""`` reads the document as one value. All bodies are read in one pass. Array bodies all take
+    the decoder; of the others those alone that the native parser cannot print exactly.
     """
-    decode = {None: decode_array_bodies, "items": decode_item_bodies, "": decode_single_bodies}[items]
+    if items is None:
+        read = df.withColumn("_decoded", decode_array_bodies(F.col(body)))
+        elements = F.transform(F.col("_decoded.elements"), _decoded_element)
+        head = F.when(F.col("_decoded.head").isNotNull(), _decoded_element(F.col("_decoded.head")))
+        return _with_parsed(read, elements, head).drop("_decoded")
+    decode = {"items": decode_item_bodies, "": decode_single_bodies}[items]
     routed = df.withColumn("_exact", needs_exact_decoder(F.col(body)))
-    routed = parse_whole(routed.withColumn("_fast", F.when(~F.col("_exact"), F.col(body))), "_fast")
+    routed = with_frame(routed.withColumn("_fast", F.when(~F.col("_exact"), F.col(body))), "_fast")
     routed = routed.withColumn("_decoded", decode(F.when(F.col("_exact"), F.col(body))))
+    framed = F.col("_framed")
+    # Taken straight out of the frame: every step between would write the whole body anew.
     if items == "":
         native_array = F.lit(None).cast("array<variant>")
     else:
-        path = "$" if items is None else "$.items"
-        found = F.try_variant_get("native", path, "variant")
-        opens = (F.col("_fast").rlike(r"^[ \t\r\n]*\[") if items is None
-                 else F.schema_of_variant(found).startswith("ARRAY"))
-        native_array = F.when(opens, F.try_variant_get(found, "$", "array<variant>"))
+        native_array = F.when(F.col("_whole"), F.try_variant_get(framed, "$[0].items", "array<variant>"))
     elements = F.when(F.col("_exact"), F.transform(F.col("_decoded.elements"), _decoded_element)) \
         .otherwise(F.transform(native_array, _native_element))
     head = F.when(F.col("_exact") & F.col("_decoded").isNotNull(), _decoded_element(F.col("_decoded.head"))) \
-        .when(F.col("native").isNotNull(), _native_element(F.col("native")))
-    return (routed.withColumn("parsed", F.struct(
-                elements.cast(f"array<{ELEMENT_SQL}>").alias("elements"),
-                head.cast(ELEMENT_SQL).alias("head")))
-            .drop("_exact", "_fast", "_decoded", "native"))
+        .when(F.col("_whole"), _native_element(F.try_variant_get(framed, "$[0]", "variant")))
+    return _with_parsed(routed, elements, head).drop("_exact", "_fast", "_framed", "_whole", "_decoded")
+
+
+def _with_parsed(df: DataFrame, elements: Column, head: Column) -> DataFrame:
+    return df.withColumn("parsed", F.struct(
+        elements.cast(f"array<{ELEMENT_SQL}>").alias("elements"), head.cast(ELEMENT_SQL).alias("head")))
+
+
+def with_array_flag(df: DataFrame, body: str = "body") -> DataFrame:
+    """Adds ``is_array``: whether ``with_elements`` finds the body to be one JSON array, by the same reader."""
+    return df.withColumn("is_array", are_array_bodies(F.col(body)))

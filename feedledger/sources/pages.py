@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from feedledger.functions.http import header, http_class, next_link, request_key
 from feedledger.functions.json_values import class_name, kind_of_shape
 from feedledger.schemas import FETCH_LOG
-from feedledger.sources.json_bodies import elements_once, with_elements
+from feedledger.sources.json_bodies import elements_once, with_array_flag, with_elements
 
 _META = ("run_id", "source_id", "page_no", "received_at")
 
@@ -40,12 +40,6 @@ def stream_pages(spark: SparkSession, path: str, bare: bool = False, max_files:
     return reader.schema(FETCH_LOG).json(path)
 
 
-def with_array_flag(pages: DataFrame) -> DataFrame:
-    """Adds ``is_array``: whether the body is one JSON array, judged by the reader that takes its envelopes out."""
-    return (with_elements(pages).withColumn("is_array", F.col("parsed.elements").isNotNull())
-            .drop("parsed"))
-
-
 def page_state(pages: DataFrame) -> DataFrame:
     """Per page, without its body: its answer's class, whether it is readable as an array,
     whether it is empty, and its next link."""
