@@ -46,10 +46,25 @@ def with_fields(df: DataFrame, paths: dict[str, str], containers: tuple[str, ...
     building a hundred small expressions one call at a time takes longer than running them.
     """
     keep = df.columns if keep is None else keep
-    found = df.selectExpr("*", *[f"try_variant_get({value}, '{path}', 'variant') AS v_{name}"
-                                 for name, path in paths.items()])
-    shaped = found.selectExpr("*", f"schema_of_variant({value}) AS t_document",
-                              *[f"schema_of_variant(v_{name}) AS t_{name}" for name in paths])
+    members: dict[str, dict[str, str]] = {}  # by the container that holds them: key to field
+    for name, path in paths.items():
+        owner, key = path.rsplit(".", 1)
+        members.setdefault(owner, {})[key] = name
+    held = {path: name for name, path in paths.items() if path in members}
+
+    def opened(variant: str, owner: str) -> str:
+        return (f"try_variant_get({variant}, '$', 'struct<" + ",".join(f"`{key}`:variant" for key in members[owner]) + ">')")
+
+    # An object is taken apart once, into all fields that are looked at; null where it is none.
+    found = df.selectExpr("*", f"{opened(value, '$')} AS o_document")
+    found = found.selectExpr("*", *[f"o_document.`{key}` AS v_{name}" for key, name in members["$"].items()])
+    found = found.selectExpr("*", *[f"{opened(f'v_{name}', path)} AS o_{name}" for path, name in held.items()])
+    found = found.selectExpr("*", *[f"o_{name}.`{key}` AS v_{field}" for path, name in held.items()
+                                    for key, field in members[path].items()])
+    shapes = {name: f"schema_of_variant(v_{name})" for name in paths} | {"document": f"schema_of_variant({value})"}
+    for name in (*held.values(), "document"):
+        shapes[name] = f"CASE WHEN o_{name} IS NOT NULL THEN 'OBJECT' ELSE {shapes[name]} END"
+    shaped = found.selectExpr("*", *[f"{shape} AS t_{name}" for name, shape in shapes.items()])
     plain = ", ".join(f"'{shape}'" for shape in PLAIN_SHAPES)
 
     def token(name: str) -> str:

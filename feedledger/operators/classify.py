@@ -143,6 +143,7 @@ class Rule:
                 f"'text', {self.text}, 'suffix', '{self.suffix}')")
 
 
+PARTS_SQL = "struct<broken:boolean,rank:int,code:string,prefix:string,kind:string,text:string,suffix:string>"
 _NOTHING = "CAST(NULL AS STRING)"
 
 
@@ -198,11 +199,16 @@ def push_rules() -> list[Rule]:
 def check(normalized: DataFrame) -> DataFrame:
     """Adds ``broken``, the rules a push breaks in check order, with the parts of their messages.
 
-    Message text is put together later, for the few rules that are broken, by one lambda.
+    Message text is put together later, for the few rules that are broken, by one lambda. The
+    parts are only gathered for a push that breaks any.
     """
-    tested = ", ".join(rule.parts() for rule in push_rules())
+    rules = push_rules()
+    tested = ", ".join(rule.parts() for rule in rules)
+    any_broken = " OR ".join(f"coalesce({rule.broken}, false)" for rule in rules)
+    none = f"CAST(array() AS array<{PARTS_SQL}>)"
     return normalized.withColumn("broken", F.expr(
-        f"CASE WHEN route = 'process' THEN filter(array({tested}), rule -> rule.broken) END"))
+        f"CASE WHEN route = 'process' THEN CASE WHEN {any_broken} THEN filter(array({tested}), rule -> rule.broken) "
+        f"ELSE {none} END END"))
 
 
 def push_code() -> Column:
