@@ -594,9 +594,10 @@ def _landed(spark, sf_dir) -> str:
     return landing
 
 
-def _streamed(spark, sf_dir) -> str:
-    root = _folder(spark, "tables")
-    ingest_stream(spark, _landed(spark, sf_dir), root, _folder(spark, "mark"), max_pages=11).awaitTermination()
+def _streamed(spark, sf_dir, log: DataFrame | None = None) -> str:
+    root, landing = _folder(spark, "tables"), _folder(spark, "landing")
+    _land(feed.fetch_log(spark, sf_dir) if log is None else log, landing)
+    ingest_stream(spark, landing, root, _folder(spark, "mark"), max_pages=11).awaitTermination()
     return root
 
 
@@ -615,9 +616,10 @@ UNION ALL SELECT 'again-' || run_id, pages_fetched, events_received, push_events
 FROM ({_TALLY})""", X.CREATED))
 def h1_new_checkpoint(spark, sf_dir):
     """A second stream with a checkpoint of its own goes on from the first one's tables."""
-    root = _streamed(spark, sf_dir)
+    log = stage(feed.fetch_log(spark, sf_dir), "pages")
+    root = _streamed(spark, sf_dir, log)
     landing = _folder(spark, "landing")
-    _land(feed.fetch_log(spark, sf_dir).withColumn("run_id", F.concat(F.lit("again-"), "run_id"))
+    _land(log.withColumn("run_id", F.concat(F.lit("again-"), "run_id"))
           .withColumn("received_at", F.col("received_at") + F.expr("INTERVAL 40 DAYS")), landing)
     ingest_stream(spark, landing, root, _folder(spark, "mark"), max_pages=11).awaitTermination()
     return read_log(spark, root, "ingestion_runs").select(*_RUN_COLUMNS)
@@ -627,7 +629,7 @@ def h1_new_checkpoint(spark, sf_dir):
 def h5_split_run(spark, sf_dir):
     """Every run lands in three pieces, the stream starting anew after each."""
     root, landing, mark = (_folder(spark, n) for n in ("tables", "landing", "mark"))
-    log = feed.fetch_log(spark, sf_dir)
+    log = stage(feed.fetch_log(spark, sf_dir), "pages")
     for first, last in ((1, 3), (4, 10), (11, 11)):
         _land(log.where(F.col("page_no").between(first, last)), landing)
         ingest_stream(spark, landing, root, mark, max_pages=11).awaitTermination()
@@ -672,7 +674,7 @@ SELECT run_id, any_value(run % 5) AS source_id, 'completed' AS status, {X.micros
 FROM d GROUP BY run_id"""))
 def h5(spark, sf_dir):
     root = _folder(spark, "tables")
-    log = feed.fetch_log(spark, sf_dir).drop("run")
+    log = stage(feed.fetch_log(spark, sf_dir).drop("run"), "pages")
     ingest_batch(log, root, 0, max_pages=11)
     return _texts(read_log(spark, root, "ingestion_runs").select("run_id", "source_id", "status", "started_at", "completed_at"))
 
