@@ -32,8 +32,11 @@ def kind_sql(shape: str, token: str) -> str:
 
 
 def filled_sql(name: str) -> str:
-    """SQL test for a field read by ``with_fields``: a string with something in it."""
-    return f"(k_{name} = 'string' AND s_{name} RLIKE '(?U)\\\\S')"
+    """SQL test for a field read by ``with_fields``: a string with something in it.
+
+    A first character that is no white space spares the pattern.
+    """
+    return f"(k_{name} = 'string' AND (ascii(s_{name}) BETWEEN 33 AND 126 OR s_{name} RLIKE '(?U)\\\\S'))"
 
 
 def with_fields(df: DataFrame, paths: dict[str, str], containers: tuple[str, ...] = (), value: str = "value",

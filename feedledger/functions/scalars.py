@@ -68,7 +68,7 @@ def parse_iso8601(text: Column) -> Column:
     rolls over into the next unit.
     """
     return F.when(text.rlike(_ISO), F.coalesce(
-        F.try_to_timestamp(F.upper(F.trim(text))), _rolled_over(text)))
+        F.try_to_timestamp(F.translate(F.trim(text), "tz", "TZ")), _rolled_over(text)))
 
 
 def pct(numerator: Column, denominator: Column) -> Column:

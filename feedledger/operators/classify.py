@@ -7,9 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from feedledger.functions.json_values import (
-    class_name, describe, filled_sql, nothing_there, with_fields,
-)
+from feedledger.functions.decoder import CONTAINERS, ENVELOPE_PATHS
+from feedledger.functions.json_values import class_name, describe, filled_sql, nothing_there
 from feedledger.functions.scalars import parse_iso8601
 
 PUSH_EVENT = "PushEvent"
@@ -34,17 +33,6 @@ REQUIRED_PAYLOAD_FIELDS = ("repository_id", "push_id", "ref", "head", "before")
 # 40 or 64 hexadecimal digits and nothing else.
 SHA_PATTERN = r"^(?:[0-9a-fA-F]{40}|[0-9a-fA-F]{64})\z"
 
-PATHS = {
-    "id": "$.id", "type": "$.type", "created_at": "$.created_at",
-    "actor": "$.actor", "actor_id": "$.actor.id", "actor_login": "$.actor.login",
-    "actor_display_login": "$.actor.display_login", "actor_url": "$.actor.url",
-    "actor_avatar_url": "$.actor.avatar_url",
-    "repo": "$.repo", "repo_id": "$.repo.id", "repo_name": "$.repo.name", "repo_url": "$.repo.url",
-    "payload": "$.payload", "payload_repository_id": "$.payload.repository_id",
-    "payload_push_id": "$.payload.push_id", "payload_ref": "$.payload.ref",
-    "payload_head": "$.payload.head", "payload_before": "$.payload.before",
-}
-_CONTAINERS = ("actor", "repo", "payload")
 _IDENTIFIERS = ("actor_id", "repo_id", "payload_repository_id", "payload_push_id")
 _STRINGS = ("actor_login", "actor_display_login", "actor_url", "actor_avatar_url", "repo_name", "repo_url",
             "payload_ref")
@@ -99,11 +87,16 @@ def _text(name: str) -> Column:
 
 
 def read_fields(envelopes: DataFrame) -> DataFrame:
-    """Every path the rules look at, with the canonical texts of the envelope and its fragments."""
-    return with_fields(envelopes, PATHS, _CONTAINERS, extra=(
-        "coalesce(text, to_json(value)) AS canonical_text",
-        "coalesce(actor_text, to_json(v_actor)) AS actor_fragment",
-        "coalesce(repo_text, to_json(v_repo)) AS repo_fragment"))
+    """Every path the rules look at, with the canonical texts of the envelope and its fragments.
+
+    The decoder gives the kinds, and the texts of strings, integers and booleans. What else stands in
+    a field is shown as it is written in the canonical text.
+    """
+    texts = {f"s_{name}": f"CASE WHEN k_{name} IN ('float', 'object', 'array') THEN get_json_object(text, '{path}') "
+                          f"ELSE s_{name} END AS s_{name}"
+             for name, path in ENVELOPE_PATHS.items() if name not in CONTAINERS}
+    return envelopes.selectExpr(*[texts.get(c, f"`{c}`") for c in envelopes.columns],
+                                "text AS canonical_text", "actor_text AS actor_fragment", "repo_text AS repo_fragment")
 
 
 def normalize(fields: DataFrame) -> DataFrame:
@@ -154,7 +147,7 @@ def push_rules() -> list[Rule]:
     not_hex = ", not 40 or 64 hexadecimal characters"
 
     def shown(name: str, code: str, broken: str, label: str, suffix: str = "") -> Rule:
-        text = _NOTHING if name in _CONTAINERS else f"s_{name}"
+        text = _NOTHING if name in CONTAINERS else f"s_{name}"
         return Rule(code, broken, f"{label} is ", f"k_{name}", text, suffix)
 
     def out_of_range(name: str, owner: str, label: str) -> Rule:
@@ -199,21 +192,27 @@ def push_rules() -> list[Rule]:
 def check(normalized: DataFrame) -> DataFrame:
     """Adds ``broken``, the rules a push breaks in check order, with the parts of their messages.
 
-    Message text is put together later, for the few rules that are broken, by one lambda. The
-    parts are only gathered for a push that breaks any.
+    ``first_code`` is the broken rule's code that comes first in precedence. Message text is put
+    together later, for the few rules that are broken, by one lambda. The parts are only gathered
+    for a push that breaks any, and ``first_code`` needs none: Spark interprets a lambda and all
+    that is inlined into it row by row.
     """
     rules = push_rules()
     tested = ", ".join(rule.parts() for rule in rules)
     any_broken = " OR ".join(f"coalesce({rule.broken}, false)" for rule in rules)
     none = f"CAST(array() AS array<{PARTS_SQL}>)"
-    return normalized.withColumn("broken", F.expr(
-        f"CASE WHEN route = 'process' THEN CASE WHEN {any_broken} THEN filter(array({tested}), rule -> rule.broken) "
-        f"ELSE {none} END END"))
+    codes = " ".join(f"WHEN {rule.broken} THEN '{rule.code}'"
+                     for rule in sorted(rules, key=lambda rule: PRECEDENCE.index(rule.code)))
+    return normalized.withColumns({
+        "broken": F.expr(
+            f"CASE WHEN route = 'process' THEN CASE WHEN {any_broken} THEN filter(array({tested}), rule -> rule.broken) "
+            f"ELSE {none} END END"),
+        "first_code": F.expr(f"CASE WHEN route = 'process' THEN CASE {codes} END END")})
 
 
 def push_code() -> Column:
     """The broken rule's code that comes first in precedence; null when none is broken."""
-    return F.array_min(F.transform("broken", lambda rule: F.struct(rule["rank"], rule["code"])))["code"]
+    return F.col("first_code")
 
 
 def violations() -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from feedledger.functions.decoder import (
-    are_array_bodies, decode_array_bodies, decode_item_bodies, decode_single_bodies, needs_exact_decoder,
+    are_array_bodies, array_problems, decode_item_bodies, decode_single_bodies, needs_exact_decoder,
 )
 
 ELEMENT_SQL = (
@@ -41,28 +41,13 @@ def _native_element(v: Column) -> Column:
                     no.alias("unstorable"))
 
 
-def elements_once(parsed: str = "parsed") -> Column:
-    """The elements to explode, as an expression rather than a bare column.
-
-    Over a bare column the optimizer adds a filter on the array's size and pushes it below
-    the parsing, so that every body would be parsed, and decoded, twice.
-    """
-    return F.slice(F.col(f"{parsed}.elements"), 1, 2**31 - 1)
-
-
-def with_elements(df: DataFrame, body: str = "body", items: str | None = None) -> DataFrame:
+def with_elements(df: DataFrame, body: str = "body", items: str = "items") -> DataFrame:
     """Adds ``parsed``: its ``elements`` (array of element structs, null when there is no such
     array) and ``head`` (an element struct for the document itself, null when it is not JSON).
 
-    ``items`` None reads a top-level array, ``"items"`` the array under that key, and
-    ``""`` reads the document as one value. All bodies are read in one pass. Array bodies all take
-    the decoder; of the others those alone that the native parser cannot print exactly.
+    ``"items"`` reads the array under that key, and ``""`` the document as one value. All bodies
+    are read in one pass; those alone take the decoder that the native parser cannot print exactly.
     """
-    if items is None:
-        read = df.withColumn("_decoded", decode_array_bodies(F.col(body)))
-        elements = F.transform(F.col("_decoded.elements"), _decoded_element)
-        head = F.when(F.col("_decoded.head").isNotNull(), _decoded_element(F.col("_decoded.head")))
-        return _with_parsed(read, elements, head).drop("_decoded")
     decode = {"items": decode_item_bodies, "": decode_single_bodies}[items]
     routed = df.withColumn("_exact", needs_exact_decoder(F.col(body)))
     routed = with_frame(routed.withColumn("_fast", F.when(~F.col("_exact"), F.col(body))), "_fast")
@@ -85,6 +70,14 @@ def _with_parsed(df: DataFrame, elements: Column, head: Column) -> DataFrame:
         elements.cast(f"array<{ELEMENT_SQL}>").alias("elements"), head.cast(ELEMENT_SQL).alias("head")))
 
 
+def with_problem(df: DataFrame, body: str = "body") -> DataFrame:
+    """Adds ``is_array``, as ``with_array_flag`` does, and ``head``, an element struct of a document that is
+    no array; null when it is not JSON."""
+    read = df.withColumn("_problem", array_problems(F.col(body)))
+    head = F.when(F.col("_problem.head").isNotNull(), _decoded_element(F.col("_problem.head")))
+    return read.withColumns({"is_array": F.col("_problem.is_array"), "head": head}).drop("_problem")
+
+
 def with_array_flag(df: DataFrame, body: str = "body") -> DataFrame:
-    """Adds ``is_array``: whether ``with_elements`` finds the body to be one JSON array, by the same reader."""
+    """Adds ``is_array``: whether ``explode_envelopes`` finds the body to be one JSON array, by the same parser."""
     return df.withColumn("is_array", are_array_bodies(F.col(body)))

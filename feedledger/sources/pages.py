@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from feedledger.functions.decoder import decode_array_bodies
 from feedledger.functions.http import header, http_class, next_link, request_key
 from feedledger.functions.json_values import class_name, kind_of_shape
 from feedledger.schemas import FETCH_LOG
-from feedledger.sources.json_bodies import elements_once, with_array_flag, with_elements
+from feedledger.sources.json_bodies import with_array_flag, with_problem
 
 _META = ("run_id", "source_id", "page_no", "received_at")
 
@@ -153,20 +154,27 @@ def walk_order(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
 
 
 def explode_envelopes(pages: DataFrame) -> DataFrame:
-    """One row per array element, null and scalar elements included; ``pos`` counts from 0."""
+    """One row per array element, null and scalar elements included; ``pos`` counts from 0.
+
+    ``value`` is the element as a variant, ``text`` its canonical text; ``k_`` and ``s_`` columns
+    hold kind and text of the fields that classification looks at.
+    """
     kept = [c for c in _META if c in pages.columns]
-    return (with_elements(pages)
-            .select(*kept, F.posexplode(elements_once()).alias("pos", "element"))
-            .select(*kept, "pos", "element.*"))
+    read = pages.select(*kept, decode_array_bodies(F.col("body")).alias("_decoded"))
+    # Over a bare column the optimizer adds a filter on the array's size and pushes it below
+    # the decoder, so that every body would be decoded twice.
+    elements = F.slice("_decoded.elements", 1, 2**31 - 1)
+    return (read.select(*kept, F.posexplode(elements).alias("pos", "element"))
+            .select(*kept, "pos", F.try_parse_json("element.text").alias("value"), "element.*"))
 
 
 def page_errors(pages: DataFrame) -> DataFrame:
     """Pages whose body is not a JSON array, with what it is instead."""
-    read = with_elements(pages).where("parsed.elements IS NULL")
+    read = with_problem(pages.select("run_id", "page_no", "body")).where("NOT is_array")
     shaped = read.select(
-        "run_id", "page_no", F.col("parsed.head").isNull().alias("_unreadable"),
-        F.schema_of_variant("parsed.head.value").alias("_shape"),
-        F.coalesce("parsed.head.text", F.to_json("parsed.head.value")).alias("_text"))
+        "run_id", "page_no", F.col("head").isNull().alias("_unreadable"),
+        F.schema_of_variant("head.value").alias("_shape"),
+        F.coalesce("head.text", F.to_json("head.value")).alias("_text"))
     kind = kind_of_shape(F.col("_shape"), F.col("_text"))
     return shaped.select(
         "run_id", "page_no",

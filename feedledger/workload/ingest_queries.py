@@ -11,6 +11,7 @@ from feedledger.functions.scalars import iso8601, iso8601_micros
 from feedledger.operators import classify as B
 from feedledger.operators import dedup, evidence, folds, known_ids, upkeep
 
+from feedledger.schemas import ARRIVAL
 from feedledger.session import shared_dir, stage
 from feedledger.sources import commits, documents, pages, tables
 from feedledger.workload import expected as X
@@ -30,9 +31,15 @@ def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.classify(envelopes(spark, sf_dir))
 
 
-def landed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classified rows written once, as an ingestion batch does before its joins."""
-    return stage(classified(spark, sf_dir), "classified")
+# What the operators read of classified rows.
+RESULT_COLUMNS = (*ARRIVAL, "outcome", "push_typed", "github_event_id", "fragment_undefined")
+MERGE_COLUMNS = (*ARRIVAL, "outcome", "github_event_id", "event_type", "error_code", "error_message",
+                 "payload_fingerprint", "raw_payload")
+
+
+def landed(spark: SparkSession, sf_dir: str, columns: tuple[str, ...] = ("*",)) -> DataFrame:
+    """Classified rows, or the columns of them that are read, written once, as an ingestion batch does before its joins."""
+    return stage(classified(spark, sf_dir).select(*columns), "classified")
 
 
 def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -311,7 +318,7 @@ def b3(spark, sf_dir):
 SELECT run_id, page_no, pos, actor_id AS github_id, login, display_login, avatar_url
 FROM d WHERE outcome = 'push_event'"""))
 def b5(spark, sf_dir):
-    return landed(spark, sf_dir).where("outcome = 'push_event'").select(
+    return _pushes(spark, sf_dir, "actor").select(
         *_PLACE, "actor.github_id", "actor.login", "actor.display_login", "actor.avatar_url")
 
 
@@ -319,7 +326,7 @@ def b5(spark, sf_dir):
 SELECT run_id, page_no, pos, repo_id AS github_id, full_name, repo_name AS name, owner_login
 FROM d WHERE outcome = 'push_event'"""))
 def b6(spark, sf_dir):
-    return landed(spark, sf_dir).where("outcome = 'push_event'").select(
+    return _pushes(spark, sf_dir, "repository").select(
         *_PLACE, "repository.github_id", "repository.full_name", "repository.name", "repository.owner_login")
 
 
@@ -379,7 +386,7 @@ def b12(spark, sf_dir):
 @query("b13_describe", X.deliveries(f"""
 SELECT run_id, page_no, pos, {X.MESSAGE} AS error_message FROM d WHERE outcome = 'quarantined'"""))
 def b13(spark, sf_dir):
-    return landed(spark, sf_dir).where("outcome = 'quarantined'").select(*_PLACE, "error_message")
+    return landed(spark, sf_dir, (*_PLACE, "outcome", "error_message")).where("outcome = 'quarantined'").select(*_PLACE, "error_message")
 
 
 @query("b14_taxonomy", X.deliveries("""
@@ -387,7 +394,7 @@ SELECT CASE WHEN code IN ('missing_required_field', 'invalid_field_format', 'ide
             WHEN code = 'repository_id_mismatch' THEN 'integrity_failure' ELSE 'invalid_envelope' END AS reason_group,
   count(*) AS n FROM d WHERE outcome = 'quarantined' GROUP BY 1"""))
 def b14(spark, sf_dir):
-    return (landed(spark, sf_dir).where("outcome = 'quarantined'")
+    return (landed(spark, sf_dir, ("outcome", "error_code")).where("outcome = 'quarantined'")
             .groupBy(B.taxonomy_group(F.col("error_code")).alias("reason_group")).agg(F.count("*").alias("n")))
 
 
@@ -427,7 +434,7 @@ fresh AS (SELECT * FROM created WHERE id NOT IN (SELECT id FROM known))"""
 @query("c1_dedup_new", X.deliveries(f"""
 SELECT id AS github_event_id, run_id, page_no, pos, {X.micros('received_at')} AS received_at FROM fresh""", X.CREATED, _NEW))
 def c1(spark, sf_dir):
-    new = dedup.dedup_new(landed(spark, sf_dir), _known(spark, sf_dir))
+    new = dedup.dedup_new(landed(spark, sf_dir, RESULT_COLUMNS), _known(spark, sf_dir))
     return new.select("github_event_id", *_PLACE, iso8601_micros(F.col("received_at")).alias("received_at"))
 
 
@@ -436,7 +443,7 @@ SELECT d.run_id, CASE WHEN d.outcome <> 'push_event' THEN d.outcome WHEN f.id IS
   count(*) AS n FROM d LEFT JOIN fresh f ON d.id = f.id AND d.run_id = f.run_id AND d.page_no = f.page_no AND d.pos = f.pos
   AND d.outcome = 'push_event' GROUP BY 1, 2""", X.CREATED, _NEW))
 def c1_results(spark, sf_dir):
-    rows = landed(spark, sf_dir)
+    rows = landed(spark, sf_dir, RESULT_COLUMNS)
     known = _known(spark, sf_dir)
     return (dedup.delivery_results(rows, dedup.dedup_new(rows, known), known)
             .groupBy("run_id", "result").agg(F.count("*").alias("n")))
@@ -447,7 +454,7 @@ SELECT sha256({X.CANONICAL}) AS payload_fingerprint, any_value(id) AS github_eve
   count(*) AS occurrence_count, {X.micros('min(received_at)')} AS first_received_at, {X.micros('max(received_at)')} AS last_received_at
 FROM d WHERE outcome = 'quarantined' GROUP BY 1"""))
 def c2(spark, sf_dir):
-    rows = landed(spark, sf_dir)
+    rows = landed(spark, sf_dir, MERGE_COLUMNS)
     old = dedup.quarantine_merge(rows.where("page_no < 11"))
     merged = dedup.quarantine_merge(rows.where("page_no = 11"), old)
     return merged.select("payload_fingerprint", "github_event_id", "error_code", "occurrence_count",
@@ -455,10 +462,12 @@ def c2(spark, sf_dir):
                          iso8601_micros(F.col("last_received_at")).alias("last_received_at"))
 
 
-def _pushes(spark, sf_dir):
-    return landed(spark, sf_dir).where("outcome = 'push_event'")
+def _pushes(spark, sf_dir, kind):
+    return landed(spark, sf_dir, (*ARRIVAL, "outcome", kind)).where("outcome = 'push_event'")
 
 
+def _created(spark, sf_dir, *columns):
+    return dedup.dedup_new(landed(spark, sf_dir, (*RESULT_COLUMNS, *columns)))
 
 
 @query("c3_actor_identity_fold", X.deliveries(f"""
@@ -466,7 +475,7 @@ SELECT actor_id AS github_id, any_value(login) AS login, any_value(display_login
   any_value(avatar_url) AS avatar_url, {X.micros('min(received_at)')} AS created_at, {X.micros('max(received_at)')} AS updated_at
 FROM d WHERE outcome = 'push_event' GROUP BY 1"""))
 def c3(spark, sf_dir):
-    folded = folds.identity_fold("actor", folds.observations_of("actor", _pushes(spark, sf_dir)))
+    folded = folds.identity_fold("actor", folds.observations_of("actor", _pushes(spark, sf_dir, "actor")))
     return folded.select("github_id", "login", "display_login", "avatar_url",
                          *[iso8601_micros(F.col(c)).alias(c) for c in ("created_at", "updated_at")])
 
@@ -477,7 +486,7 @@ def c3(spark, sf_dir):
 SELECT repo_id AS github_id, max(full_name) FILTER (WHERE latest = 1) AS full_name, max(repo_name) FILTER (WHERE latest = 1) AS name,
   max(owner_login) FILTER (WHERE latest = 1) AS owner_login, {X.micros('max(received_at)')} AS updated_at FROM ranked GROUP BY 1"""))
 def c4(spark, sf_dir):
-    folded = folds.identity_fold("repository", folds.observations_of("repository", _pushes(spark, sf_dir)))
+    folded = folds.identity_fold("repository", folds.observations_of("repository", _pushes(spark, sf_dir, "repository")))
     return folded.select("github_id", "full_name", "name", "owner_login", iso8601_micros(F.col("updated_at")).alias("updated_at"))
 
 
@@ -490,7 +499,7 @@ SELECT coalesce(repository.g, late.repo_id) AS github_id,
   {X.micros('greatest(late.t, repository.updated_at)')} AS updated_at
 FROM repository FULL JOIN late ON repository.g = late.repo_id""", X.entity_cte("repository")))
 def c4_stored(spark, sf_dir):
-    observed = folds.observations_of("repository", _pushes(spark, sf_dir))
+    observed = folds.observations_of("repository", _pushes(spark, sf_dir, "repository"))
     folded = folds.identity_fold("repository", observed, feed.entities(spark, sf_dir, "repository"))
     return folded.select("github_id", "full_name", iso8601_micros(F.col("updated_at")).alias("updated_at"))
 
@@ -499,7 +508,7 @@ def c4_stored(spark, sf_dir):
 SELECT actor_id AS github_id, {X.micros('min(received_at)')} AS first_seen_at, {X.micros('max(received_at)')} AS last_seen_at,
   {X.micros('max(occurred_at)')} AS latest_event_at FROM created GROUP BY 1""", X.CREATED))
 def c5(spark, sf_dir):
-    created = dedup.dedup_new(landed(spark, sf_dir))
+    created = _created(spark, sf_dir, "actor", "push")
     return folds.activity_fold("actor", created).select("github_id", *[
         iso8601_micros(F.col(c)).alias(c) for c in ("first_seen_at", "last_seen_at", "latest_event_at")])
 
@@ -510,7 +519,7 @@ SELECT coalesce(repository.g, seen.repo_id) AS github_id, {X.micros('coalesce(re
   {X.micros('coalesce(repository.created_at, seen.t)')} AS batch_pending_at
 FROM repository FULL JOIN seen ON repository.g = seen.repo_id""", X.CREATED, X.entity_cte("repository")))
 def c6(spark, sf_dir):
-    created = dedup.dedup_new(landed(spark, sf_dir))
+    created = _created(spark, sf_dir, "repository", "push")
     return folds.activity_fold("repository", created, feed.entities(spark, sf_dir, "repository")).select(
         "github_id", *[iso8601_micros(F.col(c)).alias(c) for c in ("event_native_at", "batch_pending_at")])
 
@@ -519,7 +528,7 @@ def c6(spark, sf_dir):
 SELECT 'actor' AS entity_kind, actor_id AS entity_github_id, id AS github_event_id, sha256({X.ACTOR_TEXT}) AS payload_fingerprint FROM created
 UNION ALL SELECT 'repository', repo_id, id, sha256({X.REPO_TEXT}) FROM created""", X.CREATED))
 def c7(spark, sf_dir):
-    created = dedup.dedup_new(landed(spark, sf_dir))
+    created = _created(spark, sf_dir, "push", "actor_fragment", "repo_fragment")
     return evidence.event_observations(created).select(
         "entity_kind", "entity_github_id", "github_event_id", "payload_fingerprint")
 
@@ -529,7 +538,7 @@ SELECT actor_id AS github_id, 'pending' AS enrichment_status, 'batch_pending' AS
   {X.micros('min(received_at)')} AS created_at FROM d WHERE outcome = 'push_event' AND actor_id % 3 <> 0 GROUP BY 1"""))
 def c8(spark, sf_dir):
     stored = feed.entities(spark, sf_dir, "actor").where("github_id % 3 = 0")
-    seen = folds.observations_of("actor", _pushes(spark, sf_dir))
+    seen = folds.observations_of("actor", _pushes(spark, sf_dir, "actor"))
     return folds.first_sightings("actor", seen, stored).select(
         "github_id", "enrichment_status", "enrichment_stage", "enrichment_attempts",
         iso8601_micros(F.col("created_at")).alias("created_at"))

@@ -10,18 +10,18 @@ from feedledger.functions import scalars as S
 from feedledger.functions.cursors import decode_cursor, encode_cursor
 from feedledger.functions.http import http_class, rate_limit_fields, url_violations
 from feedledger.functions.json_values import json_type
-from feedledger.operators.classify import classify
 from feedledger.operators.dedup import dedup_new, delivery_results, run_tally, tally_identities
 from feedledger.operators.ingest import ingest_batch
 from feedledger.plans import listings, reports, schedule
 from feedledger.plans.status import status_report
 from feedledger.session import shared_dir, stage
-from feedledger.sources.pages import explode_envelopes, page_state
+from feedledger.sources.pages import page_state
 from feedledger.sources.tables import read_log, read_snapshot
 from feedledger.streaming.ingest import ingest_and_report_stream, ingest_stream
 from feedledger.streaming.stateful import fold_stream
 from feedledger.workload import expected as X
 from feedledger.workload import feed
+from feedledger.workload.ingest_queries import MERGE_COLUMNS, RESULT_COLUMNS, landed
 from feedledger.workload.registry import query
 
 _us = S.iso8601_micros
@@ -35,8 +35,6 @@ def _entities(spark, sf_dir):
     return feed.entities(spark, sf_dir, "actor"), feed.entities(spark, sf_dir, "repository")
 
 
-def _classified(spark, sf_dir) -> DataFrame:
-    return stage(classify(explode_envelopes(feed.fetch_log(spark, sf_dir))), "classified")
 
 
 # --- E -----------------------------------------------------------------------------------
@@ -227,7 +225,8 @@ SELECT entity_kind, entity_github_id, {X.micros('received_at')} AS observed_at F
 def f6_observations(spark, sf_dir):
     from feedledger.operators.evidence import event_observations
 
-    rows = event_observations(dedup_new(_classified(spark, sf_dir)))
+    rows = event_observations(dedup_new(landed(
+        spark, sf_dir, (*RESULT_COLUMNS, "push", "actor_fragment", "repo_fragment"))))
     return listings.latest_observations(rows).select(
         "entity_kind", "entity_github_id", _us(F.col("observed_at")).alias("observed_at"))
 
@@ -241,7 +240,7 @@ FROM d WHERE outcome = 'quarantined' GROUP BY sha256({X.CANONICAL}) ORDER BY cou
 def f6_quarantine(spark, sf_dir):
     from feedledger.operators.dedup import quarantine_merge
 
-    return listings.most_quarantined(quarantine_merge(_classified(spark, sf_dir)), 20).select(
+    return listings.most_quarantined(quarantine_merge(landed(spark, sf_dir, MERGE_COLUMNS)), 20).select(
         "github_event_id", "event_type", "error_code", "occurrence_count")
 
 
@@ -292,7 +291,7 @@ GROUP BY d.run_id"""
 
 
 def _tally(spark, sf_dir) -> DataFrame:
-    rows = _classified(spark, sf_dir)
+    rows = landed(spark, sf_dir, RESULT_COLUMNS)
     return run_tally(delivery_results(rows, dedup_new(rows)), feed.fetch_log(spark, sf_dir))
 
 
@@ -534,7 +533,7 @@ def g20(spark, sf_dir):
     from feedledger.operators.dedup import quarantine_merge
 
     return reports.table_counts(feed.push_events(spark, sf_dir), *_entities(spark, sf_dir),
-                                quarantine_merge(_classified(spark, sf_dir)), feed.ingestion_runs(spark, sf_dir))
+                                quarantine_merge(landed(spark, sf_dir, MERGE_COLUMNS)), feed.ingestion_runs(spark, sf_dir))
 
 
 @query("g20_status_counts", X.state("""
@@ -644,7 +643,7 @@ def h2(spark, sf_dir):
 @query("h3_late_data", X.deliveries(f"""
 SELECT actor_id AS github_id, {X.micros('max(occurred_at)')} AS latest_event_at, {X.micros('max(received_at)')} AS last_seen_at FROM created GROUP BY 1""", X.CREATED))
 def h3(spark, sf_dir):
-    rows = _classified(spark, sf_dir)
+    rows = landed(spark, sf_dir, (*RESULT_COLUMNS, "actor", "push"))
     from feedledger.operators.folds import activity_fold
     from feedledger.schemas import ACTORS
 

@@ -1,5 +1,6 @@
 """Page bodies: the quick writer against the slow one, the array test against the decoder."""
 
+import json
 import random
 
 import pyarrow as pa
@@ -37,3 +38,33 @@ def test_plain_pages_are_written_by_the_quick_writer(monkeypatch):
     body = "[" + ",".join('{"id":"%d","actor":{"id":%d}}' % (i, random.Random(i).randrange(9)) for i in range(100)) + "]"
     monkeypatch.setattr(decoder, "_write", lambda value, facts, depth=0: "[]" if value == [] else 1 / 0)
     assert len(decode_array(body)[1]) == 100
+
+
+def test_fields_of_an_envelope_are_those_of_its_canonical_text():
+    """Kinds and texts against a plain reading of the canonical text, path by path."""
+    kinds = {str: "string", int: "integer", bool: "boolean", float: "float", dict: "object", list: "array", type(None): "null"}
+    odd = [7, -0.0, 1e400, True, None, "", "é", "\ud83d", "\x00", [1], {"a": 1}, 10**40, 2**63, "x"]
+    items = [None, 3, 1.5, "x", [1], {}, {"actor": [], "repo": "x", "payload": None}]
+    items += [{key: value, "actor": {"id": value, "login": value}, "payload": {"push_id": value}, "repo": {"name": value}}
+              for value in odd for key in ("id", "type", "created_at", "actor")]
+    rows = decoder.decode_array_bodies.func(pa.array(["[" + json.dumps(i).replace("Infinity", "1e400") + "]" for i in items])).to_pylist()
+    for item, row in zip(items, rows):
+        found = row["elements"][0]
+        whole = json.loads(found["text"])
+        assert found["k_document"] == kinds[type(whole)], item
+        for name, path in decoder.ENVELOPE_PATHS.items():
+            value, there = whole, True
+            for key in path.split(".")[1:]:
+                there = there and isinstance(value, dict) and key in value
+                value = value[key] if there else None
+            assert found[f"k_{name}"] == (kinds[type(value)] if there else "absent"), (item, name)
+            if name not in decoder.CONTAINERS:
+                text = {"string": value, "integer": str(value), "boolean": json.dumps(value)}
+                assert found[f"s_{name}"] == text.get(found[f"k_{name}"]), (item, name)
+
+
+def test_problems_of_pages_need_no_elements(monkeypatch):
+    monkeypatch.setattr(decoder, "_plain_element", lambda item: 1 / 0)
+    rows = decoder.array_problems.func(pa.array([None, "[1,2]", "x", '{"a":1}'])).to_pylist()
+    assert [r["is_array"] for r in rows] == [False, True, False, False]
+    assert [r["head"] and r["head"]["text"] for r in rows] == [None, None, None, '{"a":1}']
