@@ -17,6 +17,7 @@ from feedledger.session import configure
 # All reports are taken as of this instant, just after the last event.
 NOW = "2024-01-31 00:00:00"
 PAGE, RUN, REPOSITORIES = 100, 1000, 400
+TASK_EVENTS = 10_000  # a task builds and classifies about so many events
 
 # What is wrong with event n when n leaves no remainder.
 DEFECTS = {
@@ -60,14 +61,23 @@ ENVELOPE_SQL = f"""concat('{{',
        ELSE date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'") END, '"}}')"""
 
 
+def _by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events with their ``run``, those of one run together.
+
+    The narrow rows are dealt before any text is made of them: a large row group would be one task's work
+    otherwise, and all envelopes would be shuffled to meet their page. Tasks are as many as events ask for.
+    """
+    rows = events(spark, sf_dir).withColumn("run", F.floor(F.col("n") / RUN).cast("long"))
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, rows.count() // TASK_EVENTS), "run")
+
+
 def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every delivery of every event as envelope text, with its page."""
     pages = F.when(F.col("n") % 10 == 0, F.array(
         (F.lit(1) + F.floor(F.col("n") / PAGE) % 10).cast("int"), F.lit(11))).otherwise(
         F.array((F.lit(1) + F.floor(F.col("n") / PAGE) % 10).cast("int")))
-    return events(spark, sf_dir).select(
-        "n", "ts", F.expr(ENVELOPE_SQL).alias("envelope"), F.floor(F.col("n") / RUN).cast("long").alias("run"),
-        F.explode(pages).alias("page_no"))
+    return _by_run(spark, sf_dir).select(
+        "n", "ts", F.expr(ENVELOPE_SQL).alias("envelope"), "run", F.explode(pages).alias("page_no"))
 
 
 def run_id(run):
