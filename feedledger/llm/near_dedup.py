@@ -244,8 +244,8 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, id_col: str
     never made; so do maps of 512 bits: two items that differ in a bit are not the same. Both bounds
     are exact. In a bucket of a band, a
     pivot, the member with the smallest share of own shingles first, meets the members that are
-    not yet in its component, and a member that has been a pivot is done; a bucket ends when
-    those not done are of one component, so every candidate link is verified or implied. Each
+    not yet in its component, and then leaves the bucket; a bucket ends when
+    those left are of one component, so every candidate link is verified or implied. Each
     round takes more pivots, so rounds are few, and works out components from its new links
     between the components before it. A few bands are settled first: they join nearly
     all of a large class, whose members are then of one component in the other bands' buckets.
@@ -279,7 +279,7 @@ def _labels(docs, nodes, members, threshold, id_col, text_col) -> DataFrame:
             .agg(F.first("items").alias("items"), F.first("map").alias("map")))
     sets = stage(sets, "shingle-sets")
     members = stage(members.join(_common(sets, threshold), "node")
-                    .select("bucket", "band", "node", "n", "common", "map", F.lit(False).alias("done"), F.col("node").alias("component")), "bucket-members")
+                    .select("bucket", "band", "node", "n", "common", "map", F.col("node").alias("component")), "bucket-members")
     label, first = members.select("node", "component").limit(0), 0
     for last, pivots in BAND_STEPS:
         own = members.where((F.col("band") >= first) & (F.col("band") < last)).drop("band")
@@ -288,17 +288,20 @@ def _labels(docs, nodes, members, threshold, id_col, text_col) -> DataFrame:
 
 
 def _settled(members, label, sets, threshold, pivots_per_bucket) -> DataFrame:
-    """The components after the rounds that settle all buckets of ``members``."""
+    """The components after the rounds that settle all buckets of ``members``.
+
+    A pivot meets every member that its bucket still has, and then leaves it: nobody is left there for it to meet.
+    """
     while not members.isEmpty():
-        pivots = _pivots(members, pivots_per_bucket)
-        new = _verified(_pairs(members, pivots, threshold), sets, threshold)
-        done = pivots.select("bucket", F.col("pivot").alias("node"), F.lit(True).alias("now"))
-        members = members.join(done, ["bucket", "node"], "left").withColumn("done", F.col("done") | F.col("now").isNotNull()).drop("now")
+        chosen = stage(_pivots(members, pivots_per_bucket), "pivots")
+        pivots = stage(members.join(chosen, ["bucket", "node"]), "pivot-members")
+        members = stage(members.join(chosen, ["bucket", "node"], "left_anti"), "bucket-members")
+        new = _verified(stage(_pairs(members, pivots, threshold), "pairs"), sets, threshold)
         if not new.isEmpty():
             joined = components(new, "component", "pivot_component")
-            members = _relabelled(members, joined)
+            members = stage(_relabelled(members, joined), "bucket-members")
             label = stage(_relabelled(label, joined).union(joined.join(label.select("node"), "node", "left_anti")), "labels")
-        members = _open(stage(members, "bucket-members"))
+        members = _open(members)
         pivots_per_bucket *= MORE_PIVOTS
     return label
 
@@ -318,27 +321,29 @@ def _common(sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def _pivots(members: DataFrame, per_bucket: int) -> DataFrame:
-    """Up to ``per_bucket`` members of each bucket that have not been pivots: ``bucket``, ``pivot``."""
+    """Up to ``per_bucket`` members of each bucket: ``bucket``, ``node``."""
     spread = F.pmod(F.xxhash64("node"), F.lit(per_bucket))
     first = F.struct(((F.col("n") - F.col("common")) / F.col("n")).alias("own"), F.col("node"))
-    return (members.where(~F.col("done")).groupBy("bucket", spread.alias("spread")).agg(F.min(first).alias("first"))
-            .select("bucket", F.col("first.node").alias("pivot")))
+    return (members.groupBy("bucket", spread.alias("spread")).agg(F.min(first).alias("first"))
+            .select("bucket", F.col("first.node").alias("node")))
 
 
 def _pairs(members: DataFrame, pivots: DataFrame, threshold: float) -> DataFrame:
     """Pairs of a pivot and a member of another component that may reach the threshold, with their components.
 
-    Items that differ in their maps are not shared, so the sizes less the differing bits hold
-    the shared items twice at most.
+    Two pivots of a bucket are paired once. Items that differ in their maps are not shared, so the sizes less the
+    differing bits hold the shared items twice at most.
     """
-    own = members.select("bucket", F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("common").alias("pivot_common"),
-                         F.col("map").alias("pivot_map"), F.col("component").alias("pivot_component"))
+    own = pivots.select("bucket", F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("common").alias("pivot_common"),
+                        F.col("map").alias("pivot_map"), F.col("component").alias("pivot_component"))
     sizes = F.col("n") + F.col("pivot_n")
     differ = sum(F.bit_count(F.get("map", F.lit(k)).bitwiseXOR(F.get("pivot_map", F.lit(k)))) for k in range(MAP_WORDS))
-    near = [most >= F.lit(threshold) * (sizes - most) for most in (F.least("common", "pivot_common"), (sizes - differ) / 2)]
+    near = F.col("component") != F.col("pivot_component")
+    for most in (F.least("common", "pivot_common"), (sizes - differ) / 2):
+        near &= most >= F.lit(threshold) * (sizes - most)
     swap = F.col("node") < F.col("pivot")
-    return (members.join(pivots.join(own, ["bucket", "pivot"]), "bucket")
-            .where((F.col("component") != F.col("pivot_component")) & near[0] & near[1])
+    among = pivots.join(own, "bucket").where(near & (F.col("node") > F.col("pivot")))
+    return (members.join(own, "bucket").where(near).union(among)
             .select(F.greatest("node", "pivot").alias("node"), F.least("node", "pivot").alias("pivot"),
                     F.when(swap, F.col("pivot_component")).otherwise(F.col("component")).alias("component"),
                     F.when(swap, F.col("component")).otherwise(F.col("pivot_component")).alias("pivot_component")).distinct())
@@ -346,7 +351,9 @@ def _pairs(members: DataFrame, pivots: DataFrame, threshold: float) -> DataFrame
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Links between the components that the pairs reaching the threshold belong to: ``component``, ``pivot_component``."""
-    items = sets.select("node", "items")
+    # Most sets are in no pair of the round; the others are left where they lie.
+    ends = pairs.select("node").union(pairs.select("pivot")).distinct()
+    items = sets.select("node", "items").join(ends, "node", "left_semi")
     found = (pairs.join(items, "node")
              .join(items.select(F.col("node").alias("pivot"), F.col("items").alias("pivot_items")), "pivot")
              .where(_overlap(threshold)).select("component", "pivot_component").distinct())
@@ -361,8 +368,8 @@ def _relabelled(rows: DataFrame, joined: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame) -> DataFrame:
-    """Members of the buckets whose rows not done are of several components."""
-    buckets = (members.where(~F.col("done")).groupBy("bucket")
+    """Members of the buckets whose rows are of several components."""
+    buckets = (members.groupBy("bucket")
                .agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket"))
     return stage(members.join(buckets, "bucket"), "bucket-members")
 

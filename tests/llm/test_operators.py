@@ -638,3 +638,22 @@ def test_pipeline_stages_take_edge_rows(spark, docs, empty):
         for name, step in corpus_pipeline.STAGES[:-1]:
             assert step(spark, frame, "").columns == frame.columns, name
     assert corpus_pipeline.pack(spark, docs.where("doc_id < 5"), "").count() >= 5
+
+
+def test_a_bucket_without_links_pairs_its_members_once(spark, monkeypatch):
+    """A pivot that has met its bucket leaves it, so each pair comes once however many rounds the bucket takes."""
+    size = 40
+    sets = spark.createDataFrame([(n, [n * 10 + k for k in range(10)]) for n in range(size)], "node long, items array<long>")
+    members = spark.createDataFrame([(1, n, 10, 10, [0] * near_dedup.MAP_WORDS, n) for n in range(size)],
+                                    "bucket long, node long, n long, common long, map array<long>, component long")
+    met, real = [], near_dedup._pairs
+
+    def pairs(*args):
+        found = real(*args)
+        met.extend((r.node, r.pivot) for r in found.collect())
+        return found
+
+    monkeypatch.setattr(near_dedup, "_pairs", pairs)
+    label = near_dedup._settled(members, members.select("node", "component").limit(0), sets, 0.8, 1)
+    assert label.isEmpty()
+    assert sorted(met) == [(a, b) for a in range(size) for b in range(a)]
