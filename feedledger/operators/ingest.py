@@ -15,7 +15,7 @@ from feedledger.operators.folds import fold_entities
 from feedledger.operators.ranking import global_rank
 from feedledger.operators.known_ids import remember, stored_among
 from feedledger.schemas import ARRIVAL, ENTITY_TABLES, INGESTION_RUNS, PUSH_EVENTS
-from feedledger.session import configure, stage, staging_area
+from feedledger.session import configure, freed_shuffles, stage, staging_area
 from feedledger.sources.commits import BUCKETS, CommitConflict, Transaction, claim_batch
 from feedledger.sources.pages import explode_envelopes, left_out, page_state, stops_of, walked
 from feedledger.sources.tables import read_log, read_snapshot
@@ -34,6 +34,23 @@ def push_event_rows(ranked: DataFrame) -> DataFrame:
     ).select(*PUSH_EVENTS.names)
 
 
+def created_rows(classified: DataFrame, existing: DataFrame, start: int) -> DataFrame:
+    """The deliveries that create an event, numbered, with what folds and results read of them; ``with_texts`` adds the rest.
+
+    Deduplication and the sort by arrival move these narrow rows alone; ``_row`` names the classified row.
+    """
+    narrow = classified.select(
+        *ARRIVAL, "_row", "outcome", "fragment_undefined", "github_event_id", F.struct("push.occurred_at").alias("push"),
+        *[F.struct(F.col(kind)["github_id"].alias("github_id")).alias(kind) for kind in SNAPSHOTS])
+    return global_rank(dedup_new(narrow, existing), list(ARRIVAL), "seq", start=start)
+
+
+def with_texts(created: DataFrame, classified: DataFrame, *columns: str) -> DataFrame:
+    """Created deliveries with the named columns of their classified rows, which are shuffled once at most."""
+    sound = classified.where("outcome = 'push_event' AND NOT fragment_undefined")
+    return sound.select("_row", "github_event_id", "received_at", *columns).join(created.select("_row", "seq"), "_row")
+
+
 def run_rows(states: DataFrame, tally: DataFrame, walks: DataFrame | None = None, earlier: DataFrame | None = None) -> DataFrame:
     """One row per run that the batch holds pages of: how its first page ended it, and its counters.
 
@@ -83,7 +100,7 @@ def ingest_batch(pages: DataFrame, root: str, batch_id: int, max_pages: int | No
     own. All tables change by one commit. A batch taken again once it is committed changes
     nothing, a batch older than its stream's last one is refused, and one that meets another
     writer's commit is worked out again on the state that writer left. Classified rows are
-    written once and each sink reads back only its columns. ``buckets`` is how many a new
+    written once and each sink reads back only its columns; no job leaves shuffle files to the next. ``buckets`` is how many a new
     root's snapshots have; a batch rewrites those that hold an entity it names.
     """
     spark: SparkSession = configure(pages.sparkSession)
@@ -91,7 +108,7 @@ def ingest_batch(pages: DataFrame, root: str, batch_id: int, max_pages: int | No
     batch, committed = claim_batch(spark, root, stream, batch_id)
     for attempt in range(0 if committed else ATTEMPTS):
         tx = Transaction(spark, root, batch, stream, batch_id, buckets)
-        with staging_area(spark, f"batch-{batch}"):
+        with staging_area(spark, f"batch-{batch}"), freed_shuffles(spark):
             _take(tx, pages, max_pages, types)
         try:
             tx.commit()
@@ -110,22 +127,26 @@ def _take(tx: Transaction, pages: DataFrame, max_pages: int | None, types: str |
     own_walks = tx.touched("walks", runs, "run_id")
     walks = stage(tx.rows("walks", own_walks), "walks")
     stops = stage(stops_of(states, max_pages, walks), "stops")
-    skipped = left_out(states, stops)
+    # Written, so that the planner knows how few they are and sends them to the pages.
+    skipped = stage(left_out(states, stops), "left-out")
     counted = pages.join(skipped, ["run_id", "page_no"], "left_anti")
-    classified = stage(classify(explode_envelopes(counted), types), "classified")
+    verdicts = classify(explode_envelopes(counted), types)
+    classified = stage(verdicts.withColumn("_row", F.monotonically_increasing_id()), "classified")
+    # Texts are shuffled for one table at a time, for the largest ones last.
+    broken = classified.where("outcome = 'quarantined'")
+    own = tx.touched("quarantined_events", broken, "payload_fingerprint")
+    tx.replace(quarantine_merge(broken, tx.rows("quarantined_events", own)), "quarantined_events", own)
+
     pushes = classified.where("outcome = 'push_event'")
     existing = stage(stored_among(tx, pushes.select("github_event_id").distinct()), "stored-ids")
-    created = global_rank(dedup_new(classified, existing), list(ARRIVAL), "seq", start=tx.fact("push_events", "last_seq"))
-    tx.append(push_event_rows(created), "push_events")
-    tx.append(event_observations(created), "observations")
+    created = stage(created_rows(classified, existing, tx.fact("push_events", "last_seq")), "created")
+    tx.append(push_event_rows(with_texts(created, classified, "push", "raw_payload")), "push_events")
+    fragments = with_texts(created, classified, "push", "actor_fragment", "repo_fragment")
+    tx.append(event_observations(fragments), "observations")
     remember(tx, created)
     new_events = tx.written("push_events").agg(F.max("seq")).first()[0]
     tx.set_fact("push_events", "last_seq", new_events or tx.fact("push_events", "last_seq"))
 
-    broken = classified.where("outcome = 'quarantined'")
-    own = tx.touched("quarantined_events", broken, "payload_fingerprint")
-    tx.replace(quarantine_merge(broken, tx.rows("quarantined_events", own)), "quarantined_events", own)
-
     accepted = accepted_pushes(classified, created, existing)
     for kind, table in SNAPSHOTS.items():
         own = tx.touched(table, accepted.select(F.col(kind)["github_id"].alias("github_id")), "github_id")

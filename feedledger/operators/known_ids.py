@@ -18,20 +18,37 @@ def id_bucket(event_id: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit("bucket"), event_id), F.lit(ID_BUCKETS)).cast("int")
 
 
+def places(event_id: Column) -> list[tuple[Column, Column]]:
+    """The ``PROBES`` bits an id has in the filter of its bucket: each as its word and a mask."""
+    hashes = [F.xxhash64(F.lit(probe), event_id) for probe in range(PROBES)]
+    return [(F.pmod(F.shiftright(h, 6), F.lit(WORDS)).cast("int"),
+             F.call_function("shiftleft", F.expr("1L"), h.bitwiseAND(F.lit(63)).cast("int"))) for h in hashes]
+
+
 def probes(ids: DataFrame) -> DataFrame:
-    """The bits each id has in the filter of its bucket: ``id_bucket``, ``word``, ``bit``, ``github_event_id``."""
-    place = F.xxhash64(F.col("probe"), F.col("github_event_id"))
-    return ids.select("github_event_id", "id_bucket", F.explode(F.array(*map(F.lit, range(PROBES)))).alias("probe")).select(
-        "github_event_id", "id_bucket", F.pmod(F.shiftright(place, 6), F.lit(WORDS)).cast("int").alias("word"),
-        F.expr("1L").alias("_one"), place.bitwiseAND(F.lit(63)).cast("int").alias("_at")).select(
-        "github_event_id", "id_bucket", "word", F.expr("shiftleft(_one, _at)").alias("bit"))
+    """The bits each id has in the filter of its bucket: ``github_event_id``, ``id_bucket``, ``word``, ``bit``."""
+    bits = F.array(*[F.struct(word.alias("word"), bit.alias("bit")) for word, bit in places(F.col("github_event_id"))])
+    return ids.select("github_event_id", "id_bucket", F.inline(bits))
+
+
+def whole_filters(bloom: DataFrame) -> DataFrame:
+    """One row per bucket with all its words in order: at most ``ID_BUCKETS`` rows of ``WORDS`` words."""
+    zeros = bloom.select("id_bucket").distinct().select(
+        "id_bucket", F.explode(F.sequence(F.lit(0), F.lit(WORDS - 1))).alias("word"), F.lit(0).cast("long").alias("bits"))
+    words = bloom.select("id_bucket", "word", "bits").unionByName(zeros).groupBy("id_bucket", "word").agg(F.bit_or("bits").alias("bits"))
+    ordered = F.sort_array(F.collect_list(F.struct("word", "bits")))
+    return words.groupBy("id_bucket").agg(ordered["bits"].alias("words"))
 
 
 def maybe_known(ids: DataFrame, bloom: DataFrame) -> DataFrame:
-    """The ids all of whose bits are set; every stored id is among them."""
-    hit = probes(ids).join(bloom, ["id_bucket", "word"]).where(F.col("bits").bitwiseAND(F.col("bit")) != 0)
-    return (hit.groupBy("id_bucket", "github_event_id").agg(F.count("*").alias("_hits"))
-            .where(F.col("_hits") == PROBES).drop("_hits"))
+    """The ids all of whose bits are set; every stored id is among them.
+
+    The filters are of fixed size and go round whole, so no id is shuffled to meet its words.
+    """
+    placed = ids.join(F.broadcast(whole_filters(bloom)), "id_bucket")
+    for word, bit in places(F.col("github_event_id")):
+        placed = placed.where(F.get("words", word).bitwiseAND(bit) != 0)
+    return placed.select("id_bucket", "github_event_id")
 
 
 def stored_among(tx: Transaction, ids: DataFrame) -> DataFrame:

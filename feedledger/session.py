@@ -9,6 +9,13 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+# What outlives a job, a batch's staged rows and the tables, is written with this codec: half of the texts are
+# hexadecimal digits, of which the default codec saves nothing.
+DENSE = "zstd"
+
+# A write's shuffle files go when the write ends; otherwise they stay until the driver's garbage collector finds them.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 # UTC instants, and JSON objects whose last repeated key wins; the rest is execution.
 REQUIRED_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -81,18 +88,40 @@ def staging_area(spark: SparkSession, label: str):
         yield path
     finally:
         _area.reset(token)
+    discard(spark, path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a folder that nothing will read again."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+@contextmanager
+def freed_shuffles(spark: SparkSession):
+    """Every job begun inside the block removes its shuffle files when it ends."""
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(FREE_SHUFFLES)
+        else:
+            spark.conf.set(FREE_SHUFFLES, before)
+
+
+def stage(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Later jobs start from files, so a lost executor costs one task, not the whole
-    lineage, and each reader prunes the columns it does not need.
+    lineage, and each reader prunes the columns it does not need. Inside a staging area, where
+    everything stays until the block ends, the dense codec is the default.
     """
     spark = df.sparkSession
-    folder = _area.get() or shared_dir(spark).rstrip("/")
-    path = f"{folder}/{label}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    area = _area.get()
+    codec = codec or (DENSE if area else None)
+    path = f"{area or shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    writer = df.write.mode("overwrite")
+    (writer.option("compression", codec) if codec else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -14,7 +14,7 @@ from feedledger.operators.dedup import dedup_new, delivery_results, run_tally, t
 from feedledger.operators.ingest import ingest_batch
 from feedledger.plans import listings, reports, schedule
 from feedledger.plans.status import status_report
-from feedledger.session import shared_dir, stage
+from feedledger.session import DENSE, freed_shuffles, shared_dir, stage
 from feedledger.sources.pages import page_state
 from feedledger.sources.tables import read_log, read_snapshot
 from feedledger.streaming.ingest import ingest_and_report_stream, ingest_stream
@@ -673,7 +673,8 @@ SELECT run_id, any_value(run % 5) AS source_id, 'completed' AS status, {X.micros
 FROM d GROUP BY run_id"""))
 def h5(spark, sf_dir):
     root = _folder(spark, "tables")
-    log = stage(feed.fetch_log(spark, sf_dir).drop("run"), "pages")
+    with freed_shuffles(spark):
+        log = stage(feed.fetch_log(spark, sf_dir).drop("run"), "pages", DENSE)
     ingest_batch(log, root, 0, max_pages=11)
     return _texts(read_log(spark, root, "ingestion_runs").select("run_id", "source_id", "status", "started_at", "completed_at"))
 
