@@ -14,8 +14,8 @@ from feedledger.operators.dedup import dedup_new, delivery_results, run_tally, t
 from feedledger.operators.ingest import ingest_batch
 from feedledger.plans import listings, reports, schedule
 from feedledger.plans.status import status_report
-from feedledger.session import DENSE, freed_shuffles, shared_dir, stage
-from feedledger.sources.pages import page_state
+from feedledger.session import DENSE, discard, freed_shuffles, shared_dir, stage
+from feedledger.sources.pages import page_state, read_fetch_log
 from feedledger.sources.tables import read_log, read_snapshot
 from feedledger.streaming.ingest import ingest_and_report_stream, ingest_stream
 from feedledger.streaming.stateful import fold_stream
@@ -584,7 +584,9 @@ def g22(spark, sf_dir):
 
 
 def _land(log: DataFrame, landing: str) -> None:
-    log.drop("run").write.mode("append").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(landing)
+    writer = log.drop("run").write.mode("append").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    with freed_shuffles(log.sparkSession):
+        writer.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").json(landing)
 
 
 def _landed(spark, sf_dir) -> str:
@@ -593,9 +595,8 @@ def _landed(spark, sf_dir) -> str:
     return landing
 
 
-def _streamed(spark, sf_dir, log: DataFrame | None = None) -> str:
-    root, landing = _folder(spark, "tables"), _folder(spark, "landing")
-    _land(feed.fetch_log(spark, sf_dir) if log is None else log, landing)
+def _streamed(spark, landing: str) -> str:
+    root = _folder(spark, "tables")
     ingest_stream(spark, landing, root, _folder(spark, "mark"), max_pages=11).awaitTermination()
     return root
 
@@ -606,7 +607,7 @@ _RUN_COLUMNS = ("run_id", "pages_fetched", "events_received", "push_events_seen"
 
 @query("h1_ingest_stream", X.deliveries(f"SELECT {', '.join(_RUN_COLUMNS)} FROM ({_TALLY})", X.CREATED))
 def h1(spark, sf_dir):
-    return read_log(spark, _streamed(spark, sf_dir), "ingestion_runs").select(*_RUN_COLUMNS)
+    return read_log(spark, _streamed(spark, _landed(spark, sf_dir)), "ingestion_runs").select(*_RUN_COLUMNS)
 
 
 @query("h1_new_checkpoint", X.deliveries(f"""
@@ -615,11 +616,12 @@ UNION ALL SELECT 'again-' || run_id, pages_fetched, events_received, push_events
 FROM ({_TALLY})""", X.CREATED))
 def h1_new_checkpoint(spark, sf_dir):
     """A second stream with a checkpoint of its own goes on from the first one's tables."""
-    log = stage(feed.fetch_log(spark, sf_dir), "pages")
-    root = _streamed(spark, sf_dir, log)
-    landing = _folder(spark, "landing")
+    first, landing = _landed(spark, sf_dir), _folder(spark, "landing")
+    root = _streamed(spark, first)
+    log = read_fetch_log(spark, first)
     _land(log.withColumn("run_id", F.concat(F.lit("again-"), "run_id"))
           .withColumn("received_at", F.col("received_at") + F.expr("INTERVAL 40 DAYS")), landing)
+    discard(spark, first)  # the first stream has ended
     ingest_stream(spark, landing, root, _folder(spark, "mark"), max_pages=11).awaitTermination()
     return read_log(spark, root, "ingestion_runs").select(*_RUN_COLUMNS)
 
@@ -637,7 +639,7 @@ def h5_split_run(spark, sf_dir):
 
 @query("h2_unbounded_dedup", X.deliveries("SELECT id AS github_event_id, count(*) AS n FROM created GROUP BY 1", X.CREATED))
 def h2(spark, sf_dir):
-    return read_log(spark, _streamed(spark, sf_dir), "push_events").groupBy("github_event_id").agg(F.count("*").alias("n"))
+    return read_log(spark, _streamed(spark, _landed(spark, sf_dir)), "push_events").groupBy("github_event_id").agg(F.count("*").alias("n"))
 
 
 @query("h3_late_data", X.deliveries(f"""

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from corpus import log, nxt, push
 from feedledger.operators import ingest, known_ids, ranking
 from feedledger.operators.ingest import ingest_batch
+from feedledger.sources.pages import read_fetch_log
 from feedledger.sources.tables import read_log
+from feedledger.workload import report_queries
 
 PAGES = [("a", 1, 0, [push(1), push(2), push(1), push(3, type=3)], nxt(2)), ("a", 2, 1, [push(2), push(4)]),
          ("b", 1, 2, [push(4), push(5)], nxt(2)), ("b", 2, 3, "[]"), ("b", 3, 4, [push(6)])]
@@ -63,6 +65,16 @@ def test_a_page_that_comes_twice_creates_its_events_once(spark, tmp_path):
     assert read_log(spark, str(tmp_path), "observations").count() == 4
 
 
+def test_landed_pages_are_compressed_and_whole(spark, tmp_path):
+    pages = log(spark, PAGES)
+    report_queries._land(pages.withColumn("run", F.lit(0)), str(tmp_path / "landing"))
+    files = [f for f in os.listdir(tmp_path / "landing") if f.startswith("part-")]
+    assert files and all(f.endswith(".json.gz") for f in files)
+    names = ["run_id", "page_no", "received_at", "status", "body"]
+    got = read_fetch_log(spark, str(tmp_path / "landing")).select(names)
+    assert sorted(got.collect()) == sorted(pages.select(names).collect())
+
+
 def test_ids_meet_the_filters_without_a_shuffle(spark):
     ids = spark.range(3000).select(F.concat(F.lit("e"), "id").alias("github_event_id"))
     placed = ids.withColumn("id_bucket", known_ids.id_bucket(F.col("github_event_id")))
